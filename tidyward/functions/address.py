@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidyward import rules as R
-from tidyward.functions.text import HEBREW, decode_entities, match, replace, strip
+from tidyward.functions.text import HEBREW, decode_entities, match, once, replace, strip
 
 CROSSING = r"(?Us)^(.*?)\s+(?:פינת|פינה|פ['.])\s*(.*)$"
 RANGE = r"(?U)^(.+?)\s+(\d+\s*[-–]\s*\d+)\s*$"
@@ -62,7 +62,7 @@ def parse_address(df: DataFrame, source: Column | str, prefix: str = "") -> Data
                              F.regexp_extract(name, LETTERED, 2),
                              F.regexp_replace(F.regexp_extract(name, LETTERED, 3), "'+$", "")))
                          .when(k == "joined", replace(F.regexp_extract(name, JOINED, 2), " ", "")))
-    out = out.withColumns({
+    out = once(out, {
         prefix + "street": strip(
             F.when(k == "crossing", F.regexp_extract(name, CROSSING, 1))
             .when(k == "range", F.regexp_extract(name, RANGE, 1))

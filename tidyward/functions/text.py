@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidyward import rules as R
 
@@ -27,6 +27,17 @@ def all_of(conditions) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Set the columns so that each is computed once per row.
+
+    A one-element generator: filters and joins on these columns stay above it, where
+    plain projections would have their whole expressions copied into them.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(
+        *[c.alias(name) for name, c in columns.items()]))))
+
+
 def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
 
@@ -166,13 +177,14 @@ def tokens(c: Column | str, letters: str = HEBREW, stop_words=R.STOP_WORDS) -> C
 
 
 def ngrams(words: Column | str, n: int = 2) -> Column:
-    """Consecutive n-grams of an array of words."""
+    """Consecutive n-grams of an array of words, in one pass per position."""
     words = col(words)
-    return F.when(
-        F.size(words) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)),
-                    lambda i: F.array_join(F.slice(words, i, n), " ")),
-    ).otherwise(F.array().cast("array<string>"))
+    count = F.size(words) - (n - 1)
+    out = F.slice(words, 1, count)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(words, k + 1, count),
+                         lambda left, right: F.concat(left, F.lit(" "), right))
+    return F.when(count > 0, out).otherwise(F.array().cast("array<string>"))
 
 
 STREET_PREFIX = r"""(?U)^(רחוב|רח[׳'״]|ר[׳'״]|ה?רחוב)\s+"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidyward import rules as R
 from tidyward.functions import text as T
-from tidyward.operators.clean import confidence_of, keyword_label, resolve_responsibility
+from tidyward.operators.clean import confidence_of, keyword_label, with_responsibility
 
 SKIPPED = ["__skip__", "", "nan"]
 OPEN = "unresolved"
@@ -35,9 +35,10 @@ def _set(df: DataFrame, hit, source: str) -> DataFrame:
 
 def rerun_keywords(df: DataFrame, rules: R.Rules = R.MUNICIPAL) -> DataFrame:
     """Resolve still-open rows by category and keyword again."""
-    resp, _ = resolve_responsibility("category", "description", rules)
-    again = F.when((F.col("resp_source") == OPEN) & (resp != R.UNKNOWN_RESP), resp)
-    return df.withColumn("__again", again).withColumns({
+    df = with_responsibility(df, "description", rules, "__resp", "__how")
+    again = F.when((F.col("resp_source") == OPEN) & (F.col("__resp") != R.UNKNOWN_RESP),
+                   F.col("__resp"))
+    return df.withColumn("__again", again).drop("__resp", "__how").withColumns({
         "responsibility": F.coalesce("__again", "responsibility"),
         "resp_source": F.when(F.col("__again").isNotNull(),
                               F.concat(F.lit("keyword:"), F.col("__again")))
@@ -72,11 +73,11 @@ def apply_answers(df: DataFrame, answers: DataFrame, rules: R.Rules = R.MUNICIPA
         "category": F.coalesce("__answer", "category"),
         "category_source": F.when(hit, "user_map").otherwise(F.col("category_source")),
     })
-    resp, source = resolve_responsibility("category", "description", rules)
+    df = with_responsibility(df, "description", rules, "__resp", "__how")
     df = df.withColumns({
-        "responsibility": F.when(hit, resp).otherwise(F.col("responsibility")),
-        "resp_source": F.when(hit, source).otherwise(F.col("resp_source")),
-    }).drop("__answer")
+        "responsibility": F.when(hit, F.col("__resp")).otherwise(F.col("responsibility")),
+        "resp_source": F.when(hit, F.col("__how")).otherwise(F.col("resp_source")),
+    }).drop("__answer", "__resp", "__how")
 
     contains = lambda t: F.coalesce(F.col("description"), F.lit("")).contains(t["term"])
     df = df.join(_term_lists(given, "resp_term").withColumnRenamed("__key", "category"),

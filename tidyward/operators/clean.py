@@ -33,18 +33,20 @@ def keyword_label(description: Column | str, keywords: dict = R.RESP_KEYWORDS) -
     return out
 
 
-def resolve_responsibility(category: Column | str, description: Column | str,
-                           rules: R.Rules = R.MUNICIPAL) -> tuple[Column, Column]:
-    """(responsibility, source) of a category, its text deciding the ambiguous ones."""
+def with_responsibility(df: DataFrame, description: str = "description",
+                        rules: R.Rules = R.MUNICIPAL, resp: str = "responsibility",
+                        source: str = "resp_source") -> DataFrame:
+    """Add responsibility and its source; the text decides the ambiguous categories."""
     known = {c: r for c, r in rules.responsibility.items() if r != R.UNKNOWN_RESP}
-    base = T.lookup(category, known)
-    label = F.when(base.isNull(), keyword_label(description, rules.keywords))
-    return (
-        F.coalesce(base, label, F.lit(R.UNKNOWN_RESP)),
-        F.when(base.isNotNull(), "map")
-        .when(label.isNotNull(), F.concat(F.lit("keyword:"), label))
-        .otherwise("unresolved"),
-    )
+    base = T.lookup("category", known)
+    df = T.once(df, {"__base": base, "__label": F.when(
+        base.isNull(), keyword_label(description, rules.keywords))})
+    return df.withColumns({
+        resp: F.coalesce("__base", "__label", F.lit(R.UNKNOWN_RESP)),
+        source: F.when(F.col("__base").isNotNull(), "map")
+            .when(F.col("__label").isNotNull(), F.concat(F.lit("keyword:"), F.col("__label")))
+            .otherwise("unresolved"),
+    }).drop("__base", "__label")
 
 
 def classify(df: DataFrame, rules: R.Rules = R.MUNICIPAL, subtopic: str = "subtopic",
@@ -59,7 +61,7 @@ def classify(df: DataFrame, rules: R.Rules = R.MUNICIPAL, subtopic: str = "subto
         .withColumn("subtopic", T.decode_entities(subtopic))
         .join(F.broadcast(table), "subtopic", "left"))
     sub = F.col("subtopic")
-    out = out.withColumns({
+    out = T.once(out, {
         "category": F.when(F.col("__cat").isNotNull(), F.col("__cat"))
             .when(sub == "", T.lookup("__topic", rules.topics, R.UNCLASSIFIED))
             .otherwise(sub),
@@ -68,8 +70,7 @@ def classify(df: DataFrame, rules: R.Rules = R.MUNICIPAL, subtopic: str = "subto
         "substance": F.coalesce("__sub", F.lit(R.UNKNOWN_DIM)),
         "asset": F.coalesce("__asset", F.lit(R.UNKNOWN_DIM)),
     })
-    resp, source = resolve_responsibility("category", description, rules)
-    return (out.withColumns({"responsibility": resp, "resp_source": source})
+    return (with_responsibility(out, description, rules)
             .drop("__cat", "__sub", "__asset", "__topic"))
 
 

@@ -28,7 +28,7 @@ def detect_flags(df: DataFrame, date_min: str | None = None, date_max: str | Non
         repeated = (df.where(~T.is_blank("ticket")).groupBy("ticket").count()
                     .where("count > 1").select("ticket", F.lit(True).alias("__dup")))
         df = df.join(repeated, "ticket", "left")
-    df = df.withColumns({
+    df = T.once(df, {
         "__lat": T.to_number(value("lat")), "__lon": T.to_number(value("lon")),
         "__street_blank": T.is_blank(value("street")), "__junk": T.is_junk(value("street")),
         "__type": T.text(value("loc_type")), "__cat": T.text(value("category")),
@@ -66,7 +66,7 @@ def detect_flags(df: DataFrame, date_min: str | None = None, date_max: str | Non
     if duplicates:
         tested.append(("dup_id", "dup_id", F.coalesce("__dup", off), False))
 
-    df = df.withColumns({f"__f{i}": cond for i, (_, _, cond, _) in enumerate(tested)})
+    df = T.once(df, {f"__f{i}": cond for i, (_, _, cond, _) in enumerate(tested)})
     fired = [F.col(f"__f{i}") for i in range(len(tested))]
     severity = lambda blocks: (F.lit("block" if blocks else "warn") if isinstance(blocks, bool)
                                else F.when(blocks, "block").otherwise("warn"))
@@ -76,7 +76,7 @@ def detect_flags(df: DataFrame, date_min: str | None = None, date_max: str | Non
         for f, (code, key, _, blocks) in zip(fired, tested)]))
     blocking = T.any_of([f if blocks is True else f & blocks
                          for f, (_, _, _, blocks) in zip(fired, tested) if blocks is not False])
-    df = df.withColumns({
+    df = T.once(df, {
         "flags": flags,
         "flag_labels": F.concat_ws("; ", *[F.when(f, labels[key])
                                            for f, (_, key, _, _) in zip(fired, tested)]),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidyward.functions.text import all_of
-from tidyward.session import broadcast_within, cut, estimated_bytes
+from tidyward.session import broadcast_within, cut, source_bytes
 
 SMALL_INPUT_BYTES = 1 << 30
 
@@ -17,23 +17,30 @@ def sequence_in_group(df: DataFrame, keys: list[str], order: list[str], out: str
     ``order`` should end with a unique column. A group of more than ``hot_rows``
     rows never reaches one task: its order is cut into slices at sampled bounds,
     each slice is numbered by itself and starts at the rows counted before it.
-    With ``hot_rows`` left out, an input the optimizer puts under 1 GB is taken to
-    have no such group, and 4 million rows is the limit above that.
+    With ``hot_rows`` left out, a plan that reads under 1 GB is taken to have no
+    such group, and 4 million rows is the limit above that.
     """
     known = all_of([F.col(k).isNotNull() for k in keys])
-    unkeyed = df.where(~known).withColumn(out, F.lit(None).cast("bigint"))
-    keyed = df.where(known)
-    plain = Window.partitionBy(*keys).orderBy(*order)
-    numbered = lambda d: d.withColumn(out, F.row_number().over(plain).cast("bigint"))
-    if hot_rows is None and estimated_bytes(keyed.select(*keys)) < SMALL_INPUT_BYTES:
-        return numbered(keyed).unionByName(unkeyed)
+    # rows without a key are not numbered, so they spread by their own order columns
+    spread = F.when(~known, F.xxhash64(*order)).otherwise(F.lit(0))
+    plain = Window.partitionBy(*keys, "__spread").orderBy(*order)
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        return (rows.withColumn("__spread", spread)
+                .withColumn(out, F.when(known, F.row_number().over(plain)).cast("bigint"))
+                .drop("__spread"))
+
+    if hot_rows is None and source_bytes(df) < SMALL_INPUT_BYTES:
+        return numbered(df)
 
     limit = hot_rows if hot_rows is not None else 4_000_000
+    keyed = df.where(known)
     hot = cut(keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit))
     if hot.isEmpty():
-        return numbered(keyed).unionByName(unkeyed)
+        return numbered(df)
 
-    cold = numbered(keyed.join(hot, keys, "left_anti"))
+    # keys are never null in `hot`, so rows without a key stay on the cold side
+    cold = numbered(df.join(hot, keys, "left_anti"))
     rank = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
     rows = keyed.join(hot, keys)
     # the sample only places the bounds; any bounds give the same numbers
@@ -60,7 +67,7 @@ def sequence_in_group(df: DataFrame, keys: list[str], order: list[str], out: str
         .join(broadcast_within(before, 1_000_000), [*keys, "__slice"])
         .withColumn(out, F.col(out) + F.col("__before"))
         .drop("__slice", "__before"))
-    return cold.unionByName(split).unionByName(unkeyed)
+    return cold.unionByName(split)
 
 
 def recurrence(df: DataFrame, keys=("street", "house", "category"),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidyward import rules as R
 from tidyward.functions import text as T
 from tidyward.functions.address import PARTS, parse_address
-from tidyward.operators.clean import confidence_of, keyword_label, resolve_responsibility
+from tidyward.operators.clean import confidence_of, with_responsibility
 from tidyward.schema import ensure_columns
 
 
@@ -26,12 +26,13 @@ def resolve_from_context(df: DataFrame, rules: R.Rules = R.MUNICIPAL) -> DataFra
                & F.col("category").isin(R.HANDLED_CATEGORIES), "עירייה")
         .when(at_beach & T.has_any(notes, R.NATURE_WORDS), "טבעי")
         .when(at_beach & T.has_any(notes, R.CITIZEN_WORDS), "התנהגות אזרח"))
-    resp, source = resolve_responsibility("category", "description", rules)
-    # a mapped category found open keeps its keyword form of source
-    again = F.when(resp != R.UNKNOWN_RESP, resp)
     still_open = F.col("resp_source") == "unresolved"
-    df = df.withColumn("__context", F.when(still_open, context))
-    df = df.withColumn("__again", F.when(still_open & F.col("__context").isNull(), again))
+    df = T.once(df, {"__context": F.when(still_open, context)})
+    df = with_responsibility(df, "description", rules, "__resp", "__how")
+    # a mapped category found open also gets the keyword form of source
+    df = df.withColumn("__again", F.when(
+        still_open & F.col("__context").isNull() & (F.col("__resp") != R.UNKNOWN_RESP),
+        F.col("__resp"))).drop("__resp", "__how")
     df = df.withColumns({
         "responsibility": F.coalesce("__context", "__again", "responsibility"),
         "resp_source": F.when(F.col("__context").isNotNull(), "context_resolve")
@@ -58,7 +59,7 @@ def auto_fix(df: DataFrame, known_unresolvable: DataFrame | None = None,
     street = F.col("street")
     empty = F.coalesce(street, F.lit("")) == ""
     hollow = empty | street.rlike(T.JUNK)
-    df = df.withColumns({"__raw": raw, "__empty": empty, "__hollow": hollow})
+    df = T.once(df, {"__raw": raw, "__empty": empty, "__hollow": hollow})
     if known_unresolvable is None:
         df = df.withColumn("__known", F.lit(False))
     else:

@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StringType
 
 from tidyward import rules as R
 from tidyward.functions import text as T
@@ -19,22 +20,32 @@ from tidyward.session import cut
 # -- close matches ------------------------------------------------------------
 
 
-@pandas_udf("double")
-def sequence_ratio(candidate: pd.Series, name: pd.Series) -> pd.Series:
+def sequence_ratio(candidate: str, name: str) -> Column:
     """The standard library's matching ratio, for pairs that may reach the cutoff."""
-    matcher = difflib.SequenceMatcher()
-    out = []
-    for c, n in zip(candidate, name):
-        if matcher.b != n:
-            matcher.set_seq2(n)
-        matcher.set_seq1(c)
-        out.append(matcher.ratio())
-    return pd.Series(out)
-
-
-@pandas_udf("string")
-def nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
+
+    # defined in here so that workers receive the code itself, not an import
+    @pandas_udf(DoubleType())
+    def ratio(candidate: pd.Series, name: pd.Series) -> pd.Series:
+        matcher = difflib.SequenceMatcher()
+        out = []
+        for c, n in zip(candidate, name):
+            if matcher.b != n:
+                matcher.set_seq2(n)
+            matcher.set_seq1(c)
+            out.append(matcher.ratio())
+        return pd.Series(out, dtype="float64")
+
+    return ratio(candidate, name)
+
+
+def nfc(name: str) -> Column:
+    """The canonical composed form of a name."""
+
+    @pandas_udf(StringType())
+    def compose(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
+
+    return compose(name)
 
 
 def _char_tokens(name: Column) -> Column:

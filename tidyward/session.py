@@ -16,6 +16,8 @@ def build_session(app: str = "tidyward", master: str | None = None, **conf) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # call sites of every column make long rule chains slow to build
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in settings.items():
@@ -47,9 +49,21 @@ def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of the plan's output."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+def source_bytes(df: DataFrame) -> int:
+    """Size of the data the plan reads, as the optimizer knows it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
+def spread(df: DataFrame, least_bytes: int = 1 << 18) -> DataFrame:
+    """Give every core a share of an input that comes in fewer splits than cores.
+
+    A table of at least as many splits, or a tiny one, stays as it is.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if source_bytes(df) < least_bytes or df.rdd.getNumPartitions() >= wanted:
+        return df
+    return df.repartition(wanted)
 
 
 def _literal(value) -> str:
