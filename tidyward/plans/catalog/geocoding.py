@@ -12,10 +12,10 @@ from tidyward.operators import repair as RP
 from tidyward.operators import streets as ST
 from tidyward.operators import zones as Z
 from tidyward.plans.inputs import (
-    CORRECTIONS, HE_STREETS, POINTS, REQUESTS, SPOTS, plain,
+    CORRECTIONS, POINTS, REQUESTS, SPOTS, plain,
 )
 from tidyward.plans.catalog.registry import (
-    POINT, REQUEST, SPOT, lit, lits, mapped, num, query, txt, with_ctes, ws,
+    POINT, REQUEST, SPOT, lit, mapped, num, query, txt, with_ctes,
 )
 from tidyward.sources import readers as RD
 
@@ -274,10 +274,10 @@ def _request_keys(t):
 
 
 _KEYS = f"""keys AS (SELECT DISTINCT {txt('street')} AS street, {txt('house')} AS house FROM requests
-  WHERE street IN (SELECT p_name FROM part))"""
+  WHERE street IN (SELECT street_name FROM layer))"""
 
 
-@query("layer_rescue", with_ctes([REQUEST, _KEYS, f"layer AS ({plain(_LAYER)})", rf"""
+@query("layer_rescue", with_ctes([REQUEST, f"layer AS ({plain(_LAYER)})", _KEYS, rf"""
   h AS (SELECT k.*, {_NUM.format('house')} AS n0, CASE WHEN regexp_extract(house, '^(\d+)', 1) <> '0'
     THEN {_NUM.format('house')} END AS n FROM keys k)""", rf"""
   ex AS (SELECT street_name, house_raw, arg_min({{'x': x, 'y': y}}, seq) AS p FROM layer GROUP BY ALL)""",
@@ -293,8 +293,8 @@ _KEYS = f"""keys AS (SELECT DISTINCT {txt('street')} AS street, {txt('house')} A
     LEFT JOIN ce ON ce.street_name = h.street)"""], """SELECT street, house, round(p.y, 7) AS lat,
   round(p.x, 7) AS lon, geocode_method FROM al WHERE p IS NOT NULL"""))
 def _(t):
-    keys = _request_keys(t).join(t.part.select(F.col("p_name").alias("k_street")).distinct(),
-                                 "k_street", "left_semi")
+    listed = t.sql(_LAYER).select(F.col("street_name").alias("k_street")).distinct()
+    keys = _request_keys(t).join(listed, "k_street", "left_semi")
     hits = GC.locate_in_layer(keys, t.sql(_LAYER), registry(t), None, _as_is)
     return hits.select(F.col("k_street").alias("street"), F.col("k_house").alias("house"),
                        "hit.lat", "hit.lon", "hit.geocode_method")
@@ -367,18 +367,11 @@ def _(t):
                        F.col("hit.geocode_query").alias("query"))
 
 
-# The cascade: points for parts of some types only, so every later step has work.
-_SOME = POINTS + " AND p.p_type <> 'STANDARD'"
-_LAYER2 = _LAYER + " AND p_type = 'STANDARD'"
-_CASCADE = [f"points AS ({plain(_SOME)})", REQUEST, _INDEX, _CENTRES, _OSM]
-
-
 def _sources(t):
     return GC.Sources(points=t.sql(POINTS), layer=t.sql(_LAYER), geocoder=t.sql(_ANSWERS),
                       project=_as_is)
 
 
-_HE = f"street IN ({lits(HE_STREETS)})"
 _CASC = _MATCHED + [_OSM, f"""codes AS (SELECT DISTINCT street_code, street_name FROM points)""", f"""
   located AS (SELECT r.ticket, r.street, {txt('r.house')} AS house, CASE
       WHEN o.street IS NOT NULL AND TRY_CAST(r.house AS DOUBLE) = 0 THEN
