@@ -14,7 +14,7 @@ from tidyward.operators.streets import (
     match_names, resolve_layer_names, resolve_registry, resolve_street_codes,
 )
 from tidyward.schema import ensure_columns
-from tidyward.session import cut, rule_table
+from tidyward.session import cut, pinned, rule_table
 
 KEY = ["k_street", "k_house", "k_type", "k_cross"]
 MISSING = ["", "0", "nan", "None"]
@@ -128,8 +128,9 @@ def match_points(requests: DataFrame, points: DataFrame, cap: int = 20) -> DataF
     df = (df.join(entry("__raw", "__p1"), ["street_code", "__raw"], "left")
           .join(entry("__num", "__p2"), ["street_code", "__num"], "left")
           .withColumn("__exact", F.when(~F.col("__whole"), F.coalesce("__p1", "__p2"))))
+    # both keys of one row share its seq, so the key itself settles their order
     numbered = index.select("street_code", T.leading_number("key").try_cast("bigint").alias("n"),
-                            "seq", "point").where("n IS NOT NULL")
+                            F.struct("seq", "key").alias("seq"), "point").where("n IS NOT NULL")
     wanted = df.where(F.col("__exact").isNull() & ~F.col("__whole") & F.col("n").isNotNull())
     near = nearest_within(wanted, numbered, "street_code", cap).select(
         "street_code", "n", F.col("point").alias("__near"))
@@ -220,7 +221,7 @@ def locate_in_layer(requests: DataFrame, layer: DataFrame, registry: DataFrame,
     names = resolve_layer_names(req.select(F.col("k_street").alias("name")),
                                 layer.select(F.col("layer_name").alias("name")),
                                 registry, corrections)
-    req = req.join(names.withColumnRenamed("name", "k_street"), "k_street")
+    req = cut(req.join(names.withColumnRenamed("name", "k_street"), "k_street"))
     crossing = F.col("layer_name").startswith(R.INTERSECTION_MARK)
 
     legs = (req.where(crossing).select("layer_name").distinct()
@@ -426,7 +427,7 @@ def geocode(df: DataFrame, sources: Sources, run_id: str | None = None,
             open_keys(keys).where(F.col("__failed") == "unresolved"),
             sources.geocoder, sources.corrections), KEY)
     found = keys.select(*KEY, "__first", "__failed", "hit")
-    df = df.join(found, KEY, "left")
+    df = df.join(pinned(found), KEY, "left")
     was_missing = F.col("lat").isNull()
     hit = was_missing & F.col("hit").isNotNull()
     method = F.when((F.col("hit.geocode_method") == "nominatim")
@@ -445,8 +446,8 @@ def geocode(df: DataFrame, sources: Sources, run_id: str | None = None,
     })
     if sources.registry is not None:
         codes = resolve_registry(df.select(F.col("k_street").alias("name")), registry)
-        df = df.join(codes.select(F.col("name").alias("k_street"),
-                                  F.col("code").alias("street_code")), "k_street", "left")
+        df = df.join(pinned(codes.select(F.col("name").alias("k_street"),
+                                         F.col("code").alias("street_code"))), "k_street", "left")
     return df.drop(*KEY, "__first", "__failed", "hit")
 
 

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidyward import rules as R
 from tidyward.functions import text as T
-from tidyward.session import cut
+from tidyward.session import broadcast_within, cut
+
+MOST_GROUPS = 10_000
+MOST_TERMS = 500_000
 
 
 def row_terms(df: DataFrame, text: str, letters: str = T.HEBREW,
@@ -55,12 +58,15 @@ def pattern_groups(df: DataFrame, group: str, row_id: str, text: str, minimum: D
     base = df.select(group, row_id, text)
     counts = term_counts(base, group, text, letters, stop_words)
     chosen = cut(_candidates(counts, minimum, group))
+    small = minimum.select(F.lit(1)).limit(MOST_GROUPS + 1).count() <= MOST_GROUPS
+    beside = F.broadcast if small else (lambda d: d)
     rank = F.struct((-F.col("score")).alias("s"), "term")
     mine = (
         row_terms(base, text, letters, stop_words)
         .select(group, row_id, F.explode("terms").alias("t"))
         .select(group, row_id, "t.n", "t.term")
-        .join(chosen.select(group, "n", "term", "score"), [group, "n", "term"])
+        .join(broadcast_within(chosen, MOST_TERMS).select(group, "n", "term", "score"),
+              [group, "n", "term"])
         .groupBy(group, row_id)
         .agg(F.array_sort(F.collect_list(rank)).alias("ranks")))  # terms of one row
     mine = cut(mine)
@@ -68,9 +74,10 @@ def pattern_groups(df: DataFrame, group: str, row_id: str, text: str, minimum: D
     empty = F.array().cast(f"array<struct<s:{entry},term:string>>")
     accepted = cut(minimum.select(group, "min_rows", empty.alias("taken"),
                                   F.array().cast("array<bigint>").alias("sizes")))
+    so_far = 0
     for _ in range(max_groups):
         free = (
-            mine.join(accepted, group)
+            mine.join(beside(accepted), group)
             .where(~F.arrays_overlap("ranks", "taken"))
             .withColumn("last", F.try_element_at("taken", F.lit(-1)))
             .select(group, "min_rows", F.explode(F.filter(
@@ -79,21 +86,22 @@ def pattern_groups(df: DataFrame, group: str, row_id: str, text: str, minimum: D
             free.groupBy(group, "r").agg(F.count(F.lit(1)).alias("n"), F.first("min_rows").alias("m"))
             .where(F.col("n") >= F.col("m"))
             .groupBy(group).agg(F.min(F.struct("r", "n")).alias("next")))
-        step = cut(step)
-        if step.isEmpty():
-            break
         accepted = cut(accepted.join(step, group, "left").select(
             group, "min_rows",
             F.when(F.col("next").isNotNull(), F.concat("taken", F.array("next.r")))
             .otherwise(F.col("taken")).alias("taken"),
             F.when(F.col("next").isNotNull(), F.concat("sizes", F.array("next.n")))
             .otherwise(F.col("sizes")).alias("sizes")))
+        total = accepted.agg(F.sum(F.size("taken"))).first()[0] or 0
+        if total == so_far:
+            break
+        so_far = total
     groups = (
         accepted.select(group, F.posexplode(F.arrays_zip("taken", "sizes")).alias("position", "g"))
         .select(group, "position", F.col("g.taken.term").alias("term"),
                 F.col("g.sizes").alias("rows")))
     assigned = (
-        mine.join(accepted, group)
+        mine.join(beside(accepted), group)
         .withColumn("hit", F.get(F.filter(
             "taken", lambda t: F.array_contains(F.col("ranks"), t)), F.lit(0)))
         .where(F.col("hit").isNotNull())
@@ -137,15 +145,17 @@ def responsibility_clusters(df: DataFrame, rules: R.Rules = R.MUNICIPAL, letters
     their phrase groups (category, sweep, position, term, rows, samples). A second
     sweep looks at the rows the first left over.
     """
-    cats = df.where(F.col("category").isin(rules.ambiguous))
     unresolved = F.col("resp_source") == "unresolved" if "resp_source" in df.columns \
         else F.col("responsibility") == R.UNKNOWN_RESP
-    sizes = (cats.groupBy("category")
-             .agg(F.count(F.lit(1)).alias("total"), F.count_if(unresolved).alias("unresolved"))
-             .where("total >= 3 AND unresolved >= 5"))
-    sizes = cut(sizes)
-    pool = cats.where(unresolved).join(sizes.select("category"), "category", "left_semi") \
-        .select("category", "ticket", F.coalesce("description", F.lit("")).alias("description"))
+    # every sweep reads these rows again, so they are computed once
+    cats = cut(df.where(F.col("category").isin(rules.ambiguous)).select(
+        "category", "ticket", F.coalesce("description", F.lit("")).alias("description"),
+        unresolved.alias("open")))
+    sizes = cut(cats.groupBy("category")
+                .agg(F.count(F.lit(1)).alias("total"), F.count_if("open").alias("unresolved"))
+                .where("total >= 3 AND unresolved >= 5"))
+    pool = cats.where("open").join(F.broadcast(sizes.select("category")), "category", "left_semi") \
+        .drop("open")
 
     def sweep(rows: DataFrame, counts: DataFrame, divisor: int, groups: int):
         minimum = counts.select("category", F.greatest(

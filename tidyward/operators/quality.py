@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidyward import rules as R
 from tidyward.functions import text as T
 from tidyward.functions.geo import in_box
+from tidyward.session import pinned
 
 WHOLE, OTHER = "(הכל)", "(אחר)"
 
@@ -103,7 +104,7 @@ def stratify(df: DataFrame, columns: list[str], min_size: int = 5) -> DataFrame:
         F.concat(F.lit(STRATA_NAMES.get(c, c) + ": "), F.col(f"__{c}")) for c in present])
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).select(
         *keys, F.when(F.col("__n") < min_size, OTHER).otherwise(label).alias("stratum"))
-    return df.join(sizes, keys).drop(*keys)
+    return df.join(pinned(sizes), keys).drop(*keys)
 
 
 def sample_plan(df: DataFrame, columns: list[str], p_reject: float = R.SPOT_P_REJECT,

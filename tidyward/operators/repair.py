@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidyward import rules as R
 from tidyward.functions import text as T
 from tidyward.operators.zones import enrich
+from tidyward.session import pinned
 
 
 def coerce_coordinates(df: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def collapsed_points(df: DataFrame, min_rows: int = 5, min_houses: int = 4) -> D
 
 def backfill_precision(df: DataFrame, collapsed: DataFrame) -> DataFrame:
     """Precision from the method; geocoder rows by whether their point is collapsed."""
-    marked = collapsed.select("lat", "lon", F.lit(True).alias("__collapsed"))
+    marked = pinned(collapsed.select("lat", "lon", F.lit(True).alias("__collapsed")))
     method = F.col("geocode_method")
     tier = (F.when(~located(), "none")
             .when(method.isin(R.GEOCODER_METHODS),

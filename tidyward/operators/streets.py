@@ -129,6 +129,7 @@ def match_names(names: DataFrame, table: DataFrame, cutoff: float,
         names.join(exact, "name", "left")
         .withColumn("__words", F.when(T.word_count("name") >= 2, T.word_set("name")))
         .join(_by_words(table), "__words", "left"))
+    found = cut(found)
     direct = found.where(F.col("__e").isNotNull() | F.col("__w").isNotNull()).select(
         "name", F.coalesce("__e", "__w").alias("m"),
         F.when(F.col("__e").isNotNull(), "exact").otherwise("words").alias("how"))
@@ -171,9 +172,10 @@ def street_forms(names: DataFrame) -> DataFrame:
     """
     s = F.col("name")
     df = names.where(~T.is_blank("name")).distinct()
-    df = df.withColumn("__cut", _without_descriptor(s))
-    cut = F.col("__cut")
-    df = df.withColumn("__cut", F.coalesce(*[_before(cut, p) for p in R.SUFFIX_PREPOSITIONS], cut))
+    df = df.withColumn("__short", _without_descriptor(s))
+    short = F.col("__short")
+    df = df.withColumn("__short", F.coalesce(
+        *[_before(short, p) for p in R.SUFFIX_PREPOSITIONS], short))
     no_paren = T.strip(F.regexp_replace(
         T.strip(F.regexp_replace(s, r"(?U)\s*\([^)]*\)\s*", " ")), r"(?U)\s+\d+\s*$", ""))
     crossing = F.coalesce(*[_before(s, m) for m in R.CROSSING_SHORTHANDS])
@@ -188,7 +190,7 @@ def street_forms(names: DataFrame) -> DataFrame:
     changed = lambda f: F.when(f != s, f)
     fixed = F.array(
         form(s, False, True), form(s, True, False),
-        form(changed(cut), True, True),
+        form(changed(short), True, True),
         form(changed(no_paren), True, False),
         form(crossing, True, True),
         form(numbers, True, True),
@@ -233,7 +235,6 @@ def resolve_street_codes(names: DataFrame, streets: DataFrame, registry: DataFra
                      F.when(F.col("pos") == 0, F.col("__manual")).alias("form")))).alias("t"))
         .select("name", "t.pos", T.strip("t.form").alias("form"))
         .where(F.coalesce("form", F.lit("")) != ""))
-    tries = cut(tries)
     # forms after the first one with an exact or word-set answer are never needed
     certain = _by_words(streets).select("__words").distinct()
     settled = (
@@ -245,6 +246,7 @@ def resolve_street_codes(names: DataFrame, streets: DataFrame, registry: DataFra
         .groupBy("name").agg(F.min("pos").alias("__last")))
     tries = (tries.join(settled, "name", "left")
              .where(F.col("__last").isNull() | (F.col("pos") <= F.col("__last"))).drop("__last"))
+    tries = cut(tries)
     wanted = tries.select(F.col("form").alias("name")).distinct()
     local = match_names(wanted, streets, 0.78).select(
         F.col("name").alias("form"), "code", "how").where("code <> 0")
@@ -268,8 +270,8 @@ def resolve_layer_names(names: DataFrame, layer_names: DataFrame, registry: Data
     """
     s = F.col("name")
     base = names.select(T.strip("name").alias("name")).where(~T.is_blank("name")).distinct()
-    cut = _without_descriptor(s)
-    forms = F.array(s, F.when(cut != s, cut), *[_before(s, p) for p in R.SUFFIX_PREPOSITIONS])
+    short = _without_descriptor(s)
+    forms = F.array(s, F.when(short != s, short), *[_before(s, p) for p in R.SUFFIX_PREPOSITIONS])
     tries = (base.select("name", F.posexplode(forms).alias("pos", "form"))
              .where(F.coalesce("form", F.lit("")) != ""))
     layer = layer_names.select(F.col("name").alias("form"), F.lit(True).alias("__in_layer")) \
@@ -293,8 +295,8 @@ def resolve_layer_names(names: DataFrame, layer_names: DataFrame, registry: Data
         .when(F.col("__in_layer"), F.col("form"))
         .when(F.col("__official_in_layer") | (F.col("__official") != F.col("form")),
               F.col("__official")))
-    known = known.select("name", "pos", "form", direct.alias("__direct"),
-                         F.coalesce("__manual", F.lit(False)).alias("__manual"))
+    known = cut(known.select("name", "pos", "form", direct.alias("__direct"),
+                             F.coalesce("__manual", F.lit(False)).alias("__manual")))
     corpus = layer.select(F.col("form").alias("name")).union(registry.select("name")).distinct()
     close = close_matches(
         known.where(F.col("__direct").isNull() & ~F.col("__manual"))
@@ -355,6 +357,8 @@ def street_variants(df: DataFrame, registry: DataFrame | None = None, min_total:
     shown = (named.where((F.col("spellings") > 1)
                          | (F.col("registry_match") != F.col("canonical")))
              .orderBy(F.desc("total"), "normalized").limit(top))
+    if "raw_address" in df.columns:
+        shown = cut(shown)
     if "raw_address" not in df.columns:
         return shown
     listed = shown.select("normalized", F.explode(F.concat(

@@ -9,7 +9,7 @@ from tidyward import rules as R
 from tidyward.functions import text as T
 from tidyward.functions.geo import haversine_m
 from tidyward.operators.flags import content_fingerprint
-from tidyward.session import cut
+from tidyward.session import cut, pinned
 
 MAX_REFERENCES = 10_000
 GRID_SIDE = 48
@@ -147,7 +147,7 @@ def assign_zones(df: DataFrame, references: DataFrame | None, **options) -> Data
                        F.bround(metres, 1).alias("zone_distance_m"),
                        F.bround(haversine_m("lat", "lon", "ref_lat", "ref_lon"), 1)
                        .alias("zone_true_m"))
-    return (df.join(near, ["lat", "lon"], "left")
+    return (df.join(pinned(near), ["lat", "lon"], "left")
             .withColumns({"zone": F.coalesce("__zone", F.lit(R.ZONE_UNKNOWN)),
                           "zone_uncertain": F.col("zone_distance_m") > R.ZONE_UNCERTAIN_M})
             .drop("__zone"))

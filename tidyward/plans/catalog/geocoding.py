@@ -131,9 +131,9 @@ _MATCHED = [POINT, REQUEST, _INDEX, _CENTRES, _CODED, f"""
     FROM coded c LEFT JOIN idx a ON a.street_code = c.street_code AND a.key = {txt('c.house')}
     LEFT JOIN idx b ON b.street_code = c.street_code
       AND b.key = nullif(regexp_extract({txt('c.house')}, '^(\\d+)', 1), ''))""", f"""
-  nums AS (SELECT street_code, {_NUM.format('key')} AS k, seq, lat, lon FROM idx)""", """
-  near AS (SELECT m.street_code, m.house, arg_min({'lat': i.lat, 'lon': i.lon},
-      abs(i.k - m.n) * 1000000000 + i.seq) AS p FROM m1 m JOIN nums i
+  nums AS (SELECT street_code, {_NUM.format('key')} AS k, key, seq, lat, lon FROM idx)""", """
+  near AS (SELECT m.street_code, m.house, min({'off': abs(i.k - m.n), 'seq': i.seq, 'key': i.key,
+      'lat': i.lat, 'lon': i.lon}) AS p FROM m1 m JOIN nums i
       ON i.street_code = m.street_code AND abs(i.k - m.n) <= 20
     WHERE NOT whole AND elat IS NULL GROUP BY ALL)""", """
   matched AS (SELECT m.street_code, m.house,

@@ -49,6 +49,11 @@ def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def pinned(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """A join side computed once, broadcast if it holds at most ``max_rows`` rows."""
+    return broadcast_within(cut(df), max_rows)
+
+
 def source_bytes(df: DataFrame) -> int:
     """Size of the data the plan reads, as the optimizer knows it."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
