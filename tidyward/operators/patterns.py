@@ -26,8 +26,8 @@ def term_counts(df: DataFrame, group: str, text: str, letters: str = T.HEBREW,
                 stop_words=R.STOP_WORDS) -> DataFrame:
     """Rows per group that hold each word or bigram: group, n, term, rows."""
     return (row_terms(df.select(group, text), text, letters, stop_words)
-            .select(group, F.explode("terms").alias("t"))
-            .groupBy(group, "t.n", "t.term").agg(F.count(F.lit(1)).alias("rows")))
+            .select(group, F.explode("terms").alias("__t"))
+            .groupBy(group, "__t.n", "__t.term").agg(F.count(F.lit(1)).alias("rows")))
 
 
 def _candidates(counts: DataFrame, minimum: DataFrame, group: str) -> DataFrame:
@@ -63,8 +63,8 @@ def pattern_groups(df: DataFrame, group: str, row_id: str, text: str, minimum: D
     rank = F.struct((-F.col("score")).alias("s"), "term")
     mine = (
         row_terms(base, text, letters, stop_words)
-        .select(group, row_id, F.explode("terms").alias("t"))
-        .select(group, row_id, "t.n", "t.term")
+        .select(group, row_id, F.explode("terms").alias("__t"))
+        .select(group, row_id, "__t.n", "__t.term")
         .join(broadcast_within(chosen, MOST_TERMS).select(group, "n", "term", "score"),
               [group, "n", "term"])
         .groupBy(group, row_id)
@@ -97,9 +97,9 @@ def pattern_groups(df: DataFrame, group: str, row_id: str, text: str, minimum: D
             break
         so_far = total
     groups = (
-        accepted.select(group, F.posexplode(F.arrays_zip("taken", "sizes")).alias("position", "g"))
-        .select(group, "position", F.col("g.taken.term").alias("term"),
-                F.col("g.sizes").alias("rows")))
+        accepted.select(group, F.posexplode(F.arrays_zip("taken", "sizes")).alias("position", "__g"))
+        .select(group, "position", F.col("__g.taken.term").alias("term"),
+                F.col("__g.sizes").alias("rows")))
     assigned = (
         mine.join(beside(accepted), group)
         .withColumn("hit", F.get(F.filter(
