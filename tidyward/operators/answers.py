@@ -19,9 +19,15 @@ def _per_key(answers: DataFrame, kind: str, key: str) -> DataFrame:
             .agg(F.max_by("answer", "seq").alias("__answer")))
 
 
-def _term_lists(answers: DataFrame, kind: str) -> DataFrame:
-    """Per category, its (seq, term, answer) entries in order."""
+def _term_lists(answers: DataFrame, kind: str, keep: str) -> DataFrame:
+    """Per category, its (seq, term, answer) entries in order.
+
+    Of answers to the same term only the ``first`` or ``last`` can win.
+    """
+    pick, at = (F.min_by, F.min) if keep == "first" else (F.max_by, F.max)
     return (answers.where((F.col("kind") == kind) & (F.coalesce("term", F.lit("")) != ""))
+            .groupBy("category", "term")
+            .agg(pick("answer", "seq").alias("answer"), at("seq").alias("seq"))
             .groupBy(F.col("category").alias("__key"))
             .agg(F.array_sort(F.collect_list(F.struct("seq", "term", "answer"))).alias("__terms")))
 
@@ -80,7 +86,7 @@ def apply_answers(df: DataFrame, answers: DataFrame, rules: R.Rules = R.MUNICIPA
     }).drop("__answer", "__resp", "__how")
 
     contains = lambda t: F.coalesce(F.col("description"), F.lit("")).contains(t["term"])
-    df = df.join(_term_lists(given, "resp_term").withColumnRenamed("__key", "category"),
+    df = df.join(_term_lists(given, "resp_term", "first").withColumnRenamed("__key", "category"),
                  "category", "left")
     df = df.withColumn("__answer", F.when(F.col("resp_source") == OPEN, F.get(
         F.filter("__terms", contains), F.lit(0))["answer"])).drop("__terms")
@@ -92,7 +98,7 @@ def apply_answers(df: DataFrame, answers: DataFrame, rules: R.Rules = R.MUNICIPA
     df = _set(df, F.col("__answer").isNotNull() & (F.col("resp_source") == OPEN),
               "user_resp_default")
 
-    labels = _term_lists(given, "resp_sub").withColumnRenamed("__key", "category")
+    labels = _term_lists(given, "resp_sub", "last").withColumnRenamed("__key", "category")
     hits = F.array_compact(F.array(*[
         F.when(T.has_any("description", words), label)
         for label, words in rules.keywords.items()]))

@@ -115,7 +115,7 @@ def match_points(requests: DataFrame, points: DataFrame, cap: int = 20) -> DataF
 
     Returns street_code, house, lat, lon, geocode_method, precision for those found.
     """
-    index = address_index(points)
+    index = cut(address_index(points))
     df = requests.select("street_code", "house").distinct()
     raw = T.text("house")
     df = df.withColumns({"__raw": raw, "__num": T.leading_number(raw)})
@@ -127,7 +127,9 @@ def match_points(requests: DataFrame, points: DataFrame, cap: int = 20) -> DataF
                                            F.col("point").alias(name))
     df = (df.join(entry("__raw", "__p1"), ["street_code", "__raw"], "left")
           .join(entry("__num", "__p2"), ["street_code", "__num"], "left")
-          .withColumn("__exact", F.when(~F.col("__whole"), F.coalesce("__p1", "__p2"))))
+          .withColumn("__exact", F.when(~F.col("__whole"), F.coalesce("__p1", "__p2")))
+          .drop("__p1", "__p2"))
+    df = cut(df)
     # both keys of one row share its seq, so the key itself settles their order
     numbered = index.select("street_code", T.leading_number("key").try_cast("bigint").alias("n"),
                             F.struct("seq", "key").alias("seq"), "point").where("n IS NOT NULL")

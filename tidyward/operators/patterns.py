@@ -30,15 +30,32 @@ def term_counts(df: DataFrame, group: str, text: str, letters: str = T.HEBREW,
             .groupBy(group, "__t.n", "__t.term").agg(F.count(F.lit(1)).alias("rows")))
 
 
-def _candidates(counts: DataFrame, minimum: DataFrame, group: str) -> DataFrame:
-    """Terms that may name a group, with ``score``: bigrams count twice, covered words drop."""
-    often = counts.join(minimum, group).where(F.col("rows") >= F.col("min_rows"))
-    bigrams = often.where("n = 2")
+def _candidates(df: DataFrame, group: str, text: str, minimum: DataFrame, letters: str,
+                stop_words) -> DataFrame:
+    """Terms that may name a group, with ``score``: bigrams count twice, covered words drop.
+
+    A bigram is no more frequent than either of its words, so only bigrams of
+    frequent words are counted at all.
+    """
+    rows = df.withColumn("__words", T.tokens(text, letters, stop_words)).select(group, "__words")
+
+    def often(terms: DataFrame) -> DataFrame:
+        return (terms.groupBy(group, "term").agg(F.count(F.lit(1)).alias("rows"))
+                .join(minimum, group).where(F.col("rows") >= F.col("min_rows")))
+
+    words = cut(often(rows.select(group, F.explode(F.array_distinct("__words")).alias("term"))))
+    known = broadcast_within(words, MOST_TERMS)
+    pairs = rows.select(group, F.explode(F.array_distinct(T.ngrams("__words"))).alias("term"))
+    for side in (1, -1):
+        word = F.substring_index("term", " ", side)
+        pairs = pairs.withColumn("__w", word).join(
+            known.select(group, F.col("term").alias("__w")), [group, "__w"], "left_semi").drop("__w")
+    bigrams = cut(often(pairs))
     covered = bigrams.select(group, F.explode(F.split("term", " ")).alias("term")).distinct()
-    words = often.where("n = 1").join(covered, [group, "term"], "left_anti")
-    keep = [group, "n", "term", "min_rows"]
-    return (bigrams.select(*keep, (F.col("rows") * 2).alias("score"))
-            .unionByName(words.select(*keep, F.col("rows").alias("score"))))
+    single = words.join(covered, [group, "term"], "left_anti")
+    entry = lambda d, n, weight: d.select(
+        group, F.lit(n).alias("n"), "term", "min_rows", (F.col("rows") * weight).alias("score"))
+    return entry(bigrams, 2, 2).unionByName(entry(single, 1, 1))
 
 
 def pattern_groups(df: DataFrame, group: str, row_id: str, text: str, minimum: DataFrame,
@@ -56,57 +73,56 @@ def pattern_groups(df: DataFrame, group: str, row_id: str, text: str, minimum: D
     (group, row_id, position, term).
     """
     base = df.select(group, row_id, text)
-    counts = term_counts(base, group, text, letters, stop_words)
-    chosen = cut(_candidates(counts, minimum, group))
+    # min_rows grows with a group, so its candidates stay few: one short ranking each
+    order = Window.partitionBy(group).orderBy(F.desc("score"), "term")
+    chosen = cut(_candidates(base, group, text, minimum, letters, stop_words)
+                 .withColumn("rank", F.row_number().over(order)))
     small = minimum.select(F.lit(1)).limit(MOST_GROUPS + 1).count() <= MOST_GROUPS
     beside = F.broadcast if small else (lambda d: d)
-    rank = F.struct((-F.col("score")).alias("s"), "term")
-    mine = (
+    named = broadcast_within(chosen, MOST_TERMS)
+    mine = cut(
         row_terms(base, text, letters, stop_words)
         .select(group, row_id, F.explode("terms").alias("__t"))
         .select(group, row_id, "__t.n", "__t.term")
-        .join(broadcast_within(chosen, MOST_TERMS).select(group, "n", "term", "score"),
-              [group, "n", "term"])
+        .join(named.select(group, "n", "term", "rank"), [group, "n", "term"])
         .groupBy(group, row_id)
-        .agg(F.array_sort(F.collect_list(rank)).alias("ranks")))  # terms of one row
-    mine = cut(mine)
-    entry = dict(chosen.select((-F.col("score")).alias("s")).dtypes)["s"]
-    empty = F.array().cast(f"array<struct<s:{entry},term:string>>")
-    accepted = cut(minimum.select(group, "min_rows", empty.alias("taken"),
+        .agg(F.array_sort(F.collect_list("rank")).alias("ranks")))  # terms of one row
+    accepted = cut(minimum.select(group, "min_rows", F.array().cast("array<int>").alias("taken"),
                                   F.array().cast("array<bigint>").alias("sizes")))
     so_far = 0
     for _ in range(max_groups):
+        last = F.coalesce(F.array_max("taken"), F.lit(0))
         free = (
-            mine.join(beside(accepted), group)
+            mine.join(beside(accepted.withColumn("last", last)), group)
             .where(~F.arrays_overlap("ranks", "taken"))
-            .withColumn("last", F.try_element_at("taken", F.lit(-1)))
-            .select(group, "min_rows", F.explode(F.filter(
-                "ranks", lambda r: F.col("last").isNull() | (r > F.col("last")))).alias("r")))
+            .select(group, "min_rows", "last", F.explode("ranks").alias("r"))
+            .where(F.col("r") > F.col("last")))
         step = (
             free.groupBy(group, "r").agg(F.count(F.lit(1)).alias("n"), F.first("min_rows").alias("m"))
             .where(F.col("n") >= F.col("m"))
             .groupBy(group).agg(F.min(F.struct("r", "n")).alias("next")))
+        grown = F.col("next").isNotNull()
         accepted = cut(accepted.join(step, group, "left").select(
             group, "min_rows",
-            F.when(F.col("next").isNotNull(), F.concat("taken", F.array("next.r")))
-            .otherwise(F.col("taken")).alias("taken"),
-            F.when(F.col("next").isNotNull(), F.concat("sizes", F.array("next.n")))
-            .otherwise(F.col("sizes")).alias("sizes")))
+            F.when(grown, F.concat("taken", F.array("next.r"))).otherwise(F.col("taken")).alias("taken"),
+            F.when(grown, F.concat("sizes", F.array("next.n"))).otherwise(F.col("sizes")).alias("sizes")))
         total = accepted.agg(F.sum(F.size("taken"))).first()[0] or 0
         if total == so_far:
             break
         so_far = total
     groups = (
         accepted.select(group, F.posexplode(F.arrays_zip("taken", "sizes")).alias("position", "__g"))
-        .select(group, "position", F.col("__g.taken.term").alias("term"),
-                F.col("__g.sizes").alias("rows")))
+        .select(group, "position", F.col("__g.taken").alias("rank"), F.col("__g.sizes").alias("rows"))
+        .join(named.select(group, "rank", "term"), [group, "rank"])
+        .select(group, "position", "term", "rows"))
     assigned = (
         mine.join(beside(accepted), group)
-        .withColumn("hit", F.get(F.filter(
-            "taken", lambda t: F.array_contains(F.col("ranks"), t)), F.lit(0)))
-        .where(F.col("hit").isNotNull())
-        .select(group, row_id, (F.array_position("taken", F.col("hit")) - 1).cast("int")
-                .alias("position"), F.col("hit.term").alias("term")))
+        .withColumn("rank", F.array_min(F.array_intersect("ranks", "taken")))
+        .where(F.col("rank").isNotNull())
+        .select(group, row_id, "rank",
+                (F.array_position("taken", F.col("rank")) - 1).cast("int").alias("position"))
+        .join(named.select(group, "rank", "term"), [group, "rank"])
+        .select(group, row_id, "position", "term"))
     return groups, assigned
 
 

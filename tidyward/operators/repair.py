@@ -11,7 +11,7 @@ from tidyward.session import pinned
 
 
 def coerce_coordinates(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: T.to_number(c) for c in ("lat", "lon") if c in df.columns})
+    return T.once(df, {c: T.to_number(c) for c in ("lat", "lon") if c in df.columns})
 
 
 def located() -> Column:
