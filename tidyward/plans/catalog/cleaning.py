@@ -611,10 +611,14 @@ def _(t):
     return responsibility_clusters(clean(t.sql(COMPLAINTS)))[1]
 
 
-@query("required_columns", """SELECT * FROM (VALUES ('ticket', true), ('opened_at', true),
-  ('raw_address', true), ('subtopic', true)) v(name, found)""")
-def _(t):
-    found, missing = check_columns(t.sql(COMPLAINTS))
-    return t.sql(COMPLAINTS).limit(1).select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("name"), F.lit(c in found).alias("found"))
+@query("required_columns", with_ctes([RAW], " UNION ALL ".join(
+    f"SELECT '{c}' AS name, true AS found, count({c}) AS filled FROM raw"
+    for c in ("ticket", "opened_at", "raw_address", "subtopic"))))
+def _(t):
+    rows = t.sql(COMPLAINTS)
+    found, missing = check_columns(rows)
+    filled = rows.agg(*[F.count(c).alias(c) for c in found])
+    return filled.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("name"), F.lit(c in found).alias("found"),
+                 (F.col(c) if c in found else F.lit(0).cast("bigint")).alias("filled"))
         for c in found + missing])).alias("c")).select("c.*")
