@@ -4,8 +4,6 @@ import collections
 import datetime as dt
 import random
 
-from pyspark.sql import functions as F
-
 from tidyward.operators.answers import apply_answers, parse_coordinate_lines
 from tidyward.operators.clean import clean, cleaning_stats
 from tidyward.operators.ordered import recurrence, sequence_in_group

@@ -11,7 +11,7 @@ from tidyward import rules as R
 from tidyward.functions import text as T
 from tidyward.functions.geo import grid_to_degrees, in_box
 from tidyward.operators.streets import (
-    match_names, resolve_layer_names, resolve_registry, resolve_street_codes,
+    resolve_layer_names, resolve_registry, resolve_street_codes,
 )
 from tidyward.schema import ensure_columns
 from tidyward.session import cut, pinned, rule_table

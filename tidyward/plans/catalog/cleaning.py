@@ -10,7 +10,7 @@ from tidyward.functions.address import address_route, parse_address
 from tidyward.operators import answers as A
 from tidyward.operators import flags as FL
 from tidyward.operators.clean import (
-    classify, clean, cleaning_stats, confidence_of, split_timestamp, with_responsibility,
+    classify, clean, cleaning_stats, split_timestamp,
 )
 from tidyward.operators.ordered import recurrence
 from tidyward.operators.patterns import (
@@ -20,7 +20,7 @@ from tidyward.operators.report import hotspots
 from tidyward.operators.resolve import auto_fix, resolve_from_context
 from tidyward.plans.inputs import COMPLAINTS, SPOTS
 from tidyward.plans.catalog.registry import (
-    CLASSIFIED, CLEANED, KEYWORD, PARSED, RAW, ROUTE, SPOT, WEEKDAY, ADDR_TIER, any_word, blank,
+    CLASSIFIED, CLEANED, KEYWORD, PARSED, RAW, ROUTE, SPOT, WEEKDAY, any_word, blank,
     confidence_sql, decode, junk, lit, lits, mapped, num, parse_ctes, query, resp_source_sql,
     resp_sql, txt, with_ctes, ws,
 )

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidyward import rules as R
-from tidyward.functions import text as T
 from tidyward.operators import audit as AU
 from tidyward.operators import quality as Q
 from tidyward.operators.clean import clean
 from tidyward.operators.compare import compare_tables
 from tidyward.plans.inputs import COMPLAINTS, SPOTS
 from tidyward.plans.catalog.registry import (
-    CLEANED, SPOT, any_word, lit, lits, mapped, num, query, txt, with_ctes,
+    CLEANED, SPOT, lit, lits, mapped, num, query, txt, with_ctes,
 )
 
 # -- sampling -----------------------------------------------------------------

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidyward import rules as R
-from tidyward.functions import text as T
 from tidyward.operators import report as RP
 from tidyward.operators.audit import correction_log
 from tidyward.operators.clean import clean
@@ -13,7 +12,7 @@ from tidyward.operators.flags import detect_flags
 from tidyward.plans.inputs import COMPLAINTS, SPOTS
 from tidyward.plans.catalog.cleaning import _FLAGGED, flagged_rows
 from tidyward.plans.catalog.quality import _LOGGED
-from tidyward.plans.catalog.registry import CLEANED, SPOT, any_word, blank, lit, num, query, with_ctes
+from tidyward.plans.catalog.registry import CLEANED, SPOT, blank, lit, num, query, with_ctes
 from tidyward.sources import readers as RD
 from tidyward.sources import writers as WR
 
