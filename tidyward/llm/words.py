@@ -294,7 +294,8 @@ class Encoder:
         tokens = Tokens(segments if self.spaced else list(map(plain_words, segments)), self.spaced)
         out = np.zeros(len(texts), np.int64)
         if len(tokens.starts):
-            np.add.at(out, owner[tokens.of_text], self.counts[self._look_up(tokens)])
+            at = self._look_up(tokens)
+            np.add.at(out, owner[tokens.of_text], self.counts[at])
         for segment, _ in marks:
             out[owner[segment]] += 1
         return out
