@@ -76,3 +76,13 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id",
                         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@query
+def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence goes here, the first as well; bytes, not characters, count."""
+    from tidyward.llm.repeats import drop_repeats
+    cut = drop_repeats(table(spark, sf_dir, "documents"), keep_first=False, whole_characters=False)
+    return cut.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
