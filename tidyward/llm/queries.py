@@ -94,3 +94,47 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_quality(docs, table(spark, sf_dir, "labels")).select(
         "doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op5_log_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidyward.llm.lines import drop_templates
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return drop_templates(docs).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+EXPECTED["op5_log_templates"] = r"""
+WITH lines AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS whole,
+    unnest(range(len(string_split(text, chr(10))))) AS nr
+  FROM documents),
+tokens AS (
+  SELECT doc_id, text, whole, nr, list_transform(
+      string_split(trim(regexp_replace(whole, '[ \t\r\f\v]+', ' ', 'g')), ' '),
+      lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS parts
+  FROM lines),
+long AS (
+  SELECT doc_id, text, nr, parts, array_to_string(parts[1:3], ' ') AS head, len(parts) AS n
+  FROM tokens WHERE len(parts) >= 3),
+leaves AS (
+  SELECT n, head FROM long GROUP BY n, head HAVING count(DISTINCT text) >= 10),
+near AS (SELECT long.* FROM long JOIN leaves USING (n, head)),
+kinds AS (SELECT n, head, parts, count(DISTINCT text) AS texts FROM near GROUP BY n, head, parts),
+spread AS (SELECT n, head, parts, texts, unnest(parts) AS token, unnest(range(n)) AS nr FROM kinds),
+constant AS (
+  SELECT n, head, nr, token FROM spread WHERE token <> '<*>'
+  GROUP BY n, head, nr, token HAVING sum(texts) >= 10),
+templates AS (
+  SELECT s.n, s.parts, count(c.token) AS fixed,
+    string_agg(coalesce(c.token, '<*>'), ' ' ORDER BY s.nr) AS template
+  FROM spread s LEFT JOIN constant c ON c.n = s.n AND c.head = s.head AND c.nr = s.nr AND c.token = s.token
+  GROUP BY s.n, s.parts HAVING count(c.token) >= s.n * 0.6),
+placed AS (SELECT doc_id, text, near.nr, template FROM near JOIN templates USING (n, parts)),
+recurring AS (SELECT template FROM placed GROUP BY template HAVING count(DISTINCT text) >= 10),
+gone AS (SELECT DISTINCT doc_id, nr FROM placed JOIN recurring USING (template))
+SELECT l.doc_id, CAST(count(*) AS INT) AS n_lines, CAST(count(g.nr) AS INT) AS n_dropped,
+  sha256(coalesce(string_agg(l.whole, chr(10) ORDER BY l.nr) FILTER (g.nr IS NULL), '')) AS kept_sha256
+FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.nr = l.nr
+GROUP BY l.doc_id
+"""
