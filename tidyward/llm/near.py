@@ -100,7 +100,7 @@ def band_keys(sketch: np.ndarray, bands: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def near_groups(docs: DataFrame, percent: int = 75, words: int = 5, bands: int = 40, rows: int = 4,
+def near_groups(docs: DataFrame, percent: int = 75, words: int = 5, bands: int = 36, rows: int = 4,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, row, n_shingles, component_id, kept.
 
@@ -108,7 +108,7 @@ def near_groups(docs: DataFrame, percent: int = 75, words: int = 5, bands: int =
     sets; component_id is the smallest id reachable. ``kept`` is true for one row of each
     component, one with that id. Null and blank texts have no shingles and stay alone;
     null ids count as larger than all others. A pair at the threshold of 0.75 shares no
-    band of the default 40 x 4 with probability 2.5e-7. The frame must read the same in
+    band of the default 36 x 4 with probability 1.1e-6. The frame must read the same in
     every scan, as a table of files does. Other columns are ignored.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -135,13 +135,14 @@ def near_groups(docs: DataFrame, percent: int = 75, words: int = 5, bands: int =
     sketched = store(source.mapInArrow(
         sketch, f"id {kind}, row bigint, n_shingles bigint, mark binary, bands array<bigint>"))
     # a class holds the documents of one shingle set; its number is one of its rows
-    classes = store(sketched.filter("n_shingles > 0").groupBy("mark", "bands").agg(
+    classes = store(sketched.filter("n_shingles > 0").groupBy("mark", "bands", "n_shingles").agg(
         F.min("row").alias("c"), F.min("id").alias("low"), F.min_by("row", "id").alias("low_row")))
 
     buckets = classes.select("c", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(
         F.min("c").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = store(buckets.join(shared, "bucket").filter("c <> first").select("bucket", "first", "c"))
+    sizes = classes.select("c", F.col("n_shingles").alias("n"))
     wanted = members.select("c").union(members.select("first")).distinct()
 
     def full_sets(batches):
@@ -159,8 +160,11 @@ def near_groups(docs: DataFrame, percent: int = 75, words: int = 5, bands: int =
         wanted.withColumnRenamed("c", "row").hint("shuffle_hash"), "row", "left_semi").mapInArrow(
         full_sets, "c bigint, n bigint, items array<bigint>"))
 
-    links = store(_linked(members.select(F.col("first").alias("a"), F.col("c").alias("b")).distinct(),
-                          sets, percent))
+    pairs = members.select(F.col("first").alias("a"), F.col("c").alias("b")).distinct()
+    for side in "ab":   # sizes alone rule out many pairs before sets move
+        pairs = pairs.join(sizes.select(F.col("c").alias(side), F.col("n").alias(f"n_{side}")), side)
+    links = store(_linked(pairs.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+                          .select("a", "b"), sets, percent))
     roots = store(components(links))
     rest = _across(members, roots)
     more = store(_linked(_rare_pairs(rest, sets, percent), sets, percent))
@@ -195,7 +199,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                                F.col("items").alias(f"items_{s}")) for s in "ab")
     both = pairs.join(right, "b").join(left, "a")
     common = F.size(F.array_intersect("items_a", "items_b"))
-    return both.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).filter(
+    return both.filter(
         common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent).select("a", "b")
 
 
@@ -216,13 +220,17 @@ def _rare_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     other, so the n - ceil(n * percent / 100) + 1 rarest items of both, in one order of
     all items, have one in common.
     """
-    items = rest.join(sets, "c").select("c", "comp", "n", F.explode("items").alias("item"))
-    seen = items.groupBy("item").agg(F.count(F.lit(1)).alias("times"), F.min("comp").alias("low"),
-                                     F.max("comp").alias("high"))
-    ranked = items.join(seen, "item").withColumn("rank", F.row_number().over(
-        Window.partitionBy("c").orderBy("times", "item")))
-    prefix = store(ranked.filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-                   .filter("low < high").select("item", "c", "comp", "n"))
+    items = rest.select("c").join(sets.select("c", F.col("items").alias("all")), "c").select(
+        "c", F.explode("all").alias("item"))
+    shared = store(items.groupBy("item").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
+    met = store(items.join(shared, "item"))
+    # items of one class only are the rarest and come first; they link nothing
+    own = met.groupBy("c").agg(F.count(F.lit(1)).alias("common"))
+    prefix = store(met.join(own, "c").join(rest, "c").join(sets.select("c", "n"), "c").withColumn(
+        "rank", F.col("n") - F.col("common") + F.row_number().over(
+            Window.partitionBy("c").orderBy("times", "item")))
+        .filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+        .select("item", "c", "comp", "n"))
     other = prefix.select("item", F.col("c").alias("b"), F.col("comp").alias("comp_b"),
                           F.col("n").alias("n_b"))
     return prefix.join(other, "item").filter(

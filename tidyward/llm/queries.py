@@ -138,3 +138,9 @@ SELECT l.doc_id, CAST(count(*) AS INT) AS n_lines, CAST(count(g.nr) AS INT) AS n
 FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.nr = l.nr
 GROUP BY l.doc_id
 """
+
+
+@query
+def op4_curve_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidyward.llm.neighbours import nearest
+    return nearest(table(spark, sf_dir, "embeddings"))
