@@ -1,15 +1,69 @@
-"""Text corpus pipeline; the stages follow as their operators are built."""
+"""Text corpus pipeline: quality, lines, near duplicates, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept, read
+back from Parquet. All but the last return the columns of ``documents``, with n_chars of
+the text as it is then.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tidyward.llm.common import store
+from tidyward.llm.lines import drop_templates
+from tidyward.llm.near import near_groups
+from tidyward.llm.packing import pack_tokens
+from tidyward.llm.quality import score_quality
+from tidyward.llm.queries import vocabulary
+from tidyward.llm.repeats import drop_repeats
+
+
+def measured(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for label 1. Learns from labels not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score_quality(docs, labels).filter("predicted = 1").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without recurring template lines. The document of the smallest id keeps them, so
+    that no content of near copies is lost before one of them is chosen."""
+    return measured(drop_templates(docs, keep_first=True), docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    gone = near_groups(docs).filter(~F.col("kept")).select(F.col("row").alias("__row"))
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(
+        gone.hint("shuffle_hash"), "__row", "left_anti").select(*docs.columns)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later copies of passages of 200 bytes or more."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    cut = drop_repeats(docs, carry=rest)
+    return measured(cut.withColumn("text", F.col("kept").cast("string")), docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token windows."""
+    return pack_tokens(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [("quality classifier", quality), ("line dedup", lines), ("MinHash near-dedup", near_duplicates),
+          ("suffix-array dedup", passages), ("packing", packing)]
 
-STAGES: list = []
+#: SQL can neither fit the classifier nor encode texts; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = store(docs)
     return docs

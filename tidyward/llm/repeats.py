@@ -160,8 +160,9 @@ def cut_spans(raw: bytes, spans: list, whole_characters: bool) -> tuple[bytes, l
 
 def drop_repeats(docs: DataFrame, length: int = 200, keep_first: bool = True,
                  whole_characters: bool = True, gram: int = 64, hot: int = 500,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, row, n_bytes, kept (bytes), spans (array of from, to).
+                 id_col: str = "doc_id", text_col: str = "text", carry: tuple = ()) -> DataFrame:
+    """One row per input row: id, row, n_bytes, kept (bytes), spans (array of from, to), then
+    the columns named in ``carry``.
 
     A byte goes if it lies under a string of ``length`` bytes that also starts elsewhere,
     in the same text or another; strings are judged on the input and may overlap. With
@@ -177,6 +178,10 @@ def drop_repeats(docs: DataFrame, length: int = 200, keep_first: bool = True,
     source = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"),
                          text.alias("text"))
     kind = source.schema["id"].dataType.simpleString()
+    also = [f"__{i}" for i in range(len(carry))]
+    whole_rows = docs.select(
+        F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), text.alias("text"),
+        *[F.col(c).alias(a) for c, a in zip(carry, also)])
 
     def runs_of(batches):
         for batch in batches:
@@ -256,12 +261,16 @@ def drop_repeats(docs: DataFrame, length: int = 200, keep_first: bool = True,
                 [batch.column("id"), batch.column("row"), pa.array(map(len, texts), pa.int64()),
                  pa.array([d[0] for d in done], pa.binary()),
                  pa.array([[{"from": a, "to": b} for a, b in d[1]] for d in done],
-                          pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))],
-                ["id", "row", "n_bytes", "kept", "spans"])
+                          pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))),
+                 *[batch.column(a) for a in also]],
+                ["id", "row", "n_bytes", "kept", "spans", *also])
 
-    return source.join(per_text.hint("shuffle_hash"), "row", "left").mapInArrow(
+    carried = "".join(f", {a} {whole_rows.schema[a].dataType.simpleString()}" for a in also)
+    return whole_rows.join(per_text.hint("shuffle_hash"), "row", "left").mapInArrow(
         cut, f"id {kind}, row bigint, n_bytes bigint, kept binary, "
-             "spans array<struct<from:int,to:int>>").withColumnRenamed("id", id_col)
+             f"spans array<struct<from:int,to:int>>{carried}").select(
+        F.col("id").alias(id_col), "row", "n_bytes", "kept", "spans",
+        *[F.col(a).alias(c) for a, c in zip(also, carry)])
 
 
 def _suffix_spans(clips: DataFrame, length: int, keep_first: bool) -> DataFrame:
