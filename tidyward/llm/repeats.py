@@ -63,14 +63,24 @@ def find_runs(texts: list[bytes], length: int, gram: int):
 
 
 def previous_smaller(values: np.ndarray) -> np.ndarray:
-    """For each value the index of the nearest smaller one before it, or -1."""
-    before = np.arange(len(values)) - 1
-    while True:
-        # whatever stands between an index and ``before`` is larger than its value
-        far = np.flatnonzero((before >= 0) & (values[np.maximum(before, 0)] > values))
-        if not len(far):
-            return before
-        before[far] = before[before[far]]
+    """For each value the index of the nearest smaller one before it, or -1.
+
+    Minima of 1, 2, 4, ... values tell how far one can step back over larger ones.
+    """
+    n = len(values)
+    least = [values]
+    while 2 << (len(least) - 1) <= n:
+        half, last = 1 << (len(least) - 1), least[-1]
+        wider = last.copy()
+        wider[half:] = np.minimum(last[half:], last[:-half])
+        least.append(wider)
+    at = np.arange(n) - 1
+    for step in range(len(least) - 1, -1, -1):
+        width = 1 << step
+        far = np.flatnonzero(at >= width - 1)
+        far = far[least[step][at[far]] > values[far]]
+        at[far] -= width
+    return at
 
 
 class SuffixOrder:
