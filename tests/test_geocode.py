@@ -111,17 +111,28 @@ def test_nearest_numbers_equal_brute_force(frame):
         assert got == {k: v for k, v in want.items() if v is not None}
 
 
-def test_zones_equal_brute_force_on_both_paths(frame):
+def test_zones_equal_brute_force(frame):
     rng = random.Random(11)
-    refs = [(i, 32 + rng.random() * .1, 34.8 + rng.random() * .1, rng.choice("מצד")) for i in range(150)]
+    refs = [(i, 32 + rng.random() * .1, 34.8 + rng.random() * .1, rng.choice("מצד")) for i in range(600)]
+    refs += [(600 + i, 32.05, 34.85, "מ") for i in range(200)]       # one place many times
+    refs += [(900, 0.0, 0.0, "צ"), (901, float("inf"), 34.8, "ד"), (902, None, 34.8, "ד")]   # strays
     pts = [(31.9 + rng.random() * .3, 34.7 + rng.random() * .3) for _ in range(200)]
+    pts += [(0.1, 0.0), (-80.0, 170.0), (32.05, 34.85), (32.0501, 34.8501)]
     references = frame(refs, "ref_id long, lat double, lon double, zone string")
-    points = frame(pts, "lat double, lon double")
-    want = {p: min(((p[0] - la) ** 2 + (p[1] - lo) ** 2, i) for i, la, lo, _ in refs)[1] for p in pts}
-    for options in ({}, {"max_listed": 10, "cell": 0.01}):
-        got = {(r["lat"], r["lon"]): r["ref_id"]
-               for r in Z.nearest_reference(points, references, **options).collect()}
-        assert got == want
+    points = frame(pts + [(float("inf"), 34.8), (float("nan"), 34.8), (None, 34.8)], "lat double, lon double")
+    want = {p: min(((p[0] - la) ** 2 + (p[1] - lo) ** 2, i) for i, la, lo, _ in refs[:801])[1] for p in pts}
+    got = {(r["lat"], r["lon"]): r["ref_id"] for r in Z.nearest_reference(points, references).collect()}
+    assert got == want
+    assert Z.nearest_reference(points, references.limit(0)).count() == 0
+    single = Z.nearest_reference(points, frame(refs[:1], references.schema)).collect()
+    assert {r["ref_id"] for r in single} == {0} and len(single) == len(pts)
+
+
+def test_infinite_coordinates_have_no_zone(frame):
+    refs = frame([(1, 32.15, 34.80, "מרכז")], "ref_id long, lat double, lon double, zone string")
+    rows = frame([("1", "Infinity", "34.8"), ("2", "32.1", "-inf")], "ticket string, lat string, lon string")
+    for r in Z.assign_zones(rows, refs).collect():
+        assert (r["zone"], r["zone_distance_m"], r["zone_true_m"]) == ("לא ידוע", None, None)
 
 
 def test_enrich_flags(frame):

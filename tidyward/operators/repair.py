@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidyward import rules as R
 from tidyward.functions import text as T
 from tidyward.operators.zones import enrich
-from tidyward.session import pinned
+from tidyward.session import join_known, pinned
 
 
 def coerce_coordinates(df: DataFrame) -> DataFrame:
@@ -49,11 +49,11 @@ def backfill_precision(df: DataFrame, collapsed: DataFrame) -> DataFrame:
             .when(method.isin(R.GEOCODER_METHODS),
                   F.when(F.col("__collapsed"), "street").otherwise("address_unverified"))
             .otherwise(T.lookup(method, R.METHOD_TIER, "none")))
-    return (df.join(marked, ["lat", "lon"], "left").withColumn("precision", tier)
+    return (join_known(df, marked, ["lat", "lon"]).withColumn("precision", tier)
             .drop("__collapsed"))
 
 
-def repair(df: DataFrame, references: DataFrame | None, **options) -> DataFrame:
+def repair(df: DataFrame, references: DataFrame | None) -> DataFrame:
     """Coerce, relabel, re-tier and re-zone a whole table."""
     df = relabel_methods(coerce_coordinates(df))
-    return enrich(backfill_precision(df, collapsed_points(df)), references, **options)
+    return enrich(backfill_precision(df, collapsed_points(df)), references)

@@ -9,6 +9,7 @@ from tidyward.functions import text as T
 from tidyward.functions.address import PARTS, parse_address
 from tidyward.operators.clean import confidence_of, with_responsibility
 from tidyward.schema import ensure_columns
+from tidyward.session import join_known
 
 
 def resolve_from_context(df: DataFrame, rules: R.Rules = R.MUNICIPAL) -> DataFrame:
@@ -63,10 +64,12 @@ def auto_fix(df: DataFrame, known_unresolvable: DataFrame | None = None,
     if known_unresolvable is None:
         df = df.withColumn("__known", F.lit(False))
     else:
-        known = known_unresolvable.select(F.col("name").alias("__raw")).distinct() \
+        known = known_unresolvable.select(F.col("name").alias("__asked")).distinct() \
             .withColumn("__known", F.lit(True))
-        df = df.join(known, "__raw", "left") \
-            .withColumn("__known", F.coalesce("__known", F.lit(False)))
+        # blank addresses name no street; they are many, so they must not meet in one key
+        asked = F.when(F.col("__raw") != "", F.col("__raw"))
+        df = join_known(df.withColumn("__asked", asked), known, ["__asked"]) \
+            .withColumn("__known", F.coalesce("__known", F.lit(False))).drop("__asked")
     place = (~F.col("__known") & F.col("__hollow")
              & T.any_of([F.col("__raw").startswith(p) for p in prefixes]))
     df = df.withColumn("__place", place)

@@ -2,134 +2,100 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidyward import rules as R
 from tidyward.functions import text as T
 from tidyward.functions.geo import haversine_m
 from tidyward.operators.flags import content_fingerprint
-from tidyward.session import cut, pinned
+from tidyward.session import cut, join_known, pinned
 
-MAX_REFERENCES = 10_000
-GRID_SIDE = 48
+#: The cell tree: 2 ** FAN_BITS cells a side below each cell, LEVELS levels.
+FAN_BITS, LEVELS = 4, 10
+#: Cells are not split below so many different places.
+LEAF = 64
 
 
-def _squared(lat, lon, r) -> Column:
-    dlat, dlon = F.col(lat) - r["lat"], F.col(lon) - r["lon"]
-    return dlat * dlat + dlon * dlon
+def _known(c: str) -> Column:
+    return F.abs(F.col(c).cast("double")) < float("inf")
 
 
-def _candidate_cells(refs: list) -> tuple[dict, list]:
-    """For a bounded reference list: the grid, and the references each cell can need.
-
-    A reference serves a cell only if its least distance to the cell is within the
-    smallest greatest distance of any reference.
-    """
-    pts = np.array([(r["lat"], r["lon"]) for r in refs])
-    low, high = pts.min(axis=0), pts.max(axis=0)
-    step = np.maximum((high - low) / GRID_SIDE, 1e-9)
-    grid = {"lat0": float(low[0]), "lon0": float(low[1]),
-            "dlat": float(step[0]), "dlon": float(step[1])}
-    cells = []
-    for i in range(GRID_SIDE):
-        for j in range(GRID_SIDE):
-            # a small margin keeps points on a cell edge covered
-            a = low + step * (np.array([i, j]) - 1e-6)
-            b = low + step * (np.array([i + 1, j + 1]) + 1e-6)
-            near = np.maximum(np.maximum(a - pts, pts - b), 0)
-            far = np.maximum(np.abs(pts - a), np.abs(pts - b))
-            least, most = (near ** 2).sum(axis=1), (far ** 2).sum(axis=1)
-            cells.append((i, j, np.flatnonzero(least <= most.min() * (1 + 1e-9)).tolist()))
-    return grid, cells
-
-
-def _near_listed(points: DataFrame, refs: list) -> DataFrame:
-    """Nearest of at most MAX_REFERENCES references, through per-cell candidates."""
-    spark = points.sparkSession
-    grid, cells = _candidate_cells(refs)
-    entry = "struct<ref_id:bigint,lat:double,lon:double,zone:string>"
-    ref_rows = [(r["ref_id"], r["lat"], r["lon"], r["zone"]) for r in refs]
-    table = spark.createDataFrame(
-        [(i, j, [ref_rows[k] for k in ks]) for i, j, ks in cells],
-        f"__i int, __j int, __refs array<{entry}>")
-    everything = spark.createDataFrame([(ref_rows,)], f"__all array<{entry}>")
-    side = F.lit(GRID_SIDE - 1)
-    cell = lambda c, start, step, end: F.when(
-        (F.col(c) >= start) & (F.col(c) <= end),
-        F.least(F.floor((F.col(c) - start) / step).cast("int"), side))
-    placed = points.withColumns({
-        "__i": cell("lat", grid["lat0"], grid["dlat"], grid["lat0"] + grid["dlat"] * GRID_SIDE),
-        "__j": cell("lon", grid["lon0"], grid["dlon"], grid["lon0"] + grid["dlon"] * GRID_SIDE),
-    })
-    best = lambda refs_col: F.array_min(F.transform(refs_col, lambda r: F.struct(
-        _squared("lat", "lon", r).alias("d2"), r["ref_id"].alias("ref_id"),
-        r["zone"].alias("zone"), r["lat"].alias("rlat"), r["lon"].alias("rlon"))))
-    # both tables are bounded by MAX_REFERENCES and the fixed grid
-    inside = placed.where("__i IS NOT NULL AND __j IS NOT NULL") \
-        .join(F.broadcast(table), ["__i", "__j"]).withColumn("__best", best(F.col("__refs")))
-    outside = placed.where("__i IS NULL OR __j IS NULL").withColumn("__k", F.lit(1)) \
-        .join(F.broadcast(everything.withColumn("__k", F.lit(1))), "__k") \
-        .withColumn("__best", best(F.col("__all")))
-    pick = lambda d: d.select("lat", "lon", "__best")
-    return pick(inside).unionByName(pick(outside))
-
-
-def _near_blocked(points: DataFrame, refs: DataFrame, cell: float) -> DataFrame:
-    """Nearest of any number of references by growing cells.
-
-    A hit within one cell width of the point is final; the points left go on with
-    cells twice as wide. A cell keeps its references, so widths start small enough
-    for few per cell.
-    """
-    done, todo, width = None, points, cell
-    while True:
-        key = lambda c, w=width: F.floor(F.col(c) / w)
-        spread = refs.select("ref_id", "zone", F.col("lat").alias("rlat"),
-                             F.col("lon").alias("rlon"),
-                             key("lat").alias("ri"), key("lon").alias("rj")) \
-            .withColumn("__i", F.explode(F.sequence(F.col("ri") - 1, F.col("ri") + 1))) \
-            .withColumn("__j", F.explode(F.sequence(F.col("rj") - 1, F.col("rj") + 1))) \
-            .drop("ri", "rj")
-        d2 = (F.col("lat") - F.col("rlat")) * (F.col("lat") - F.col("rlat")) \
-            + (F.col("lon") - F.col("rlon")) * (F.col("lon") - F.col("rlon"))
-        hits = (
-            todo.withColumns({"__i": key("lat"), "__j": key("lon")}).join(spread, ["__i", "__j"])
-            .groupBy("lat", "lon").agg(F.min(F.struct(
-                d2.alias("d2"), "ref_id", "zone", "rlat", "rlon")).alias("__best"))
-            .where(F.col("__best.d2") <= width * width))
-        hits = cut(hits)
-        done = hits if done is None else done.unionByName(hits)
-        todo = cut(todo.join(hits, ["lat", "lon"], "left_anti"))
-        if todo.isEmpty():
-            return done
-        width *= 2
-
-
-def nearest_reference(points: DataFrame, references: DataFrame,
-                      max_listed: int = MAX_REFERENCES, cell: float = 0.0005) -> DataFrame:
+def nearest_reference(points: DataFrame, references: DataFrame) -> DataFrame:
     """Nearest reference in degree space of each distinct (lat, lon).
 
     ``references``: ref_id, lat, lon, zone. Returns lat, lon, zone, ref_id,
-    distance_deg, ref_lat, ref_lon. Ties go to the smaller ref_id.
+    distance_deg, ref_lat, ref_lon. Ties go to the smaller ref_id; coordinates that are
+    null or not finite take no part.
+
+    References stand in a tree of square cells over their own extent, split where they are
+    dense. All points go down the tree together, a join per level: of the cells below a
+    point's cells, those stay that may hold something nearer than the farthest corner of
+    the best one. Only the extent and a count per level reach the driver.
     """
-    points = points.select("lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL").distinct()
-    refs = references.select(F.col("ref_id").cast("bigint").alias("ref_id"), "lat", "lon", "zone") \
-        .where("lat IS NOT NULL AND lon IS NOT NULL")
-    listed = refs.limit(max_listed + 1).collect()
-    if not listed:
-        near = points.limit(0).select("lat", "lon", F.lit(None).cast(
-            "struct<d2:double,ref_id:bigint,zone:string,rlat:double,rlon:double>").alias("__best"))
-    elif len(listed) <= max_listed:
-        near = _near_listed(points, listed)
-    else:
-        near = _near_blocked(points, refs, cell)
+    points = points.select("lat", "lon").where(_known("lat") & _known("lon")).distinct()
+    refs = references.select(F.col("ref_id").cast("bigint").alias("ref_id"), F.col("lat").cast("double").alias("rlat"),
+                             F.col("lon").cast("double").alias("rlon"), "zone") \
+        .where(_known("rlat") & _known("rlon")).groupBy("rlat", "rlon") \
+        .agg(F.min("ref_id").alias("ref_id"), F.min_by("zone", "ref_id").alias("zone"))
+    refs = cut(refs)
+    lat0, lat1, lon0, lon1 = refs.agg(F.min("rlat"), F.max("rlat"), F.min("rlon"), F.max("rlon")).first()
+    if lat0 is None:
+        near = points.select("lat", "lon", F.lit(None).cast(
+            "struct<d2:double,ref_id:bigint,zone:string,rlat:double,rlon:double>").alias("__best")).limit(0)
+        return _named(near)
+    side = 1 << (FAN_BITS * LEVELS)
+    width = max(lat1 - lat0, lon1 - lon0) or 1.0
+    fine = lambda c, low: F.least(F.floor((F.col(c) - low) / width * side), F.lit(side - 1)).cast("bigint")
+    refs = refs.withColumns({"fi": fine("rlat", lat0), "fj": fine("rlon", lon0)})
+    at = lambda c, level: F.shiftright(c, FAN_BITS * (LEVELS - level))
+    levels = refs.select(F.explode(F.array(*[
+        F.struct(F.lit(k).alias("level"), at("fi", k).alias("i"), at("fj", k).alias("j"))
+        for k in range(LEVELS + 1)])).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")) \
+        .groupBy("c.level").agg(F.max("n")).collect()      # a row per level
+    depth = min([k for k, n in levels if n <= LEAF], default=LEVELS)
+
+    seen = points.withColumns({"i": F.lit(0).cast("bigint"), "j": F.lit(0).cast("bigint")})
+    for level in range(1, depth + 1):
+        seen = _go_down(seen, refs, at, level)
+    leaves = refs.select(at("fi", depth).alias("i"), at("fj", depth).alias("j"), "ref_id", "zone", "rlat", "rlon")
+    square = lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
+    near = seen.join(leaves, ["i", "j"]).groupBy("lat", "lon").agg(F.min(F.struct(
+        (square("lat", "rlat") + square("lon", "rlon")).alias("d2"), "ref_id", "zone", "rlat", "rlon"))
+        .alias("__best"))
+    return _named(near)
+
+
+def _go_down(seen: DataFrame, refs: DataFrame, at, level: int) -> DataFrame:
+    """Replace the cells (i, j) of each point by those of the next level that may hold its nearest."""
+    cells = refs.groupBy(at("fi", level).alias("ci"), at("fj", level).alias("cj")).agg(
+        F.min("rlat").alias("a1"), F.max("rlat").alias("a2"), F.min("rlon").alias("b1"), F.max("rlon").alias("b2"))
+    below = cells.groupBy(F.shiftright("ci", FAN_BITS).alias("i"), F.shiftright("cj", FAN_BITS).alias("j")).agg(
+        F.collect_list(F.struct("ci", "cj", "a1", "a2", "b1", "b2")).alias("cells"))   # 256 at most
+
+    def bounds(c):
+        gap = lambda x, low, high: F.greatest(low - F.col(x), F.col(x) - high, F.lit(0.0))
+        far = lambda x, low, high: F.greatest(F.abs(F.col(x) - low), F.abs(F.col(x) - high))
+        return F.struct(c["ci"].alias("i"), c["cj"].alias("j"), *[
+            (f("lat", c["a1"], c["a2"]) * f("lat", c["a1"], c["a2"])
+             + f("lon", c["b1"], c["b2"]) * f("lon", c["b1"], c["b2"])).alias(name)
+            for f, name in ((gap, "least"), (far, "most"))])
+
+    # a little room, so that rounding never loses the nearest
+    within = lambda c, best: c["least"] <= best * (1 + 1e-9)
+    both = seen.join(below, ["i", "j"]).select("lat", "lon", F.transform("cells", bounds).alias("c")) \
+        .withColumn("best", F.array_min(F.transform("c", lambda c: c["most"])))
+    kept = both.select("lat", "lon", F.explode(F.filter("c", lambda c: within(c, F.col("best")))).alias("c"))
+    kept = kept.withColumn("best", F.min("c.most").over(Window.partitionBy("lat", "lon")))
+    return kept.where(within(F.col("c"), F.col("best"))).select("lat", "lon", "c.i", "c.j")
+
+
+def _named(near: DataFrame) -> DataFrame:
     return near.select("lat", "lon", "__best.zone", "__best.ref_id",
                        F.sqrt("__best.d2").alias("distance_deg"),
                        F.col("__best.rlat").alias("ref_lat"), F.col("__best.rlon").alias("ref_lon"))
 
 
-def assign_zones(df: DataFrame, references: DataFrame | None, **options) -> DataFrame:
+def assign_zones(df: DataFrame, references: DataFrame | None) -> DataFrame:
     """Add ``zone``, ``zone_distance_m``, ``zone_true_m`` and ``zone_uncertain``.
 
     ``zone_distance_m`` takes the distance in degrees as a latitude offset;
@@ -141,13 +107,13 @@ def assign_zones(df: DataFrame, references: DataFrame | None, **options) -> Data
                                "zone_distance_m": F.lit(None).cast("double"),
                                "zone_true_m": F.lit(None).cast("double"),
                                "zone_uncertain": F.lit(None).cast("boolean")})
-    near = nearest_reference(df, references, **options)
+    near = nearest_reference(df, references)
     metres = haversine_m("lat", "lon", F.col("lat") + F.col("distance_deg"), F.col("lon"))
     near = near.select("lat", "lon", F.col("zone").alias("__zone"),
                        F.bround(metres, 1).alias("zone_distance_m"),
                        F.bround(haversine_m("lat", "lon", "ref_lat", "ref_lon"), 1)
                        .alias("zone_true_m"))
-    return (df.join(pinned(near), ["lat", "lon"], "left")
+    return (join_known(df, pinned(near), ["lat", "lon"])
             .withColumns({"zone": F.coalesce("__zone", F.lit(R.ZONE_UNKNOWN)),
                           "zone_uncertain": F.col("zone_distance_m") > R.ZONE_UNCERTAIN_M})
             .drop("__zone"))
@@ -161,10 +127,9 @@ def collection_days(df: DataFrame, days: dict = R.ZONE_DAYS) -> DataFrame:
         both, (T.strip("weekday") == T.strip("collection_day")).cast("int")))
 
 
-def enrich(df: DataFrame, references: DataFrame | None, days: dict = R.ZONE_DAYS,
-           **options) -> DataFrame:
+def enrich(df: DataFrame, references: DataFrame | None, days: dict = R.ZONE_DAYS) -> DataFrame:
     """Zone, distance, collection day and same-day flag of every row."""
-    return collection_days(assign_zones(df, references, **options), days)
+    return collection_days(assign_zones(df, references), days)
 
 
 def coordinate_fingerprint(df: DataFrame) -> DataFrame:

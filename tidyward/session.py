@@ -16,6 +16,7 @@ def build_session(app: str = "tidyward", master: str | None = None, **conf) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # call sites of every column make long rule chains slow to build
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
@@ -28,47 +29,53 @@ def build_session(app: str = "tidyward", master: str | None = None, **conf) -> S
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it back, ending its lineage.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    session without one (a local test) gets a temporary folder.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Without it a
+    local session gets a temporary folder, and a cluster raises: its machines would not
+    see each other's files.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidyward-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not is_local(sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="tidyward-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
-def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast a checkpointed table that holds at most ``max_rows`` rows.
+def is_local(master: str) -> bool:
+    """One machine does all the work; ``local-cluster`` has executors of its own."""
+    return master == "local" or master.startswith("local[")
 
-    A larger one comes back without the hint and joins by shuffle, where adaptive
-    execution splits skewed partitions.
-    """
-    small = df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+
+BROADCAST_BYTES = 32 << 20
 
 
-def pinned(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """A join side computed once, broadcast if it holds at most ``max_rows`` rows."""
-    return broadcast_within(cut(df), max_rows)
+def broadcast_within(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a checkpointed table whose rows take at most ``max_bytes`` as text.
 
+    A larger one comes back without the hint and joins by shuffle, where adaptive
+    execution splits skewed partitions; the result is the same.
+    """
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df
 
-def source_bytes(df: DataFrame) -> int:
-    """Size of the data the plan reads, as the optimizer knows it."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
+def pinned(df: DataFrame) -> DataFrame:
+    """A join side computed once, broadcast if its measured size allows."""
+    return broadcast_within(cut(df))
 
-def spread(df: DataFrame, least_bytes: int = 1 << 18) -> DataFrame:
-    """Give every core a share of an input that comes in fewer splits than cores.
 
-    A table of at least as many splits, or a tiny one, stays as it is.
-    """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    if source_bytes(df) < least_bytes or df.rdd.getNumPartitions() >= wanted:
-        return df
-    return df.repartition(wanted)
+def join_known(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join in which rows with a null key, which match nothing, are spread out."""
+    missing = F.lit(False)
+    for k in keys:
+        missing = missing | F.col(k).isNull()
+    return (df.withColumn("__spread", F.when(missing, F.monotonically_increasing_id() + 1).otherwise(F.lit(0)))
+            .join(other.withColumn("__spread", F.lit(0).cast("bigint")), [*keys, "__spread"], "left")
+            .drop("__spread"))
 
 
 def _literal(value) -> str:
