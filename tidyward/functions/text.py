@@ -110,9 +110,9 @@ def is_junk(c: Column | str) -> Column:
 
 
 def to_number(c: Column | str) -> Column:
-    """Text with stray commas as a double; anything else, and NaN, as null."""
+    """Text with stray commas as a double; anything else, NaN and infinities, as null."""
     n = strip(F.regexp_replace(col(c).cast("string"), ",", "")).try_cast("double")
-    return F.when(~F.isnan(n), n)
+    return F.when(F.abs(n) < float("inf"), n)
 
 
 def has_any(c: Column | str, words) -> Column:
@@ -189,20 +189,23 @@ def ngrams(words: Column | str, n: int = 2) -> Column:
 
 STREET_PREFIX = r"""(?U)^(רחוב|רח[׳'״]|ר[׳'״]|ה?רחוב)\s+"""
 TRAILING_HOUSE = rf"(?U)[\s,./\-]+\d{{1,4}}\s*[{HEBREW}]?(?:\s*/\s*\d+)?\s*$"
-TRAILING_MARKS = r"""(?U)[\s,.;׳״'"־\-]+$"""
+MARK_RUN = r"""[\s,.;׳״'"־\-]+"""
+TRAILING_MARKS = rf"(?U){MARK_RUN}$"
 
 
-def bare_street(c: Column | str, letters: str = HEBREW, rounds: int = 8) -> Column:
+def bare_street(c: Column | str, letters: str = HEBREW) -> Column:
     """A street value reduced to its name.
 
     The word for street goes first; then trailing house numbers and marks go, one
-    of each per round, unless no letter would be left.
+    of each per round, unless no letter would be left. A round that changes anything
+    takes a number or a run of marks, so there are as many rounds as the text has of them.
     """
     def cut_tail(s: Column, pattern: str) -> Column:
         shorter = strip(F.regexp_replace(s, pattern, ""))
         return F.when(shorter.rlike(f"[{letters}]"), shorter).otherwise(s)
 
     start = F.regexp_replace(text(c), STREET_PREFIX, "")
+    rounds = F.regexp_count(start, F.lit(rf"(?U)\d{{1,4}}|{MARK_RUN}")) + 1
     return strip(F.aggregate(
         F.array_repeat(F.lit(0), rounds), start,
         lambda s, _: cut_tail(cut_tail(s, TRAILING_HOUSE), TRAILING_MARKS)))

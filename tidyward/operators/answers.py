@@ -175,15 +175,21 @@ def upsert_coordinates(df: DataFrame, points: DataFrame) -> DataFrame:
         .drop("__lat", "__lon")
 
 
-def apply_manual_edits(df: DataFrame, edits: DataFrame) -> DataFrame:
+def apply_manual_edits(df: DataFrame, edits: DataFrame, order: str = "seq") -> DataFrame:
     """Write edited rows (ticket, lat, lon, street, house) back; houses lose unit suffixes.
 
-    ``edits`` holds one row per edited ticket; a row with both coordinates becomes
-    ``manual``.
+    Of several edits of a ticket the one with the largest ``order`` counts (without such
+    a column, the largest row). Blank tickets name no row. A row with both coordinates
+    becomes ``manual``.
     """
-    new = edits.select(
-        "ticket", T.to_number("lat").alias("__lat"), T.to_number("lon").alias("__lon"),
-        F.col("street").alias("__street"), T.strip_unit("house").alias("__house"),
+    value = F.struct(
+        T.to_number("lat").alias("lat"), T.to_number("lon").alias("lon"),
+        F.col("street").alias("street"), T.strip_unit("house").alias("house"))
+    rank = F.struct(F.col(order), value) if order in edits.columns else value
+    new = edits.where(T.text("ticket") != "").groupBy("ticket").agg(
+        F.max_by(value, rank).alias("__v")).select(
+        "ticket", F.col("__v.lat").alias("__lat"), F.col("__v.lon").alias("__lon"),
+        F.col("__v.street").alias("__street"), F.col("__v.house").alias("__house"),
         F.lit(True).alias("__edited"))
     df = df.join(new, "ticket", "left")
     edited = F.coalesce("__edited", F.lit(False))

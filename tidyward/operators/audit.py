@@ -11,13 +11,21 @@ from tidyward.schema import PROVENANCE
 
 def change_entries(before: DataFrame, after: DataFrame, fields: list[str], source: str,
                    run_id: str, timestamp: str, key: str = "ticket") -> DataFrame:
-    """One audit entry per changed field of each ticket."""
+    """One audit entry per changed field of each ticket.
+
+    Tickets are compared one to one. A blank ticket names no row, so such rows are left
+    out; a ticket that one table repeats cannot be paired, so its rows are left out too
+    and :func:`repeated_keys` reports them.
+    """
     if source not in R.AUDIT_SOURCES:
         raise ValueError(f"source must be one of {sorted(R.AUDIT_SOURCES)}, got {source!r}")
-    old = before.select(F.col(key), F.struct(*[F.col(f).cast("string").alias(f) for f in fields])
-                        .alias("__old"))
-    new = after.select(F.col(key), F.struct(*[F.col(f).cast("string").alias(f) for f in fields])
-                       .alias("__new"))
+    def single(df: DataFrame, name: str) -> DataFrame:
+        values = F.struct(*[F.col(f).cast("string").alias(f) for f in fields])
+        return (df.where(T.text(key) != "").groupBy(key)
+                .agg(F.any_value(values).alias(name), F.count(F.lit(1)).alias("__n"))
+                .where("__n = 1").drop("__n"))
+
+    old, new = single(before, "__old"), single(after, "__new")
     changes = F.array_compact(F.array(*[
         F.when(~F.col(f"__old.{f}").eqNullSafe(F.col(f"__new.{f}")), F.struct(
             F.lit(f).alias("field"), F.coalesce(F.col(f"__old.{f}"), F.lit("")).alias("old"),
@@ -28,15 +36,25 @@ def change_entries(before: DataFrame, after: DataFrame, fields: list[str], sourc
                     F.lit(timestamp).alias("timestamp"), F.lit(run_id).alias("run_id")))
 
 
+def repeated_keys(df: DataFrame, key: str = "ticket") -> DataFrame:
+    """Keys that more than one row has, blank ones included: key, rows."""
+    return (df.groupBy(F.coalesce(F.col(key).cast("string"), F.lit("")).alias(key))
+            .agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+
+
+# Labels and sentences of the log must match.
 ROUTES = {"std": "כתובת", "intersection": "צומת", "range": "טווח",
           "apt_suffix": "סיומת דירה", "multi": "מרובה", "landmark": "ציון דרך"}
 
 
-def correction_log(df: DataFrame, keywords: dict = R.RESP_KEYWORDS) -> DataFrame:
+def correction_log(df: DataFrame, keywords: dict = R.RESP_KEYWORDS,
+                   length: int | None = None) -> DataFrame:
     """Up to three rows per ticket: what the cleaner changed, from what, and why.
 
-    Without provenance columns nothing can be said, and the log is empty.
+    Without provenance columns nothing can be said, and the log is empty. Texts come
+    whole; with ``length`` addresses and descriptions are cut to it for display.
     """
+    shown = lambda c: F.col(c) if length is None else F.substring(c, 1, length)
     have = set(df.columns)
     g: dict[str, Column] = {c: T.text(c) if c in have else F.lit("") for c in (
         "ticket", "date", "topic", "subtopic", "substance", "asset", "street", "house", "status",
@@ -75,14 +93,14 @@ def correction_log(df: DataFrame, keywords: dict = R.RESP_KEYWORDS) -> DataFrame
                  .alias("reason"), word.alias("keyword")))
     address = F.when(
         c("addr_route").isin(list(ROUTES)) & (c("street") != "") & (F.length("raw_address") > 2),
-        F.struct(F.lit("כתובת").alias("kind"), F.substring("raw_address", 1, 60).alias("before"),
+        F.struct(F.lit("כתובת").alias("kind"), shown("raw_address").alias("before"),
                  T.strip(say(c("street"), " ", c("house"))).alias("after"),
-                 say('כתובת "', F.substring("raw_address", 1, 50), '" נוּתחה: רחוב "', c("street"),
+                 say('כתובת "', shown("raw_address"), '" נוּתחה: רחוב "', c("street"),
                      '", בית ', c("house"), " (סוג: ", T.lookup("addr_route", ROUTES), ")")
                  .alias("reason"), F.lit(None).cast("string").alias("keyword")))
     log = df.select(
         "ticket", "date", "topic", "subtopic", "substance", "asset", "street", "house", "status",
-        F.substring("description", 1, 80).alias("description"),
+        shown("description").alias("description"),
         F.explode(F.array_compact(F.array(category, resp, address))).alias("k"))
     log = log.select("*", "k.*").drop("k")
     return log if have & set(PROVENANCE) else log.limit(0)

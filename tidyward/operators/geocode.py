@@ -227,8 +227,9 @@ def locate_in_layer(requests: DataFrame, layer: DataFrame, registry: DataFrame,
     crossing = F.col("layer_name").startswith(R.INTERSECTION_MARK)
 
     legs = (req.where(crossing).select("layer_name").distinct()
+            .withColumn("__parts", F.split("layer_name", "__"))
             .select("layer_name", F.explode(F.slice(
-                F.split("layer_name", "__"), 3, 1000)).alias("__leg")))
+                "__parts", F.lit(3), F.size("__parts"))).alias("__leg")))
     corners = (legs.join(layer.withColumnRenamed("layer_name", "__leg"), "__leg")
                .groupBy("layer_name").agg(F.avg("point.x").alias("x"), F.avg("point.y").alias("y"))
                .select("layer_name", F.struct("x", "y").alias("__corner")))

@@ -5,20 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidyward.functions.text import all_of
-from tidyward.session import broadcast_within, cut, source_bytes
-
-SMALL_INPUT_BYTES = 1 << 30
+from tidyward.session import cut
 
 
 def sequence_in_group(df: DataFrame, keys: list[str], order: list[str], out: str,
                       hot_rows: int | None = None, slices: int = 256) -> DataFrame:
     """Number the rows of each group 1, 2, 3, ... by ``order``; a null key gives null.
 
-    ``order`` should end with a unique column. A group of more than ``hot_rows``
-    rows never reaches one task: its order is cut into slices at sampled bounds,
-    each slice is numbered by itself and starts at the rows counted before it.
-    With ``hot_rows`` left out, a plan that reads under 1 GB is taken to have no
-    such group, and 4 million rows is the limit above that.
+    ``order`` should end with a unique column. Groups are counted first (combined before
+    the shuffle, on rows that are stored once). A group of more rows than an even share of
+    a task - or than ``hot_rows`` - never reaches one task: its order is cut into slices at
+    sampled bounds, each slice is numbered by itself and starts at the rows counted before it.
     """
     known = all_of([F.col(k).isNotNull() for k in keys])
     # rows without a key are not numbered, so they spread by their own order columns
@@ -30,12 +27,14 @@ def sequence_in_group(df: DataFrame, keys: list[str], order: list[str], out: str
                 .withColumn(out, F.when(known, F.row_number().over(plain)).cast("bigint"))
                 .drop("__spread"))
 
-    if hot_rows is None and source_bytes(df) < SMALL_INPUT_BYTES:
-        return numbered(df)
-
-    limit = hot_rows if hot_rows is not None else 4_000_000
+    df = cut(df)
     keyed = df.where(known)
-    hot = cut(keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit))
+    sizes = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    limit = hot_rows
+    if limit is None:
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        limit = df.count() // tasks
+    hot = cut(sizes.where(F.col("__n") > limit))
     if hot.isEmpty():
         return numbered(df)
 
@@ -50,7 +49,7 @@ def sequence_in_group(df: DataFrame, keys: list[str], order: list[str], out: str
         .groupBy(*keys, "__q").agg(F.min("__r").alias("__b"))
         .groupBy(*keys).agg(F.array_sort(F.collect_list("__b")).alias("__bounds")))
     placed = (
-        rows.drop("__n").join(broadcast_within(bounds, 4096), keys, "left")
+        rows.drop("__n").join(bounds, keys, "left")
         .withColumn("__r", rank)
         .withColumn("__slice", F.coalesce(
             F.size(F.filter("__bounds", lambda b: b <= F.col("__r"))), F.lit(0)))
@@ -64,7 +63,7 @@ def sequence_in_group(df: DataFrame, keys: list[str], order: list[str], out: str
     sliced = Window.partitionBy(*keys, "__slice").orderBy(*order)
     split = (
         placed.withColumn(out, F.row_number().over(sliced).cast("bigint"))
-        .join(broadcast_within(before, 1_000_000), [*keys, "__slice"])
+        .join(before, [*keys, "__slice"])
         .withColumn(out, F.col(out) + F.col("__before"))
         .drop("__slice", "__before"))
     return cold.unionByName(split)

@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import itertools
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidyward import rules as R
 from tidyward.functions import text as T
 from tidyward.session import broadcast_within, cut
 
-MOST_GROUPS = 10_000
-MOST_TERMS = 500_000
+
+def terms_of(words: str) -> Column:
+    """The distinct words and bigrams of an array of words, with their length ``n``."""
+    tag = lambda found, n: F.transform(F.array_distinct(found), lambda w: F.struct(
+        F.lit(n).alias("n"), w.alias("term")))
+    return F.concat(tag(F.col(words), 1), tag(T.ngrams(words), 2))
 
 
 def row_terms(df: DataFrame, text: str, letters: str = T.HEBREW,
               stop_words=R.STOP_WORDS) -> DataFrame:
-    """Add ``terms``: the distinct words and bigrams of each row, with their length ``n``."""
-    tag = lambda words, n: F.transform(F.array_distinct(words), lambda w: F.struct(
-        F.lit(n).alias("n"), w.alias("term")))
+    """Add ``terms``: the distinct words and bigrams of each row."""
     return (df.withColumn("__words", T.tokens(text, letters, stop_words))
-            .withColumn("terms", F.concat(tag(F.col("__words"), 1), tag(T.ngrams("__words"), 2)))
-            .drop("__words"))
+            .withColumn("terms", terms_of("__words")).drop("__words"))
 
 
 def term_counts(df: DataFrame, group: str, text: str, letters: str = T.HEBREW,
@@ -30,21 +33,18 @@ def term_counts(df: DataFrame, group: str, text: str, letters: str = T.HEBREW,
             .groupBy(group, "__t.n", "__t.term").agg(F.count(F.lit(1)).alias("rows")))
 
 
-def _candidates(df: DataFrame, group: str, text: str, minimum: DataFrame, letters: str,
-                stop_words) -> DataFrame:
+def _candidates(rows: DataFrame, group: str, minimum: DataFrame) -> DataFrame:
     """Terms that may name a group, with ``score``: bigrams count twice, covered words drop.
 
     A bigram is no more frequent than either of its words, so only bigrams of
     frequent words are counted at all.
     """
-    rows = df.withColumn("__words", T.tokens(text, letters, stop_words)).select(group, "__words")
-
     def often(terms: DataFrame) -> DataFrame:
         return (terms.groupBy(group, "term").agg(F.count(F.lit(1)).alias("rows"))
                 .join(minimum, group).where(F.col("rows") >= F.col("min_rows")))
 
     words = cut(often(rows.select(group, F.explode(F.array_distinct("__words")).alias("term"))))
-    known = broadcast_within(words, MOST_TERMS)
+    known = broadcast_within(words)
     pairs = rows.select(group, F.explode(F.array_distinct(T.ngrams("__words"))).alias("term"))
     for side in (1, -1):
         word = F.substring_index("term", " ", side)
@@ -59,9 +59,9 @@ def _candidates(df: DataFrame, group: str, text: str, minimum: DataFrame, letter
 
 
 def pattern_groups(df: DataFrame, group: str, row_id: str, text: str, minimum: DataFrame,
-                   max_groups: int = 12, letters: str = T.HEBREW,
+                   max_groups: int | None = None, letters: str = T.HEBREW,
                    stop_words=R.STOP_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Greedy disjoint groups of rows that share a phrase.
+    """Greedy disjoint groups of rows that share a phrase, ``max_groups`` at most if given.
 
     ``minimum``: group, min_rows. Candidates are taken by score; one is accepted if
     at least ``min_rows`` of its rows are still free, and takes them. Since free
@@ -69,31 +69,33 @@ def pattern_groups(df: DataFrame, group: str, row_id: str, text: str, minimum: D
     that still has enough: one aggregate per round, for all groups at once, and
     the rows' own state follows from the accepted terms.
 
+    Rows are told apart by a number of their own, so ``row_id`` may repeat or be null.
+    Texts are split into words once.
+
     Returns the groups (group, position, term, rows) and the assigned rows
-    (group, row_id, position, term).
+    (group, row_id, position, term), one for each row.
     """
-    base = df.select(group, row_id, text)
+    base = cut(df.select(group, F.col(row_id).alias("__id"), F.monotonically_increasing_id().alias("__row"),
+                         T.tokens(text, letters, stop_words).alias("__words")))
     # min_rows grows with a group, so its candidates stay few: one short ranking each
     order = Window.partitionBy(group).orderBy(F.desc("score"), "term")
-    chosen = cut(_candidates(base, group, text, minimum, letters, stop_words)
+    chosen = cut(_candidates(base.select(group, "__words"), group, minimum)
                  .withColumn("rank", F.row_number().over(order)))
-    small = minimum.select(F.lit(1)).limit(MOST_GROUPS + 1).count() <= MOST_GROUPS
-    beside = F.broadcast if small else (lambda d: d)
-    named = broadcast_within(chosen, MOST_TERMS)
+    named = broadcast_within(chosen)
     mine = cut(
-        row_terms(base, text, letters, stop_words)
-        .select(group, row_id, F.explode("terms").alias("__t"))
-        .select(group, row_id, "__t.n", "__t.term")
+        base.select(group, "__id", "__row", F.explode(terms_of("__words")).alias("__t"))
+        .select(group, "__id", "__row", "__t.n", "__t.term")
         .join(named.select(group, "n", "term", "rank"), [group, "n", "term"])
-        .groupBy(group, row_id)
-        .agg(F.array_sort(F.collect_list("rank")).alias("ranks")))  # terms of one row
+        .groupBy(group, "__row")
+        .agg(F.array_sort(F.collect_list("rank")).alias("ranks"),   # terms of one row
+             F.first("__id").alias("__id")))
     accepted = cut(minimum.select(group, "min_rows", F.array().cast("array<int>").alias("taken"),
                                   F.array().cast("array<bigint>").alias("sizes")))
     so_far = 0
-    for _ in range(max_groups):
+    for _ in itertools.count() if max_groups is None else range(max_groups):
         last = F.coalesce(F.array_max("taken"), F.lit(0))
         free = (
-            mine.join(beside(accepted.withColumn("last", last)), group)
+            mine.join(broadcast_within(accepted.withColumn("last", last)), group)
             .where(~F.arrays_overlap("ranks", "taken"))
             .select(group, "min_rows", "last", F.explode("ranks").alias("r"))
             .where(F.col("r") > F.col("last")))
@@ -116,25 +118,24 @@ def pattern_groups(df: DataFrame, group: str, row_id: str, text: str, minimum: D
         .join(named.select(group, "rank", "term"), [group, "rank"])
         .select(group, "position", "term", "rows"))
     assigned = (
-        mine.join(beside(accepted), group)
+        mine.join(broadcast_within(accepted), group)
         .withColumn("rank", F.array_min(F.array_intersect("ranks", "taken")))
         .where(F.col("rank").isNotNull())
-        .select(group, row_id, "rank",
+        .select(group, F.col("__id").alias(row_id), "rank",
                 (F.array_position("taken", F.col("rank")) - 1).cast("int").alias("position"))
         .join(named.select(group, "rank", "term"), [group, "rank"])
         .select(group, row_id, "position", "term"))
     return groups, assigned
 
 
-def _examples(rows: DataFrame, keys: list[str], text: str, order: str, n: int,
-              length: int) -> DataFrame:
+def _examples(rows: DataFrame, keys: list[str], text: str, order: str, n: int) -> DataFrame:
     """Up to ``n`` non-blank texts per key, in a repeatable random order."""
     draw = F.md5(F.concat_ws("|", F.lit("42"), F.col(order).cast("string")))
     w = Window.partitionBy(*keys).orderBy(draw, order)
     return (rows.where(T.text(text) != "")
             .withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n)
             .groupBy(*keys).agg(F.transform(
-                F.array_sort(F.collect_list(F.struct("__r", F.substring(text, 1, length).alias("t")))),
+                F.array_sort(F.collect_list(F.struct("__r", F.col(text).alias("t")))),
                 lambda s: s["t"]).alias("samples")))
 
 
@@ -143,20 +144,25 @@ def unknown_subtopics(df: DataFrame) -> DataFrame:
     open_rows = df.where((F.col("category_source") == "passthrough") & ~T.is_blank("subtopic")) \
         .select(T.strip("subtopic").alias("value"), "description", "ticket")
     counts = open_rows.groupBy("value").agg(F.count(F.lit(1)).alias("rows"))
-    first = Window.partitionBy("value").orderBy("ticket")
+    first = Window.partitionBy("value").orderBy("ticket", "description")
     examples = (
         open_rows.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= 2)
         .where(T.text("description") != "")
         .groupBy("value").agg(F.transform(
-            F.array_sort(F.collect_list(F.struct("__r", F.substring("description", 1, 60).alias("t")))),
+            F.array_sort(F.collect_list(F.struct("__r", F.col("description").alias("t")))),
             lambda s: s["t"]).alias("examples")))
     return counts.join(examples, "value", "left").orderBy(F.desc("rows"), "value")
 
 
 def responsibility_clusters(df: DataFrame, rules: R.Rules = R.MUNICIPAL, letters: str = T.HEBREW,
-                            stop_words=R.STOP_WORDS) -> tuple[DataFrame, DataFrame]:
+                            stop_words=R.STOP_WORDS, first_groups: int | None = 12,
+                            second_groups: int | None = 6, samples: int = 4) -> tuple[DataFrame, DataFrame]:
     """Questions about rows whose responsibility is still open.
 
+    A review asks about the first ``first_groups`` and ``second_groups`` phrases of a
+    category (None: all) and shows ``samples`` texts of each. Rows count, not tickets: these may
+    be blank or repeat.
+
     Returns the categories (category, total, unresolved, remainder, samples) and
     their phrase groups (category, sweep, position, term, rows, samples). A second
     sweep looks at the rows the first left over.
@@ -166,38 +172,39 @@ def responsibility_clusters(df: DataFrame, rules: R.Rules = R.MUNICIPAL, letters
     # every sweep reads these rows again, so they are computed once
     cats = cut(df.where(F.col("category").isin(rules.ambiguous)).select(
         "category", "ticket", F.coalesce("description", F.lit("")).alias("description"),
-        unresolved.alias("open")))
+        unresolved.alias("open"), F.monotonically_increasing_id().alias("__no")))
     sizes = cut(cats.groupBy("category")
                 .agg(F.count(F.lit(1)).alias("total"), F.count_if("open").alias("unresolved"))
                 .where("total >= 3 AND unresolved >= 5"))
+    # the categories are those of the fixed rules
     pool = cats.where("open").join(F.broadcast(sizes.select("category")), "category", "left_semi") \
-        .drop("open")
+        .withColumn("__key", F.concat_ws("|", "ticket", "description")).drop("open")
 
     def sweep(rows: DataFrame, counts: DataFrame, divisor: int, groups: int):
         minimum = counts.select("category", F.greatest(
             F.lit(3).cast("bigint"), F.floor(F.col("n") / divisor)).alias("min_rows"))
-        return pattern_groups(rows, "category", "ticket", "description", minimum, groups,
+        return pattern_groups(rows, "category", "__no", "description", minimum, groups,
                               letters, stop_words)
 
-    first, taken = sweep(pool, sizes.select("category", F.col("unresolved").alias("n")), 80, 12)
+    first, taken = sweep(pool, sizes.select("category", F.col("unresolved").alias("n")), 80, first_groups)
     taken = cut(taken)
-    left = pool.join(taken.select("category", "ticket"), ["category", "ticket"], "left_anti")
+    left = pool.join(taken.select("__no"), "__no", "left_anti")
     left_sizes = cut(left.groupBy("category").agg(F.count(F.lit(1)).alias("n")).where("n >= 10"))
     rest = left.join(left_sizes.select("category"), "category", "left_semi")
-    second, taken_again = sweep(rest, left_sizes, 40, 6)
+    second, taken_again = sweep(rest, left_sizes, 40, second_groups)
     taken = taken.withColumn("sweep", F.lit(1)).unionByName(
         cut(taken_again).withColumn("sweep", F.lit(2)))
     groups = first.withColumn("sweep", F.lit(1)).unionByName(second.withColumn("sweep", F.lit(2)))
     where = ["category", "sweep", "position"]
-    samples = _examples(pool.join(taken, ["category", "ticket"]), where, "description", "ticket", 4, 130)
-    groups = groups.join(samples, where, "left") \
+    shown = _examples(pool.join(taken.drop("category"), "__no"), where, "description", "__key", samples)
+    groups = groups.join(shown, where, "left") \
         .select("category", "sweep", "position", "term", "rows", "samples")
-    loose = pool.join(taken.select("category", "ticket"), ["category", "ticket"], "left_anti")
+    loose = pool.join(taken.select("__no"), "__no", "left_anti")
     used = taken.groupBy("category").agg(F.count(F.lit(1)).alias("__used"))
     categories = (
         sizes.join(used, "category", "left")
         .withColumn("remainder", F.col("unresolved") - F.coalesce("__used", F.lit(0)))
         .drop("__used")
-        .join(_examples(loose, ["category"], "description", "ticket", 4, 130), "category", "left")
+        .join(_examples(loose, ["category"], "description", "__key", samples), "category", "left")
         .orderBy(F.desc("unresolved"), "category"))
     return categories, groups

@@ -114,13 +114,15 @@ def heat_points(df: DataFrame, weight: str | None = None) -> DataFrame:
             .select(F.bround("lat", 6).alias("lat"), F.bround("lon", 6).alias("lon"), "weight"))
 
 
-def marker_rows(df: DataFrame, most: int = 3000) -> DataFrame:
-    """The first located rows by date and ticket, for a map layer."""
+def marker_rows(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Located rows for a map layer; with ``most``, the first so many by date and ticket."""
     shown = [c for c in ("street", "house", "category", "zone", "date") if c in df.columns]
     rows = df.withColumns({"lat": T.to_number("lat"), "lon": T.to_number("lon")}) \
         .where("lat IS NOT NULL AND lon IS NOT NULL")
     order = [c for c in ("date", "ticket") if c in df.columns]
-    return rows.orderBy(*order).limit(most).select(
+    if most is not None:
+        rows = rows.orderBy(*order).limit(most)
+    return rows.select(
         F.bround("lat", 6).alias("lat"), F.bround("lon", 6).alias("lon"),
         *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in shown])
 

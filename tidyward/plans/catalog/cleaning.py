@@ -264,7 +264,7 @@ def _(t):
         "ticket", "category", "responsibility", "resp_source", "confidence")
 
 
-_KNOWN_BAD = "SELECT p_name || ' ' || CAST(p_size AS STRING) AS name FROM {part} WHERE p_size > 40"
+_KNOWN_BAD = "SELECT p_name || ' ' || CAST(p_size * 2 AS STRING) AS name FROM {part}"
 _IS_KNOWN = f"{txt('raw_address')} IN ({_KNOWN_BAD.replace('{part}', 'part')})"
 _PREFIXED = "(" + " OR ".join(f"starts_with({txt('raw_address')}, {lit(p)})"
                               for p in R.DESCRIPTIVE_PREFIXES) + ")"

@@ -262,9 +262,9 @@ _LOGGED = CLEANED + [f"""log AS (
       ELSE {_SAY} || ' בגלל מילת המפתח "' || replace(resp_source, 'keyword:', '') || '" שנמצאה בתיאור' END,
     {_FIRST_WORD} FROM cleaned
     WHERE (resp_source = 'map' AND responsibility NOT IN ('א.מ.ל', '')) OR resp_source LIKE 'keyword:%'
-  UNION ALL SELECT ticket, 'כתובת', substr({txt('raw_address')}, 1, 60),
+  UNION ALL SELECT ticket, 'כתובת', {txt('raw_address')},
     trim({txt('street')} || ' ' || {txt('house')}),
-    'כתובת "' || substr({txt('raw_address')}, 1, 50) || '" נוּתחה: רחוב "' || {txt('street')} || '", בית ' ||
+    'כתובת "' || {txt('raw_address')} || '" נוּתחה: רחוב "' || {txt('street')} || '", בית ' ||
       {txt('house')} || ' (סוג: ' || {mapped('addr_route', AU.ROUTES)} || ')', NULL FROM cleaned
     WHERE addr_route IN ({lits(AU.ROUTES)}) AND {txt('street')} <> '' AND length({txt('raw_address')}) > 2)"""]
 

@@ -47,7 +47,7 @@ def decode(x: str) -> str:
 
 def num(x: str) -> str:
     n = f"TRY_CAST({ws(f'''replace(CAST({x} AS STRING), ',', '')''')} AS DOUBLE)"
-    return f"CASE WHEN NOT isnan({n}) THEN {n} END"
+    return f"CASE WHEN isfinite({n}) THEN {n} END"
 
 
 def blank(x: str) -> str:

@@ -111,11 +111,20 @@ def _(t):
 @query("marker_rows", with_ctes([SPOT], f"""SELECT round_even({num('lat')}, 6) AS lat,
   round_even({num('lon')}, 6) AS lon, coalesce(street, '') AS street, coalesce(house, '') AS house,
   coalesce(category, '') AS category, coalesce(zone, '') AS zone, coalesce(date, '') AS date
-  FROM spots WHERE {_HAS} ORDER BY spots.date NULLS FIRST, ticket LIMIT 3000"""))
+  FROM spots WHERE {_HAS}"""))
 def _(t):
     return RP.marker_rows(t.sql(SPOTS))
 
 
+@query("first_markers", with_ctes([SPOT], f"""SELECT round_even({num('lat')}, 6) AS lat,
+  round_even({num('lon')}, 6) AS lon, coalesce(street, '') AS street, coalesce(house, '') AS house,
+  coalesce(category, '') AS category, coalesce(zone, '') AS zone, coalesce(date, '') AS date
+  FROM spots WHERE {_HAS} ORDER BY spots.date NULLS FIRST, ticket LIMIT 3000"""))
+def _(t):
+    """The top-k form: a map shows so many markers."""
+    return RP.marker_rows(t.sql(SPOTS), most=3000)
+
+
 _SEV = _FLAGGED + [f"""sp AS (SELECT ticket, {num('lat')} AS lat, {num('lon')} AS lon, street, house,
   flag_severity, CASE WHEN flag_labels = '' THEN 'תקין' ELSE flag_labels END AS flag_labels FROM flagged
   WHERE {num('lat')} BETWEEN 32 AND 33 AND {num('lon')} BETWEEN 34 AND 36)"""]

@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidyward import rules as R
-from tidyward.session import spread
-
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -130,15 +128,14 @@ FROM {{orders}} o JOIN {{part}} p ON p.p_partkey = o.o_custkey
 # Address points: one per part; a street's code is its first part number.
 POINTS = """
 SELECT CAST(c.code AS INT) AS street_code, p.p_name AS street_name,
-  CAST(p.p_size AS STRING) || CASE WHEN p.p_partkey % 5 = 0 THEN 'א' ELSE '' END AS house_raw,
-  CASE WHEN p.p_partkey % 11 = 0 THEN NULL ELSE p.p_size END AS house_no,
+  CAST(p.p_size * 2 AS STRING) || CASE WHEN p.p_partkey % 5 = 0 THEN 'א' ELSE '' END AS house_raw,
+  CASE WHEN p.p_partkey % 11 = 0 THEN NULL ELSE p.p_size * 2 END AS house_no,
   CASE WHEN p.p_partkey % 4 = 0 THEN NULL ELSE p.p_brand END AS neighborhood,
   32.14 + CAST(p.p_partkey % 590 AS DOUBLE) / 10000 AS lat,
   34.80 + CAST(p.p_partkey * 7 % 690 AS DOUBLE) / 10000 AS lon,
   p.p_partkey AS seq
 FROM {part} p JOIN (SELECT p_name, min(p_partkey) + 1 AS code FROM {part} GROUP BY p_name) c
   ON c.p_name = p.p_name
-WHERE p.p_size % 9 <> 4
 """
 
 # Requests: one per line item, its street from the part.
@@ -177,7 +174,10 @@ class Tables:
         if name not in TABLES:
             raise AttributeError(name)
         if name not in self._read:
-            self._read[name] = spread(self.spark.read.parquet(f"{self.dir}/{name}.parquet"))
+            df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            # a table in fewer files than there are cores would leave most of them idle
+            cores = self.spark.sparkContext.defaultParallelism
+            self._read[name] = df.repartition(cores) if len(df.inputFiles()) < cores else df
         return self._read[name]
 
     def sql(self, text: str) -> DataFrame:

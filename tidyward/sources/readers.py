@@ -109,8 +109,7 @@ def read_zone_reference(spark: SparkSession, path: str) -> DataFrame:
     raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
     points = raw.select(T.to_number("lat").alias("lat"), T.to_number("lon").alias("lon"), "zone")
     # ids depend on the values alone, so any split of the file gives the same ones
-    return points.select(F.xxhash64("lat", "lon", "zone").alias("ref_id"), "lat", "lon", "zone") \
-        .dropDuplicates(["ref_id"])
+    return points.distinct().select(F.xxhash64("lat", "lon", "zone").alias("ref_id"), "lat", "lon", "zone")
 
 
 def read_geocoder_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
