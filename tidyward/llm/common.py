@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidyward.session import rule_table
+from tidyward.session import is_local, rule_table
 
 LOWEST = -(1 << 63)
 _FOLDERS: dict[str, str] = {}
@@ -25,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
-        if not spark.sparkContext.master.startswith("local"):
+        if not is_local(spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         _FOLDERS[app] = tempfile.mkdtemp(prefix="tidyward-")
     return _FOLDERS[app]
