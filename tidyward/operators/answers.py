@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidyward import rules as R
 from tidyward.functions import text as T
 from tidyward.operators.clean import confidence_of, keyword_label, with_responsibility
+from tidyward.session import cut, fits
 
 SKIPPED = ["__skip__", "", "nan"]
 OPEN = "unresolved"
@@ -64,15 +65,18 @@ def apply_answers(df: DataFrame, answers: DataFrame, rules: R.Rules = R.MUNICIPA
     older ``resp_sub`` (keyword label in ``term``), ``resp_unmatched``, ``resp``.
     Skipped answers do nothing.
     """
-    given = answers.where(F.col("answer").isNotNull()
-                          & ~T.strip("answer").isin(SKIPPED))
+    given = cut(answers.where(F.col("answer").isNotNull()
+                              & ~T.strip("answer").isin(SKIPPED)))
+    # each kind's table is a part of the answers, so one measure holds for all: if they fit,
+    # the rows never shuffle on a column of a few values
+    beside = F.broadcast if fits(given) else (lambda table: table)
     df = rerun_keywords(df, rules)
 
-    df = (df.join(_per_key(given, "street", "term").withColumnRenamed("__key", "street"),
+    df = (df.join(beside(_per_key(given, "street", "term").withColumnRenamed("__key", "street")),
                   "street", "left")
           .withColumn("street", F.coalesce("__answer", "street")).drop("__answer"))
 
-    df = df.join(_per_key(given, "subtopic", "term").withColumnRenamed("__key", "subtopic"),
+    df = df.join(beside(_per_key(given, "subtopic", "term").withColumnRenamed("__key", "subtopic")),
                  "subtopic", "left")
     hit = F.col("__answer").isNotNull()
     df = df.withColumns({
@@ -86,14 +90,14 @@ def apply_answers(df: DataFrame, answers: DataFrame, rules: R.Rules = R.MUNICIPA
     }).drop("__answer", "__resp", "__how")
 
     contains = lambda t: F.coalesce(F.col("description"), F.lit("")).contains(t["term"])
-    df = df.join(_term_lists(given, "resp_term", "first").withColumnRenamed("__key", "category"),
+    df = df.join(beside(_term_lists(given, "resp_term", "first").withColumnRenamed("__key", "category")),
                  "category", "left")
     df = df.withColumn("__answer", F.when(F.col("resp_source") == OPEN, F.get(
         F.filter("__terms", contains), F.lit(0))["answer"])).drop("__terms")
     df = _set(df, F.col("__answer").isNotNull(), "user_resp_term")
 
-    by_category = lambda kind: _per_key(given, kind, "category") \
-        .withColumnRenamed("__key", "category")
+    by_category = lambda kind: beside(_per_key(given, kind, "category")
+                                      .withColumnRenamed("__key", "category"))
     df = df.join(by_category("resp_default"), "category", "left")
     df = _set(df, F.col("__answer").isNotNull() & (F.col("resp_source") == OPEN),
               "user_resp_default")
@@ -102,7 +106,7 @@ def apply_answers(df: DataFrame, answers: DataFrame, rules: R.Rules = R.MUNICIPA
     hits = F.array_compact(F.array(*[
         F.when(T.has_any("description", words), label)
         for label, words in rules.keywords.items()]))
-    df = df.join(labels, "category", "left").withColumn("__hits", hits)
+    df = df.join(beside(labels), "category", "left").withColumn("__hits", hits)
     named = lambda t: F.array_contains(F.col("__hits"), t["term"])
     df = df.withColumn("__answer", F.try_element_at(
         F.filter("__terms", named), F.lit(-1))["answer"]).drop("__terms", "__hits")

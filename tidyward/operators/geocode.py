@@ -149,7 +149,7 @@ def match_points(requests: DataFrame, points: DataFrame, cap: int = 20) -> DataF
             .withColumn("precision", T.lookup("geocode_method", R.METHOD_TIER)))
 
 
-def locate_locally(requests: DataFrame, points: DataFrame, registry: DataFrame,
+def locate_locally(requests: DataFrame, points: DataFrame, registry: DataFrame | None,
                    corrections: DataFrame | None = None) -> DataFrame:
     """Locate distinct (k_street, k_house) through street codes and address points.
 
@@ -208,7 +208,7 @@ def is_zero_house(house: Column | str) -> Column:
 # -- building layer -----------------------------------------------------------
 
 
-def locate_in_layer(requests: DataFrame, layer: DataFrame, registry: DataFrame,
+def locate_in_layer(requests: DataFrame, layer: DataFrame, registry: DataFrame | None,
                     corrections: DataFrame | None = None,
                     project: Callable = grid_to_degrees) -> DataFrame:
     """Locate distinct (k_street, k_house) in a building layer.
@@ -404,8 +404,6 @@ def geocode(df: DataFrame, sources: Sources, run_id: str | None = None,
                                            "street_zero_centroid")
                   .withColumn("__zero", F.lit(True)), ["k_street", "__zero"])
     registry = sources.registry
-    if registry is None:
-        registry = rule_table(spark, ["name", "code", "seq"], [("", 0, 0)]).where("code > 0")
     open_keys = lambda k: k.where("hit IS NULL").where(~T.is_blank("k_street"))
     if sources.points is not None:
         keys = cut(_after(keys, locate_locally(open_keys(keys), sources.points, registry,
@@ -447,7 +445,7 @@ def geocode(df: DataFrame, sources: Sources, run_id: str | None = None,
         "geocode_query": F.when(hit, F.col("hit.geocode_query")).otherwise(F.col("geocode_query")),
         "neighborhood": F.coalesce("neighborhood", F.when(hit, F.col("hit.neighborhood"))),
     })
-    if sources.registry is not None:
+    if registry is not None:
         codes = resolve_registry(df.select(F.col("k_street").alias("name")), registry)
         df = df.join(pinned(codes.select(F.col("name").alias("k_street"),
                                          F.col("code").alias("street_code"))), "k_street", "left")

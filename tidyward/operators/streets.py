@@ -206,7 +206,7 @@ def street_forms(names: DataFrame) -> DataFrame:
             .select("name", "pos", "f.form", "f.plain", "f.corrected"))
 
 
-def resolve_street_codes(names: DataFrame, streets: DataFrame, registry: DataFrame,
+def resolve_street_codes(names: DataFrame, streets: DataFrame, registry: DataFrame | None,
                          corrections: DataFrame | None = None) -> DataFrame:
     """Street code of each distinct ``name``.
 
@@ -250,10 +250,14 @@ def resolve_street_codes(names: DataFrame, streets: DataFrame, registry: DataFra
     wanted = tries.select(F.col("form").alias("name")).distinct()
     local = match_names(wanted, streets, 0.78).select(
         F.col("name").alias("form"), "code", "how").where("code <> 0")
-    listed = resolve_registry(wanted, registry).select(
-        F.col("name").alias("form"), F.col("code").alias("__rcode"))
+    found = tries.join(local, "form", "left")
+    if registry is not None:
+        found = found.join(resolve_registry(wanted, registry).select(
+            F.col("name").alias("form"), F.col("code").alias("__rcode")), "form", "left")
+    else:
+        found = found.withColumn("__rcode", F.lit(None).cast("int"))
     return (
-        tries.join(local, "form", "left").join(listed, "form", "left")
+        found
         .withColumn("how", F.coalesce("how", F.when(F.col("__rcode").isNotNull(), "registry")))
         .withColumn("code", F.coalesce("code", "__rcode"))
         .where(F.col("code").isNotNull())
@@ -261,7 +265,7 @@ def resolve_street_codes(names: DataFrame, streets: DataFrame, registry: DataFra
         .select("name", "m.code", "m.form", "m.how"))
 
 
-def resolve_layer_names(names: DataFrame, layer_names: DataFrame, registry: DataFrame,
+def resolve_layer_names(names: DataFrame, layer_names: DataFrame, registry: DataFrame | None,
                         corrections: DataFrame | None = None) -> DataFrame:
     """Building-layer name of each distinct ``name``: name, layer_name.
 
@@ -277,18 +281,20 @@ def resolve_layer_names(names: DataFrame, layer_names: DataFrame, registry: Data
     layer = layer_names.select(F.col("name").alias("form"), F.lit(True).alias("__in_layer")) \
         .where(F.coalesce("form", F.lit("")) != "").distinct()
     wanted = tries.select(F.col("form").alias("name")).distinct()
-    listed = resolve_registry(wanted, registry).select(
-        F.col("name").alias("form"), F.col("official").alias("__official"))
     if corrections is not None:
         manual = corrections.where("has_gis OR (status = 'unresolvable' AND gis IS NULL)").select(
             F.col("name").alias("form"), F.lit(True).alias("__manual"), F.col("gis").alias("__gis"))
     else:
         manual = layer.limit(0).select("form", F.lit(True).alias("__manual"),
                                        F.lit(None).cast("string").alias("__gis"))
+    known = tries.join(manual, "form", "left").join(layer, "form", "left")
+    if registry is not None:
+        known = known.join(resolve_registry(wanted, registry).select(
+            F.col("name").alias("form"), F.col("official").alias("__official")), "form", "left")
+    else:
+        known = known.withColumn("__official", F.lit(None).cast("string"))
     known = (
-        tries.join(manual, "form", "left").join(layer, "form", "left")
-        .join(listed, "form", "left")
-        .join(layer.select(F.col("form").alias("__official"),
+        known.join(layer.select(F.col("form").alias("__official"),
                            F.col("__in_layer").alias("__official_in_layer")), "__official", "left"))
     direct = (
         F.when(F.col("__manual"), F.col("__gis"))
@@ -297,7 +303,8 @@ def resolve_layer_names(names: DataFrame, layer_names: DataFrame, registry: Data
               F.col("__official")))
     known = cut(known.select("name", "pos", "form", direct.alias("__direct"),
                              F.coalesce("__manual", F.lit(False)).alias("__manual")))
-    corpus = layer.select(F.col("form").alias("name")).union(registry.select("name")).distinct()
+    corpus = layer.select(F.col("form").alias("name"))
+    corpus = (corpus.union(registry.select("name")) if registry is not None else corpus).distinct()
     close = close_matches(
         known.where(F.col("__direct").isNull() & ~F.col("__manual"))
         .select(F.col("form").alias("name")), corpus, 0.6)

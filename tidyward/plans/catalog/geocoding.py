@@ -97,7 +97,39 @@ def registry(t):
     return ST.registry_table(t.sql(_REGISTRY))
 
 
-@query("reprojection")
+def _degrees_sql() -> str:
+    """The inverse series of the grid, written out for DuckDB with its published coefficients."""
+    g = G.GRID
+    n = "(f / (2 - f))"
+    power = lambda k: f"pow({n}, {k})"
+    series = lambda terms: " + ".join(f"({a}) * {power(k)}" for a, k in terms)
+    alpha = [[("1.0/2", 1), ("-2.0/3", 2), ("5.0/16", 3), ("41.0/180", 4)],
+             [("13.0/48", 2), ("-3.0/5", 3), ("557.0/1440", 4)],
+             [("61.0/240", 3), ("-103.0/140", 4)], [("49561.0/161280", 4)]]
+    beta = [[("1.0/2", 1), ("-2.0/3", 2), ("37.0/96", 3), ("-1.0/360", 4)],
+            [("1.0/48", 2), ("1.0/15", 3), ("-437.0/1440", 4)],
+            [("17.0/480", 3), ("-37.0/840", 4)], [("4397.0/161280", 4)]]
+    delta = [[("2.0", 1), ("-2.0/3", 2), ("-2.0", 3), ("116.0/45", 4)],
+             [("7.0/3", 2), ("-8.0/5", 3), ("-227.0/45", 4)],
+             [("56.0/15", 3), ("-136.0/35", 4)], [("4279.0/630", 4)]]
+    terms = lambda coefficients, term: " + ".join(
+        f"({series(c)}) * {term.format(2 * j)}" for j, c in enumerate(coefficients, start=1))
+    return f"""WITH p AS (SELECT p_partkey, (178000 + p_partkey % 900 * 10)::DOUBLE AS x,
+    (671000 + p_size * 100)::DOUBLE AS y, {g['f']!r}::DOUBLE AS f, radians({g['lat0']!r}::DOUBLE) AS phi0,
+    {g['a']!r}::DOUBLE AS a FROM part),
+  c AS (SELECT *, {g['k0']!r}::DOUBLE * a / (1 + {n}) * (1 + {power(2)} / 4 + {power(4)} / 64) AS scale,
+    2 * sqrt({n}) / (1 + {n}) AS e FROM p),
+  d AS (SELECT *, atan(sinh(asinh(tan(phi0)) - e * atanh(e * sin(phi0)))) AS chi0 FROM c),
+  o AS (SELECT *, chi0 + {terms(alpha, 'sin({0} * chi0)')} AS xi0 FROM d),
+  q AS (SELECT *, (y - {g['y0']!r}::DOUBLE) / scale + xi0 AS xi, (x - {g['x0']!r}::DOUBLE) / scale AS eta FROM o),
+  r AS (SELECT *, xi - ({terms(beta, 'sin({0} * xi) * cosh({0} * eta)')}) AS xp,
+    eta - ({terms(beta, 'cos({0} * xi) * sinh({0} * eta)')}) AS ep FROM q),
+  s AS (SELECT *, asin(sin(xp) / cosh(ep)) AS chi FROM r)
+  SELECT p_partkey, round(degrees(chi + {terms(delta, 'sin({0} * chi)')}), 7) AS lat,
+    round(degrees(atan2(sinh(ep), cos(xp))) + {g['lon0']!r}::DOUBLE, 7) AS lon FROM s"""
+
+
+@query("reprojection", _degrees_sql())
 def _(t):
     x = (178000 + F.col("p_partkey") % 900 * 10).cast("double")
     y = (671000 + F.col("p_size") * 100).cast("double")

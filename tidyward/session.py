@@ -53,14 +53,19 @@ def is_local(master: str) -> bool:
 BROADCAST_BYTES = 32 << 20
 
 
+def fits(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of a checkpointed table take at most ``max_bytes`` as text."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return size <= max_bytes
+
+
 def broadcast_within(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast a checkpointed table whose rows take at most ``max_bytes`` as text.
+    """Broadcast a checkpointed table that fits.
 
     A larger one comes back without the hint and joins by shuffle, where adaptive
     execution splits skewed partitions; the result is the same.
     """
-    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
-    return F.broadcast(df) if size <= max_bytes else df
+    return F.broadcast(df) if fits(df, max_bytes) else df
 
 
 def pinned(df: DataFrame) -> DataFrame:
