@@ -69,7 +69,7 @@ def test_components_equal_brute_force(docs, seed):
     assert got == brute(rows)
 
 
-def test_few_bands_leave_work_to_the_exact_join(docs):
+def test_few_bands_leave_work_to_the_blocks(docs):
     """With one row per band everything that shares a passage meets in the same buckets."""
     rows = make_texts(3)
     got = {r.doc_id: (r.n_shingles, r.component_id)
@@ -77,6 +77,16 @@ def test_few_bands_leave_work_to_the_exact_join(docs):
     assert got == brute(rows)
 
 
+def test_blocks_of_a_group_cover_all_its_pairs(docs, monkeypatch):
+    import tidyward.llm.near as near
+    whole = near._block_links
+    monkeypatch.setattr(near, "_block_links", lambda *a: whole(*a, block=4))
+    rows = make_texts(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id)
+           for r in near_groups(docs(rows), bands=12, rows=1).collect()}
+    assert got == brute(rows)
+
+
 def test_one_row_of_each_component_stays(docs):
     long = "a b c d e f g h i j k l m n o p"
     rows = [(5, long), (3, long + " q"), (3, long), (3, long), (None, long), (9, None), (9, ""),

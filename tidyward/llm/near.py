@@ -7,9 +7,9 @@ agree on a coordinate with the probability of their Jaccard similarity.
 
 Documents with equal shingle sets form one class. Bands of coordinates put classes in
 buckets; each class of a bucket is compared with the bucket's first on full sets, and
-links are joined to components. What this leaves - classes of a bucket that are in
-different components - is joined exactly, by the rarest shingles of each class, of
-which two similar sets share one. So no bucket is cut short and none is paired out.
+links are joined to components. What this leaves - classes that share a bucket and are in
+different components - is compared in blocks, on full sets as well. So no bucket is cut
+short, and no pairs of a group are written out.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidyward.llm.common import BASE, byte_batches, mix, ragged, span_hashes, store, value_table
 from tidyward.llm.graph import components
@@ -167,7 +167,7 @@ def near_groups(docs: DataFrame, percent: int = 75, words: int = 5, bands: int =
                           .select("a", "b"), sets, percent))
     roots = store(components(links))
     rest = _across(members, roots)
-    more = store(_linked(_rare_pairs(rest, sets, percent), sets, percent))
+    more = store(_block_links(rest, sets, percent))
     if not more.isEmpty():
         roots = store(components(links.union(more)))
 
@@ -204,36 +204,64 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Classes (c, comp) that share a bucket with another component's class, apart from the
-    bucket's first, with which all of them have been compared."""
+    """Classes (c, comp, group) that share a bucket with another component's class, apart from
+    the bucket's first, with which all of them have been compared. Classes that share
+    such a bucket, or meet through others, are in one group."""
     placed = members.join(roots.withColumnRenamed("node", "c"), "c", "left").select(
         "bucket", "c", F.coalesce("root", "c").alias("comp"))
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter(
-        "low < high").select("bucket")
-    return store(placed.join(mixed, "bucket", "left_semi").select("c", "comp").distinct())
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
+                                         F.min("c").alias("head")).filter("low < high").select("bucket", "head")
+    rest = store(placed.join(mixed, "bucket").select("c", "comp", "head").distinct())
+    groups = components(rest.select(F.col("c").alias("a"), F.col("head").alias("b")))
+    return store(rest.select("c", "comp").distinct().join(
+        groups.select(F.col("node").alias("c"), F.col("root").alias("group")), "c"))
 
 
-def _rare_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of ``rest`` in different components that share one of their rarest shingles.
+def _block_links(rest: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """Links (a, b) between classes of a group that are in different components.
 
-    Of two sets at the threshold, each shares at least ``percent`` % of its items with the
-    other, so the n - ceil(n * percent / 100) + 1 rarest items of both, in one order of
-    all items, have one in common.
+    A group is dealt into blocks by a hash, and each pair of blocks is compared in one
+    small task, on full sets; of the links between two components one is returned.
     """
-    items = rest.select("c").join(sets.select("c", F.col("items").alias("all")), "c").select(
-        "c", F.explode("all").alias("item"))
-    shared = store(items.groupBy("item").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
-    met = store(items.join(shared, "item"))
-    # items of one class only are the rarest and come first; they link nothing
-    own = met.groupBy("c").agg(F.count(F.lit(1)).alias("common"))
-    prefix = store(met.join(own, "c").join(rest, "c").join(sets.select("c", "n"), "c").withColumn(
-        "rank", F.col("n") - F.col("common") + F.row_number().over(
-            Window.partitionBy("c").orderBy("times", "item")))
-        .filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-        .select("item", "c", "comp", "n"))
-    other = prefix.select("item", F.col("c").alias("b"), F.col("comp").alias("comp_b"),
-                          F.col("n").alias("n_b"))
-    return prefix.join(other, "item").filter(
-        (F.col("c") < F.col("b")) & (F.col("comp") != F.col("comp_b"))
-        & (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent)).select(
-        F.col("c").alias("a"), "b").distinct()
+    sizes = rest.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    dealt = rest.join(sizes, "group").withColumn(
+        "own", F.pmod(F.xxhash64("c"), F.col("blocks"))).join(sets, "c")
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(
+        "group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        "own", "c", "comp", "n", "items")
+
+    def compare(table):
+        table = table.sort_by("c")
+        c, comp, n = (table.column(x).to_numpy() for x in ("c", "comp", "n"))
+        own, j = table.column("own").to_numpy(), table.column("j")[0].as_py()
+        items = table.column("items").combine_chunks().flatten().to_numpy()
+        names, at = np.unique(items, return_inverse=True)
+        common = np.flatnonzero(np.bincount(at) > 1)      # the others are in no intersection
+        place = np.full(len(names), -1)
+        place[common] = np.arange(len(common))
+        doc, col = np.repeat(np.arange(len(c)), n), place[at]
+        doc, col = doc[col >= 0], col[col >= 0]
+        left = np.flatnonzero(own == table.column("i")[0].as_py())
+        right = np.flatnonzero(own == j)
+        both = np.zeros((len(left), len(right)), np.float32)
+        row = np.full((2, len(c)), -1)
+        row[0, left], row[1, right] = np.arange(len(left)), np.arange(len(right))
+        # a slice of items at a time keeps the matrices small
+        order = np.argsort(col, kind="stable")
+        doc, col = doc[order], col[order]
+        for x in range(0, len(common), 4096):
+            a, b = np.searchsorted(col, [x, x + 4096])
+            d, k = doc[a:b], col[a:b] - x
+            m = np.zeros((2, max(len(left), len(right)), 4096), np.float32)
+            for side in (0, 1):
+                inside = row[side][d] >= 0
+                m[side, row[side][d[inside]], k[inside]] = 1
+            both += m[0, :len(left)] @ m[1, :len(right)].T
+        union = n[left][:, None] + n[right][None, :] - both
+        linked = (100 * both >= percent * union) & (comp[left][:, None] != comp[right][None, :])
+        x, y = np.nonzero(linked)
+        x, y = left[x], right[y]
+        one = np.unique(np.sort(np.stack([comp[x], comp[y]]), axis=0), axis=1, return_index=True)[1]
+        return pa.table({"a": pa.array(c[x[one]], pa.int64()), "b": pa.array(c[y[one]], pa.int64())})
+
+    return pairs.groupBy("group", "i", "j").applyInArrow(compare, "a bigint, b bigint")
