@@ -34,7 +34,7 @@ def drop_templates(docs: DataFrame, min_texts: int = 10, depth: int = 3, min_tok
     ``min_fixed`` of its tokens are constant. Lines of fewer than ``min_tokens`` tokens stay.
     With ``keep_first`` a template's lines stay in the document of the smallest id. Null texts
     stay null and have no lines; an empty text has one, empty, line. Every document is
-    returned. Different texts are counted by a 64-bit hash. The frame must read the same in
+    returned. Texts, lines and templates are told apart by 64-bit hashes. The frame must read the same in
     every scan, as a table of files does. Columns named n_lines or n_dropped are replaced.
     """
     text = F.col(text_col).cast("string")
@@ -49,23 +49,26 @@ def drop_templates(docs: DataFrame, min_texts: int = 10, depth: int = 3, min_tok
 
     leaves = store(lines.select("leaf", "text").distinct().groupBy("leaf").agg(
         F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_texts).select("leaf"))
-    lines = store(lines.join(leaves, "leaf", "left_semi").select("id", "row", "text", "at", "line", "tokens"))
+    lines = store(lines.join(leaves, "leaf", "left_semi").select(
+        "id", "row", "text", "at", "line", "tokens", F.xxhash64("line").alias("key")))
 
-    # from here on only lines of well-visited leaves
-    kinds = store(lines.select("line", "tokens", "text").distinct().groupBy("line", "tokens").agg(
-        F.count(F.lit(1)).alias("texts")).withColumn("head", head))
-    spread = kinds.select("line", "tokens", "head", "texts",
-                          F.posexplode(F.split("line", " ")).alias("at", "token"))
-    constant = spread.groupBy("tokens", "head", "at", "token").agg(
-        F.sum("texts").alias("seen")).filter((F.col("seen") >= min_texts) & (F.col("token") != FIELD))
-    fixed = F.col("seen").isNotNull()
-    templates = spread.join(constant, ["tokens", "head", "at", "token"], "left").groupBy("line", "tokens").agg(
+    # from here on only lines of well-visited leaves, each distinct one once, by its key
+    kinds = lines.select("key", "tokens", "line").distinct()
+    often = lines.select("key", "text").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("texts"))
+    spread = kinds.select("key", "tokens", head.alias("head"), F.posexplode(F.split("line", " ")).alias("at", "token"))
+    # a place is a token at its position in a leaf
+    place = F.xxhash64("tokens", "head", "at", "token").alias("place")
+    spread = spread.select("key", "tokens", "at", "token", place)
+    constant = spread.join(often, "key").groupBy("place").agg(F.sum("texts").alias("seen")).filter(
+        F.col("seen") >= min_texts)
+    fixed = F.col("seen").isNotNull() & (F.col("token") != FIELD)
+    templates = spread.join(constant, "place", "left").groupBy("key", "tokens").agg(
         F.sort_array(F.collect_list(F.struct("at", F.when(fixed, F.col("token")).otherwise(FIELD).alias("token"))))
         .alias("parts"), F.count(F.when(fixed, 1)).alias("fixed"))
     templates = store(templates.filter(F.col("fixed") >= F.col("tokens") * min_fixed).select(
-        "line", F.array_join("parts.token", " ").alias("template")))
+        "key", F.xxhash64(F.array_join("parts.token", " ")).alias("template")))
 
-    placed = lines.join(templates, "line")
+    placed = lines.select("id", "row", "text", "at", "key").join(templates, "key")
     recurring = placed.groupBy("template", "text").agg(F.min("id").alias("first")).groupBy("template").agg(
         F.min("first").alias("first"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_texts)
     gone = placed.join(recurring.select("template", "first"), "template")
