@@ -446,6 +446,27 @@ def _(t):
         "ticket", "lat", "lon", "street", "house", "geocode_method", "precision")
 
 
+# Several edits per ticket and blank tickets: the edit of the largest number counts.
+_REPEATED_EDITS = """SELECT (l_partkey * 1000000 + l_suppkey) * 10 + l_linenumber AS seq,
+  CASE WHEN l_suppkey % 9 = 0 THEN '' ELSE CAST(l_orderkey AS STRING) END AS ticket,
+  CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE '32.15' END AS lat, '34.83' AS lon,
+  CAST(l_partkey AS STRING) AS street, CAST(l_linenumber AS STRING) AS house FROM {lineitem}"""
+
+
+@query("manual_edits_repeated", with_ctes([SPOT, f"edits AS ({_REPEATED_EDITS.replace('{lineitem}', 'lineitem')})", """
+  last AS (SELECT ticket, max(seq) AS seq, arg_max({'lat': lat, 'street': street, 'house': house}, seq) AS e
+    FROM edits WHERE ticket <> '' GROUP BY ticket)"""], f"""
+  SELECT s.ticket, CASE WHEN l.ticket IS NULL THEN {num('s.lat')} ELSE {num('l.e.lat')} END AS lat,
+    CASE WHEN l.ticket IS NULL THEN s.street ELSE l.e.street END AS street,
+    CASE WHEN l.ticket IS NULL THEN s.house ELSE l.e.house END AS house,
+    CASE WHEN l.e.lat IS NOT NULL THEN 'manual' ELSE geocode_method END AS geocode_method
+  FROM spots s LEFT JOIN last l ON l.ticket = s.ticket"""))
+def _(t):
+    spots = t.sql(SPOTS).withColumns({"lat": T.to_number("lat"), "lon": T.to_number("lon")})
+    return A.apply_manual_edits(spots, t.sql(_REPEATED_EDITS)).select(
+        "ticket", "lat", "street", "house", "geocode_method")
+
+
 # -- flags --------------------------------------------------------------------
 
 _FLAG_ROWS = f"SELECT s.*, CASE WHEN CAST(ticket AS BIGINT) % 101 = 0 THEN ' nan' ELSE ticket END AS id FROM ({SPOTS}) s"
@@ -592,10 +613,14 @@ def _(t):
     return pattern_groups(t.documents, "lang", "doc_id", "text", minimum, 12, _LATIN, _DOC_STOP)[0]
 
 
-@query("unknown_subtopics", with_ctes(CLEANED, """SELECT subtopic AS value, count(*) AS rows
-  FROM cleaned WHERE category_source = 'passthrough' GROUP BY subtopic"""))
+@query("unknown_subtopics", with_ctes(CLEANED, f"""SELECT value, count(*) AS rows,
+  array_to_string(list(description ORDER BY r) FILTER (r <= 2 AND {txt('description')} <> ''), '|') AS examples
+  FROM (SELECT subtopic AS value, description, row_number() OVER (
+      PARTITION BY subtopic ORDER BY ticket, description) AS r
+    FROM cleaned WHERE category_source = 'passthrough') GROUP BY value"""))
 def _(t):
-    return unknown_subtopics(clean(t.sql(COMPLAINTS))).select("value", "rows")
+    return unknown_subtopics(clean(t.sql(COMPLAINTS))).select(
+        "value", "rows", F.array_join("examples", "|").alias("examples"))
 
 
 @query("review_categories", with_ctes(CLEANED, f"""SELECT category, count(*) AS total,
@@ -613,9 +638,10 @@ def _(t):
 
 @query("required_columns", with_ctes([RAW], " UNION ALL ".join(
     f"SELECT '{c}' AS name, true AS found, count({c}) AS filled FROM raw"
-    for c in ("ticket", "opened_at", "raw_address", "subtopic"))))
+    for c in ("ticket", "opened_at", "raw_address"))
+    + " UNION ALL SELECT 'subtopic', false, CAST(0 AS BIGINT) WHERE EXISTS (SELECT 1 FROM raw)"))
 def _(t):
-    rows = t.sql(COMPLAINTS)
+    rows = t.sql(COMPLAINTS).drop("subtopic")
     found, missing = check_columns(rows)
     filled = rows.agg(*[F.count(c).alias(c) for c in found])
     return filled.select(F.explode(F.array(*[

@@ -230,6 +230,31 @@ def _entries(t, run="run1"):
                              "manual_editor", run, "2026-01-01T00:00:00")
 
 
+# Repeated and blank tickets: two rows per customer are one ticket, some tickets are blank.
+_AGAIN = """SELECT CASE WHEN o_custkey % 7 = 0 THEN '' WHEN o_custkey % 11 = 0 THEN NULL
+    WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey AS STRING)
+    ELSE CAST(o_orderkey AS STRING) || '-' || CAST(o_custkey AS STRING) END AS ticket,
+  {status} AS status FROM {{orders}}"""
+_OLD = _AGAIN.format(status="o_orderstatus")
+_NEW = _AGAIN.format(status="CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END")
+_SINGLE = """SELECT ticket, min(status) AS status FROM ({}) t WHERE ticket <> '' GROUP BY ticket HAVING count(*) = 1"""
+
+
+@query("audit_repeats", f"""SELECT o.ticket, 'status' AS field, o.status AS old, n.status AS new
+  FROM ({_SINGLE.format(_OLD.replace('{orders}', 'orders'))}) o
+  JOIN ({_SINGLE.format(_NEW.replace('{orders}', 'orders'))}) n ON n.ticket = o.ticket
+  WHERE o.status IS DISTINCT FROM n.status""")
+def _(t):
+    return AU.change_entries(t.sql(_OLD), t.sql(_NEW), ["status"], "manual_editor", "run1",
+                             "2026-01-01T00:00:00").select("ticket", "field", "old", "new")
+
+
+@query("audit_repeated_keys", f"""SELECT coalesce(ticket, '') AS ticket, count(*) AS rows
+  FROM ({_OLD.replace('{orders}', 'orders')}) t GROUP BY 1 HAVING count(*) > 1""")
+def _(t):
+    return AU.repeated_keys(t.sql(_OLD))
+
+
 @query("audit_diff", with_ctes(_PAIR, _CHANGES))
 def _(t):
     return _entries(t).drop("timestamp")
