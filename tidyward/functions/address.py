@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidyward import rules as R
 from tidyward.functions.text import HEBREW, decode_entities, match, once, replace, strip
 
+# Patterns of the address forms.
 CROSSING = r"(?Us)^(.*?)\s+(?:פינת|פינה|פ['.])\s*(.*)$"
 RANGE = r"(?U)^(.+?)\s+(\d+\s*[-–]\s*\d+)\s*$"
 DIRECTION = r"(?Us)^(.*?)\s+(?:" + "|".join(R.DIRECTIONS) + ")"

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidyward import rules as R
 
+# The letters, and text that is only digits and punctuation.
 HEBREW = "א-ת"
 JUNK = r"""(?U)^[\d\s.,\-_!?()״׳'"]+$"""
 
@@ -187,6 +188,7 @@ def ngrams(words: Column | str, n: int = 2) -> Column:
     return F.when(count > 0, out).otherwise(F.array().cast("array<string>"))
 
 
+# What stands before and behind a street name.
 STREET_PREFIX = r"""(?U)^(רחוב|רח[׳'״]|ר[׳'״]|ה?רחוב)\s+"""
 TRAILING_HOUSE = rf"(?U)[\s,./\-]+\d{{1,4}}\s*[{HEBREW}]?(?:\s*/\s*\d+)?\s*$"
 MARK_RUN = r"""[\s,.;׳״'"־\-]+"""

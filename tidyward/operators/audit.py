@@ -18,7 +18,7 @@ def change_entries(before: DataFrame, after: DataFrame, fields: list[str], sourc
     and :func:`repeated_keys` reports them.
     """
     if source not in R.AUDIT_SOURCES:
-        raise ValueError(f"source must be one of {sorted(R.AUDIT_SOURCES)}, got {source!r}")
+        raise ValueError(f"no such audit source: {source!r}; known are {', '.join(sorted(R.AUDIT_SOURCES))}")
     def single(df: DataFrame, name: str) -> DataFrame:
         values = F.struct(*[F.col(f).cast("string").alias(f) for f in fields])
         return (df.where(T.text(key) != "").groupBy(key)

@@ -114,6 +114,7 @@ def _said(c: Column | str) -> Column:
 
 def confidence_details(topic: Column) -> Column:
     """One sentence per decision, joined by " | "; missing parts stay empty."""
+    # The sentences below must match.
     route = F.col("addr_route")
     say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     category = (

@@ -23,9 +23,9 @@ GEOCODE_STRATA = ["addr_route", "precision"]
 
 def check_rates(p_reject: float, beta: float) -> None:
     if not 0 < p_reject <= 1:
-        raise ValueError(f"p_reject must be in (0, 1], got {p_reject}")
+        raise ValueError(f"p_reject is a share above 0 and up to 1, not {p_reject}")
     if not 0 < beta < 1:
-        raise ValueError(f"beta must be in (0, 1), got {beta}")
+        raise ValueError(f"beta is a share between 0 and 1, not {beta}")
 
 
 def full_size(p_reject: float, beta: float = R.BETA) -> int:
@@ -169,6 +169,7 @@ def acceptance_card(plan: DataFrame, tally: DataFrame, stage: str, timestamp: st
         F.sort_array(F.collect_list(F.struct(
             "lot_size", "stratum", "sample_n", "reviewed", "defects", "verdict",
             "sample_tickets")), asc=False).alias("strata"))
+    # The text of the claim must match.
     rate, sure = f"{p_reject * 100:.0f}%", f"{round((1 - beta) * 100)}%"
     start = F.concat(F.lit("נבדקו "), F.col("total_reviewed").cast("string"),
                      F.lit(" שורות מתוך "), F.format_number("total_lot", 0), F.lit(". "))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+# What stands for an unknown responsibility, dimension and category.
 UNKNOWN_RESP = "א.מ.ל"
 UNKNOWN_DIM = "לא ידוע"
 UNCLASSIFIED = "לא מסווג"

@@ -46,6 +46,7 @@ def review_summary(flagged: DataFrame, log: DataFrame) -> DataFrame:
         tier("low").alias("low"), F.count_if(s == "block").alias("block"),
         F.count_if(s.isin("warn", "review")).alias("warn")).withColumn("__k", F.lit(1))
     fixes = log.agg(F.count(F.lit(1)).alias("fixes")).withColumn("__k", F.lit(1))
+    # Names of the figures.
     metrics = [("סה״כ שורות", "rows"), ("סווגו ודאית", "high"), ("סווגו בחלקיות", "medium"),
                ("לבירור ידני", "low"), ("שגיאות מבניות", "block"), ("אזהרות מבניות", "warn"),
                ("תיקונים אוטומטיים", "fixes")]
