@@ -65,3 +65,24 @@ def test_recall_of_the_query(spark):
         assert len(got[ids[q]]) == 10
         hits += len(set(ids[np.lexsort((ids, d))[:10]]) & got[ids[q]])
     assert hits >= 0.95 * 10 * (ids % 100 == 0).sum()
+
+
+def all_found(spark, x, **how):
+    """Whether ``nearest`` gives the ten nearest by all distances, in order, for each query."""
+    x = x.astype(np.float32).astype(np.float64)
+    table = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in nearest(table, **how).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in range(0, len(x), 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert got[q] == np.lexsort((np.arange(len(x)), d))[:10].tolist()
+    assert len(got) == -(-len(x) // 100)
+
+
+def test_dense_group_of_unequal_vectors(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(3000, 16))
+    x[::2] = x[0] + 1e-4 * r.normal(size=(1500, 16))
+    all_found(spark, x, curves=8)

@@ -1,10 +1,12 @@
-"""Approximate nearest neighbours by shifted space-filling curves.
+"""Nearest neighbours by shifted space-filling curves.
 
 Vectors are projected to a few dimensions, differently for each curve, and ordered by
 their place on a shifted Hilbert curve. Spark range-partitions and numbers each order;
 a query's candidates are its neighbours in a window of every order. Windows are searched
-in blocks of rows with vectors of one byte per component; the best of all windows are
-merged and reranked by exact distance on the original vectors.
+in blocks of rows with vectors of one byte per component. The k-th distance of the best
+of all windows bounds a query's search; a last pass over the table, in blocks along the
+first curve, compares original vectors and leaves out the stretches of a block that the
+bound rules out. So the windows decide what the search costs, never what it finds.
 """
 
 from __future__ import annotations
@@ -79,7 +81,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = 64,
     """The ``k`` nearest found of each query: query_id, rank (from 1), vec_id, score (distance).
 
     Queries are the rows whose id is divisible by ``every``; candidates are all other rows.
-    Ties go to the smaller id. Vectors that are null, zero, or hold null or non-finite
+    They are the nearest by all distances, whatever the windows held. Ties go to the smaller id. Vectors that are null, zero, or hold null or non-finite
     components, those of another length than the commonest, and rows without an id take no
     part. Equal vectors form one class, searched once, whose smallest ids answer for it. A
     window reaches ``reach`` times the root of the number of classes to either side. Center
@@ -108,13 +110,11 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = 64,
         share = min(1.0, sample / n)
         some = classes.filter(F.pmod(F.xxhash64("class"), F.lit(1 << 20)) < share * (1 << 20)).select("vec")
         drawn = some.toArrow().column("vec").to_pylist() or [classes.first()["vec"]]
-        found = _search(classes, queries, Curves(np.array(drawn, np.float64), curves, dims, bits, seed),
-                        n, max(k, math.ceil(reach * n ** 0.5)), k)
+        exact = _exact(*_search(classes, queries, Curves(np.array(drawn, np.float64), curves, dims, bits, seed),
+                                n, max(k, math.ceil(reach * n ** 0.5)), k), classes, queries, n, width, k)
     else:
-        found = spark.createDataFrame([], "q bigint, class bigint")
+        exact = spark.createDataFrame([], "q bigint, class bigint, score double")
 
-    exact = found.join(classes.select(F.col("class").alias("q"), F.col("vec").alias("q_vec")), "q").join(
-        classes, "class").select("q", "class", distance("q_vec", "vec").alias("score"))
     own = queries.select(F.col("class").alias("q"), "class", F.lit(0.0).alias("score")).distinct()
     best = Window.partitionBy("q").orderBy("score", "class")
     exact = exact.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k).drop("nth").unionByName(own)
@@ -124,8 +124,10 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = 64,
         "rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(classes: DataFrame, queries: DataFrame, curves: Curves, n: int, reach: int, k: int) -> DataFrame:
-    """Classes (q, class) that windows of the orders hold nearest to the queries' classes."""
+def _search(classes: DataFrame, queries: DataFrame, curves: Curves, n: int, reach: int,
+            k: int) -> tuple[DataFrame, DataFrame]:
+    """Classes (q, class) that windows of the orders hold nearest to the queries' classes, and
+    the places (class, row) of all classes in the first order."""
     asked = queries.select("class").distinct().withColumn("asked", F.lit(True))
     flagged = classes.join(asked, "class", "left").withColumn("asked", F.col("asked").isNotNull())
 
@@ -185,4 +187,95 @@ def _search(classes: DataFrame, queries: DataFrame, curves: Curves, n: int, reac
         near, "q bigint, class bigint, about double")
     order = Window.partitionBy("q").orderBy("about", "class")
     return met.groupBy("q", "class").agg(F.min("about").alias("about")).withColumn(
-        "nth", F.row_number().over(order)).filter(F.col("nth") <= 4 * k).select("q", "class")
+        "nth", F.row_number().over(order)).filter(F.col("nth") <= 4 * k).select("q", "class"), index.filter(
+        "curve = 0").select("class", "row")
+
+
+def _exact(found: DataFrame, places: DataFrame, classes: DataFrame, queries: DataFrame, n: int, width: int,
+           k: int) -> DataFrame:
+    """The ``k`` nearest other classes of a query's class and more: q, class, score.
+
+    ``found`` only bounds the search. Blocks hold about 4 million components at most, and
+    slices of the queries a quarter of that; each block meets each slice in one small task.
+    """
+    asked = queries.select(F.col("class").alias("q")).distinct().join(
+        classes.select(F.col("class").alias("q"), F.col("vec").alias("q_vec")), "q")
+    best = Window.partitionBy("q").orderBy("score")
+    bounds = found.join(asked, "q").join(classes, "class").select(
+        "q", distance("q_vec", "vec").alias("score")).withColumn("nth", F.row_number().over(best)).filter(
+        F.col("nth") == k).select("q", F.col("score").alias("bound"))
+    asked = store(asked.join(bounds, "q", "left"))
+    blocks = max(1, min(12, n // (4 * k)), -(-n * width // (1 << 22)))
+    slices = max(1, -(-asked.count() * width // (1 << 20)))
+
+    def of(count):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")))
+
+    table = places.join(classes, "class").select(
+        F.floor(F.col("row") * blocks / F.lit(n)).alias("block"), of(slices).alias("slice"), "row", "class", "vec")
+    wanted = asked.withColumn("slice", F.pmod(F.xxhash64("q"), F.lit(slices).cast("bigint"))).withColumn(
+        "block", of(blocks))
+
+    def matrix(column):
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(
+            len(column), -1)
+
+    def compare(left, right):
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if left.num_rows and right.num_rows:
+            right = right.sort_by("row")
+            names, x = right.column("class").to_numpy(), matrix(right.column("vec"))
+            q, v = left.column("q").to_numpy(), matrix(left.column("q_vec"))
+            limit = left.column("bound").fill_null(float("inf")).to_numpy()
+            stretches = []
+            for a in range(0, len(x), 1024):
+                center = x[a:a + 1024].mean(0)
+                moved = x[a:a + 1024] - center
+                stretches.append((a, center, moved, (moved * moved).sum(1)))
+            for a in range(0, len(q), 256):
+                out.append(nearest_of(names, x, stretches, q[a:a + 256], v[a:a + 256], limit[a:a + 256], k))
+        return pa.table({name: np.concatenate(v) for name, v in zip(("q", "class", "score"), zip(*out))})
+
+    return wanted.groupBy("block", "slice").cogroup(table.groupBy("block", "slice")).applyInArrow(
+        compare, "q bigint, class bigint, score double")
+
+
+def nearest_of(names: np.ndarray, x: np.ndarray, stretches: list, q: np.ndarray, v: np.ndarray,
+               limit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For queries ``q`` at ``v``, the ``k`` nearest of the rows ``names`` at ``x`` that are no farther
+    than ``limit``: query, row's name, distance. ``stretches`` are (first row, center, rows less
+    the center, their squared lengths)."""
+    near = limit * (1 + 1e-14)
+    held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)     # query, row, distance
+    rounding = 8 * (x.shape[1] + 16) * np.finfo(np.float64).eps
+    with np.errstate(over="ignore", invalid="ignore"):
+        for first, center, moved, squares in stretches:
+            w = v - center
+            lengths, radius = (w * w).sum(1), squares.max()
+            # no row of the stretch is nearer than the sphere around it
+            gap = np.sqrt(lengths) - np.sqrt(radius)
+            live = np.flatnonzero(~(gap > near + rounding * np.sqrt(lengths + radius)))
+            if not len(live):
+                continue
+            about = lengths[live, None] + squares - 2 * (w[live] @ moved.T)
+            slack = near[live] * near[live] * (1 + 1e-14) + rounding * (lengths[live] + radius)
+            # what overflows is compared below
+            i, j = np.nonzero(~(about > slack[:, None]))
+            i, j = live[i], j + first
+            other = names[j] != q[i]
+            i, j = i[other], j[other]
+            total = np.zeros(len(i))
+            for c in range(x.shape[1]):     # in the order of ``distance``, for the same last bit
+                d = v[i, c] - x[j, c]
+                total += d * d
+            score = np.sqrt(total)
+            inside = score <= near[i]
+            if not inside.any():
+                continue
+            i, j, score = (np.concatenate([a, b[inside]]) for a, b in zip(held, (i, j, score)))
+            order = np.lexsort((names[j], score, i))
+            i, j, score = i[order], j[order], score[order]
+            nth = np.arange(len(i)) - np.searchsorted(i, i)
+            near[i[nth == k - 1]] = np.minimum(near[i[nth == k - 1]], score[nth == k - 1])
+            held = i[nth < k], j[nth < k], score[nth < k]
+    return q[held[0]], names[held[1]], held[2]
