@@ -86,3 +86,9 @@ def test_dense_group_of_unequal_vectors(spark):
     x = r.normal(size=(3000, 16))
     x[::2] = x[0] + 1e-4 * r.normal(size=(1500, 16))
     all_found(spark, x, curves=8)
+
+
+def test_windows_that_see_little(spark):
+    """As at large sizes, where windows hold a small share of the table."""
+    x = np.random.default_rng(4).normal(size=(4000, 32))
+    all_found(spark, x / np.linalg.norm(x, axis=1)[:, None], curves=2)
