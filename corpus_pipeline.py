@@ -36,9 +36,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    gone = near_groups(docs).filter(~F.col("kept")).select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(
-        gone.hint("shuffle_hash"), "__row", "left_anti").select(*docs.columns)
+    numbered = store(docs.withColumn("__row", F.monotonically_increasing_id()))
+    gone = near_groups(numbered, row_col="__row").filter(~F.col("kept")).select(F.col("row").alias("__row"))
+    return numbered.join(gone.hint("shuffle_hash"), "__row", "left_anti").select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,11 +34,11 @@ def drop_templates(docs: DataFrame, min_texts: int = 10, depth: int = 3, min_tok
     ``min_fixed`` of its tokens are constant. Lines of fewer than ``min_tokens`` tokens stay.
     With ``keep_first`` a template's lines stay in the document of the smallest id. Null texts
     stay null and have no lines; an empty text has one, empty, line. Every document is
-    returned. Texts, lines and templates are told apart by 64-bit hashes. The frame must read the same in
-    every scan, as a table of files does. Columns named n_lines or n_dropped are replaced.
+    returned. Texts, lines and templates are told apart by 64-bit hashes. Rows are numbered and
+    stored once, so the frame is read once. Columns named n_lines or n_dropped are replaced.
     """
     text = F.col(text_col).cast("string")
-    whole = docs.drop("n_lines", "n_dropped").withColumn("__row", F.monotonically_increasing_id())
+    whole = store(docs.drop("n_lines", "n_dropped").withColumn("__row", F.monotonically_increasing_id()))
     lines = whole.select(
         F.col(id_col).alias("id"), F.col("__row").alias("row"), F.xxhash64(text).alias("text"),
         F.posexplode(template_lines(text)).alias("at", "line")).withColumn("line", F.trim("line"))

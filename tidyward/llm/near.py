@@ -101,19 +101,22 @@ def band_keys(sketch: np.ndarray, bands: int) -> np.ndarray:
 
 
 def near_groups(docs: DataFrame, percent: int = 75, words: int = 5, bands: int = 36, rows: int = 4,
-                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per input row: id, row, n_shingles, component_id, kept.
 
     Two documents are linked if 100 * intersection >= ``percent`` * union of their shingle
     sets; component_id is the smallest id reachable. ``kept`` is true for one row of each
     component, one with that id. Null and blank texts have no shingles and stay alone;
     null ids count as larger than all others. A pair at the threshold of 0.75 shares no
-    band of the default 36 x 4 with probability 1.1e-6. The frame must read the same in
-    every scan, as a table of files does. Other columns are ignored.
+    band of the default 36 x 4 with probability 1.1e-6. Rows are numbered
+    and stored once, so the frame is read once; ``row_col`` names a stored frame's own row
+    numbers instead. Other columns are ignored.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    source = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"),
-                         text.cast("binary").alias("text"))
+    source = docs.select(
+        F.col(id_col).alias("id"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
+        text.cast("binary").alias("text"))
+    source = source if row_col else store(source)
     kind = source.schema["id"].dataType.simpleString()
 
     def sketch(batches):

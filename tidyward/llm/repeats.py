@@ -181,17 +181,16 @@ def drop_repeats(docs: DataFrame, length: int = 200, keep_first: bool = True,
     UTF-8 characters, so that what is kept can be read. Null counts as the empty text;
     repeated rows are occurrences of their own. Equality of strings rests on two 64-bit
     hashes for equal runs and for buckets of more than ``hot`` distinct runs (a task sorts some 300
-    bytes of each, in about 70 times that memory), else on their bytes. The frame must read the same in every scan, as a table of files does. Other
+    bytes of each, in about 70 times that memory), else on their bytes. Rows are numbered and stored once, so the frame is read once. Other
     columns are ignored.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    source = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"),
-                         text.alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
     also = [f"__{i}" for i in range(len(carry))]
-    whole_rows = docs.select(
+    whole_rows = store(docs.select(
         F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), text.alias("text"),
-        *[F.col(c).alias(a) for c, a in zip(carry, also)])
+        *[F.col(c).alias(a) for c, a in zip(carry, also)]))
+    source = whole_rows.select("id", "row", "text")
+    kind = source.schema["id"].dataType.simpleString()
 
     def runs_of(batches):
         for batch in batches:
