@@ -92,3 +92,11 @@ def test_variants(frame, registry):
     assert (r["canonical"], r["total"], r["registry_match"], r["samples"]) == \
         ("הרצל", 7, "הרצל", ["b"])
     assert [(v["spelling"], v["rows"]) for v in r["variants"]] == [('הר"צל', 2)]
+
+
+def test_variants_are_not_cut(frame):
+    rows = [(f"בן{i} גוריון{i}",) for i in range(40) for _ in range(4)] + [(f"הר{q}צל",) for q in ("", '"', "'", "״", "׳", "''", '""', "״״")]
+    rows += [(f'בן{i} גו"ריון{i}',) for i in range(40)]
+    out = {r["normalized"]: r for r in ST.street_variants(frame(rows, "street string")).collect()}
+    assert len(out) == 41 and out["הרצל"]["spellings"] == 8 and len(out["הרצל"]["variants"]) == 7
+    assert len(ST.street_variants(frame(rows, "street string"), top=30, max_variants=2).collect()) == 30

@@ -320,12 +320,13 @@ def resolve_layer_names(names: DataFrame, layer_names: DataFrame, registry: Data
 
 
 def street_variants(df: DataFrame, registry: DataFrame | None = None, min_total: int = 4,
-                    top: int = 30, max_variants: int = 6, samples: int = 3,
+                    top: int | None = None, max_variants: int | None = None, samples: int = 3,
                     letters: str = T.HEBREW, fold_quotes: bool = True) -> DataFrame:
     """Groups of street spellings that may be one street, largest first.
 
     Rows are counted per raw spelling first, so all later work is on distinct
-    names. ``fold_quotes`` joins spellings that differ only in quote marks.
+    names. ``fold_quotes`` joins spellings that differ only in quote marks. ``top`` groups and
+    ``max_variants`` variants of each are returned; None is all.
     """
     raw = (df.where(~T.is_blank("street")).groupBy("street")
            .agg(F.count(F.lit(1)).alias("__n")))
@@ -341,7 +342,7 @@ def street_variants(df: DataFrame, registry: DataFrame | None = None, min_total:
         .where(F.col("total") >= min_total)
     named = (
         spellings.withColumn("__rank", F.row_number().over(ranked))
-        .where(F.col("__rank") <= max_variants + 1)
+        .where(F.lit(True) if max_variants is None else F.col("__rank") <= max_variants + 1)
         .groupBy("normalized").agg(
             F.min_by("spelling", "__rank").alias("canonical"),
             F.array_sort(F.collect_list(F.when(F.col("__rank") > 1, F.struct(
@@ -363,7 +364,8 @@ def street_variants(df: DataFrame, registry: DataFrame | None = None, min_total:
         named = named.withColumn("registry_match", F.lit(None).cast("string"))
     shown = (named.where((F.col("spellings") > 1)
                          | (F.col("registry_match") != F.col("canonical")))
-             .orderBy(F.desc("total"), "normalized").limit(top))
+             .orderBy(F.desc("total"), "normalized"))
+    shown = shown if top is None else shown.limit(top)
     if "raw_address" in df.columns:
         shown = cut(shown)
     if "raw_address" not in df.columns:

@@ -264,6 +264,12 @@ def _(t):
     return ST.resolve_registry(t.sql(_TWISTED), registry(t)).where("how <> 'close'")
 
 
+# the whole results of queries whose SQL states a part; SQL has no close matches
+@query("registry_resolve_whole")
+def _(t):
+    return ST.resolve_registry(t.sql(_TWISTED), registry(t))
+
+
 @query("close_names")
 def _(t):
     return ST.close_matches(t.sql(_MISSPELT), t.part.select(F.col("p_name").alias("name")), 0.78)
@@ -286,7 +292,13 @@ _VARIANTS = """SELECT 'רחוב ' || p_name || CASE p_partkey % 3 WHEN 0 THEN ''
   ORDER BY total DESC, normalized LIMIT 30""")
 def _(t):
     named = t.sql(_VARIANTS).where(F.col("street").rlike("[א-ת].* ב"))
-    return ST.street_variants(named).select("normalized", "canonical", "total", "spellings")
+    return ST.street_variants(named, top=30, max_variants=6).select(
+        "normalized", "canonical", "total", "spellings")
+
+
+@query("street_variants_whole")
+def _(t):
+    return ST.street_variants(t.sql(_VARIANTS))
 
 
 # -- building layer, geocoder, cascade ----------------------------------------
@@ -332,6 +344,12 @@ def _(t):
                        "hit.lat", "hit.lon", "hit.geocode_method")
 
 
+@query("layer_rescue_whole")
+def _(t):
+    hits = GC.locate_in_layer(_request_keys(t), t.sql(_LAYER), registry(t), None, _as_is)
+    return hits.select(F.col("k_street").alias("street"), F.col("k_house").alias("house"), "hit.*")
+
+
 @query("layer_names")
 def _(t):
     return ST.resolve_layer_names(
@@ -456,6 +474,12 @@ def _(t):
         "hit.geocode_method", "hit.neighborhood")
 
 
+@query("local_pass_whole")
+def _(t):
+    hits = GC.locate_locally(_request_keys(t), t.sql(POINTS), registry(t))
+    return hits.select(F.col("k_street").alias("street"), F.col("k_house").alias("house"), "hit.*")
+
+
 @query("geocode_all_sources")
 def _(t):
     src = _sources(t)
