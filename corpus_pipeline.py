@@ -31,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without recurring template lines. The document of the smallest id keeps them, so
     that no content of near copies is lost before one of them is chosen."""
-    return measured(drop_templates(docs, keep_first=True), docs.columns)
+    return measured(drop_templates(docs, keep_first=True, whole_lines=True), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

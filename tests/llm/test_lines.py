@@ -90,3 +90,14 @@ def test_query(spark):
     got = sorted(map(tuple, queries.op5_log_templates(spark, SF).select(
         "doc_id", "n_lines", "n_dropped", "kept_sha256").collect()))
     assert got == want and sum(r[2] for r in got) > 0
+
+
+def test_whole_lines_of_few_tokens_or_many_digits(docs):
+    short = ["版权所有不得转载", "Les.", "1 2 3 call"]
+    texts = ["\n".join([f"own{i} word", *short, "", f"n {i}"]) for i in range(6)]
+    for r in drop_templates(docs(texts), min_texts=5, whole_lines=True).collect():
+        assert r.text == f"own{r.doc_id} word\n\nn {r.doc_id}" and r.n_dropped == 3
+    first = drop_templates(docs(texts), min_texts=5, whole_lines=True, keep_first=True).collect()
+    assert [r.doc_id for r in first if "Les." in r.text] == [0]
+    few = drop_templates(docs(texts[:4]), min_texts=5, whole_lines=True).collect()
+    assert sorted(r.text for r in few) == sorted(texts[:4])

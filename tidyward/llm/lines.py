@@ -26,13 +26,15 @@ def template_lines(text: Column) -> Column:
 
 
 def drop_templates(docs: DataFrame, min_texts: int = 10, depth: int = 3, min_tokens: int = 3,
-                   min_fixed: float = 0.6, keep_first: bool = False, id_col: str = "doc_id",
+                   min_fixed: float = 0.6, keep_first: bool = False, whole_lines: bool = False, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """``docs`` with the recurring lines taken out of the text, and n_lines, n_dropped.
 
     A line goes if its template stands in ``min_texts`` different texts or more and
     ``min_fixed`` of its tokens are constant. Lines of fewer than ``min_tokens`` tokens stay.
-    With ``keep_first`` a template's lines stay in the document of the smallest id. Null texts
+    With ``whole_lines`` a line that isn't blank also goes, whatever its tokens, if the same line
+    stands in ``min_texts`` different texts, but for blanks at its ends.
+    With ``keep_first`` a template's or such a line's lines stay in the document of the smallest id. Null texts
     stay null and have no lines; an empty text has one, empty, line. Every document is
     returned. Texts, lines and templates are told apart by 64-bit hashes. Rows are numbered and
     stored once, so the frame is read once. Columns named n_lines or n_dropped are replaced.
@@ -74,6 +76,18 @@ def drop_templates(docs: DataFrame, min_texts: int = 10, depth: int = 3, min_tok
     gone = placed.join(recurring.select("template", "first"), "template")
     if keep_first:
         gone = gone.filter(~F.col("id").eqNullSafe(F.col("first")))
+    gone = gone.select("row", "at")
+    if whole_lines:
+        same = whole.select(F.col(id_col).alias("id"), F.col("__row").alias("row"), F.xxhash64(text).alias("text"),
+                            F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
+        line = F.regexp_replace("line", r"^[ \t\r\f\x0B]+|[ \t\r\f\x0B]+$", "")
+        same = store(same.filter(line != "").select("id", "row", "text", "at", F.xxhash64(line).alias("key")))
+        often = same.groupBy("key", "text").agg(F.min("id").alias("first")).groupBy("key").agg(
+            F.min("first").alias("first"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_texts)
+        found = same.join(often.select("key", "first"), "key")
+        if keep_first:
+            found = found.filter(~F.col("id").eqNullSafe(F.col("first")))
+        gone = gone.unionByName(found.select("row", "at"))
     drops = gone.groupBy(F.col("row").alias("__row")).agg(F.collect_set("at").alias("__gone"))
 
     out = whole.join(drops.hint("shuffle_hash"), "__row", "left").withColumn("__lines", F.split(text, "\n", -1))
