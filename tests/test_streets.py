@@ -4,6 +4,7 @@ import difflib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidyward.operators import streets as ST
 from tidyward.sources.readers import parse_corrections
@@ -100,3 +101,60 @@ def test_variants_are_not_cut(frame):
     out = {r["normalized"]: r for r in ST.street_variants(frame(rows, "street string")).collect()}
     assert len(out) == 41 and out["הרצל"]["spellings"] == 8 and len(out["הרצל"]["variants"]) == 7
     assert len(ST.street_variants(frame(rows, "street string"), top=30, max_variants=2).collect()) == 30
+
+
+def _best(names, corpus, cutoff):
+    """The standard library's closest entry of each name, by its own bounds and ratio."""
+    out = {}
+    for n in names:
+        best = difflib.get_close_matches(n, corpus, n=1, cutoff=cutoff) if n else []
+        if best:
+            out[n] = best[0]
+    return out
+
+
+@pytest.fixture(scope="module")
+def articles(spark):
+    """A few thousand names that share most of their words."""
+    from tidyward.plans.catalog.geocoding import ARTICLES
+    from tidyward.plans.inputs import Tables
+    return [r["name"] for r in Tables(spark, "/root/testdata/sf0.01").sql(ARTICLES).collect()]
+
+
+@pytest.mark.parametrize("cutoff", [0.78, 0.85])
+def test_few_pairs_are_compared(spark, articles, cutoff):
+    rng = random.Random(4)
+    names = []
+    for n in rng.sample(articles, 500):
+        i = rng.randrange(len(n))
+        names.append(n[:i] + rng.choice("xyz") + n[i + rng.randrange(2):])
+    frames = [spark.createDataFrame([(n,) for n in x], "name string") for x in (names, articles)]
+    pairs = {(r.a, r.b) for r in ST.close_candidates(*frames, cutoff).collect()}
+    assert len(pairs) < 0.05 * len(set(names)) * len(articles)
+    few = sorted(set(names))[:25]
+    got = {r["name"]: r["match"] for r in ST.close_matches(frames[0].where(F.col("name").isin(few)), frames[1],
+                                                           cutoff).collect()}
+    assert got == _best(few, articles, cutoff) and got
+
+
+def test_keys_of_common_tokens_are_salted(spark):
+    """One word in all names: no key holds more than its share, and nothing is lost."""
+    names = [f"main street {i:04d}" for i in range(1500)]
+    frame = spark.createDataFrame([(n,) for n in names], "name string")
+    asked = spark.createDataFrame([(n + "x",) for n in names[:40]], "name string")
+    found = {r["name"]: r["match"] for r in ST.close_matches(asked, frame, 0.85).collect()}
+    assert found == _best([n + "x" for n in names[:40]], names, 0.85)
+    plain = {(r.a, r.b) for r in ST.close_candidates(asked, frame, 0.85).collect()}
+    salted = {(r.a, r.b) for r in ST.close_candidates(asked, frame, 0.85, share=100_000).collect()}
+    assert plain == salted
+
+
+def test_letters_beyond_the_first_plane_and_short_names(frame):
+    corpus = ["a", "ab", "abc", "abcd", "\U0001F600\U0001F601x", "ab\U0001F600", "é", "aaaa", "aaab", "b" * 40]
+    names = corpus + ["abx", "xab", "ba", "aa", "\U0001F601\U0001F600x", "b" * 37 + "c", ""]
+    for cutoff in (0.6, 0.78, 0.85):
+        got = {r["name"]: r["match"] for r in ST.close_matches(
+            frame([(n,) for n in names] + [(None,)], "name string"),
+            frame([(c,) for c in corpus] + [(None,), ("",)], "name string"), cutoff).collect()}
+        assert got == _best(names, corpus, cutoff)
+    assert ST.close_matches(frame([], "name string"), frame([], "name string"), 0.7).count() == 0

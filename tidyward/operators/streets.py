@@ -6,6 +6,7 @@ Everything here runs on distinct names, never on the rows that carry them.
 from __future__ import annotations
 
 import difflib
+import math
 import unicodedata
 
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql.types import DoubleType, StringType
 
 from tidyward import rules as R
 from tidyward.functions import text as T
-from tidyward.session import cut
+from tidyward.session import broadcast_within, cut
 
 # -- close matches ------------------------------------------------------------
 
@@ -48,49 +49,130 @@ def nfc(name: str) -> Column:
     return compose(name)
 
 
-def _char_tokens(name: Column) -> Column:
-    """Numbered characters ("2a" = the second a), rarer ones first.
+def _name_tokens(names: DataFrame) -> DataFrame:
+    """Each distinct ``name`` with its numbered letters (kind c) and pairs of neighbouring letters
+    (kind g): rows name, token.
 
-    Two names share as many tokens as they share characters, counting repeats.
+    Two names share as many tokens of a kind as they share letters or pairs, counting repeats.
+    """
+    name, n = F.col("name"), F.length("name")
+    cut_at = lambda kind, size: F.transform(        # noqa: E731
+        F.sequence(F.lit(1), n - size + 1), lambda i: F.concat(F.lit(kind), F.substring(name, i, F.lit(size))))
+    parts = names.select("name").where(name != "").distinct().select("name", F.explode(F.concat(
+        cut_at("c", 1), F.when(n > 1, cut_at("g", 2)).otherwise(F.array().cast("array<string>")))).alias("part"))
+    return parts.groupBy("name", "part").agg(F.count(F.lit(1)).alias("n")).select(
+        "name", F.explode(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.concat(
+            "part", i.cast("string")))).alias("token"))
+
+
+class CloseNames:
+    """What a ratio of at least ``cutoff`` demands of two names.
+
+    The ratio is 2 M / T: M letters in common blocks, T letters in all. So 2 M >= cutoff T letters
+    are shared. Between two blocks stands a letter outside of them, so there are at
+    most T - 2 M + 1 blocks, and within blocks 3 M - T - 1 pairs of neighbours are shared:
+    at least (1.5 cutoff - 1) T - 1. Pairs are told by far more values than letters, so
+    they find partners wherever at least one must be shared; letters do for the rest.
     """
-    chars = F.filter(F.split(name, ""), lambda c: c != "")
-    numbered = F.transform(chars, lambda c, i: F.concat(
-        F.lpad(F.size(F.filter(F.slice(chars, 1, i + 1), lambda d: d == c)).cast("string"), 4, "0"),
-        c))
-    return F.sort_array(numbered, asc=False)
-
 
-def _prefix(tokens: Column, cutoff: float) -> Column:
-    """The tokens of which any partner reaching the cutoff must hold at least one."""
-    n = F.size(tokens)
-    needed = F.ceil(n * F.lit(cutoff / (2 - cutoff)) - F.lit(1e-9)).cast("int")
-    return F.slice(tokens, 1, F.greatest(n - needed + 1, F.lit(0)))
+    def __init__(self, cutoff: float):
+        self.cutoff = cutoff
+        self.stretch = (2 - cutoff) / cutoff        # no partner is longer by a larger factor
+        self.per_letter = 1.5 * cutoff - 1
+        # the shortest name of which every partner shares a pair
+        total = 2 / (2 - cutoff)                    # T is at least this many times a name's length
+        self.by_pairs = math.floor(1 / (self.per_letter * total) + 1e-9) + 1 if self.per_letter > 0 else None
+
+    def prefix_length(self, length: Column, kind: str) -> Column:
+        """How many of its rarest tokens hold one that each partner has as well."""
+        least = length * F.lit(2 / (2 - self.cutoff))
+        if kind == "c":
+            return length - F.ceil(least * F.lit(self.cutoff / 2) - F.lit(1e-9)).cast("int") + 1
+        return length - 1 - F.ceil(least * F.lit(self.per_letter) - F.lit(1 + 1e-9)).cast("int") + 1
+
+    def uses(self, length: Column, kind: str) -> Column:
+        if self.by_pairs is None:
+            return F.lit(kind == "c")
+        return length >= self.by_pairs if kind == "g" else length < self.by_pairs * self.stretch
+
+    def band(self, length: Column) -> Column:
+        """Partners stand in the same band of lengths or in one next to it."""
+        return F.floor(F.log(length.cast("double")) / F.lit(math.log(self.stretch * (1 + 1e-9))))
+
+    def enough(self, shared: Column, total: Column, kind: str) -> Column:
+        """Whether ``shared`` tokens of a kind allow the ratio."""
+        if kind == "c":
+            return shared * 2.0 / total >= self.cutoff
+        return shared >= total * F.lit(self.per_letter) - F.lit(1 + 1e-9)
+
+
+def close_candidates(names: DataFrame, corpus: DataFrame, cutoff: float, share: int = 256) -> DataFrame:
+    """Pairs (a, b) of a name and a corpus entry that may reach ``cutoff``, each once.
+
+    Tokens are ordered by their measured frequency in the corpus, rarest first, and
+    names meet their partners on (token, band of lengths, salt). Keys that hold more than one in ``share``
+    of the corpus's rows are salted. Of each shared token, its place in both names bounds what
+    can be shared after it; lengths, shared letters and shared pairs bound the ratio.
+    """
+    rule = CloseNames(cutoff)
+
+    entries = cut(_name_tokens(corpus))
+    frequency = broadcast_within(cut(entries.groupBy("token").agg(F.count(F.lit(1)).alias("often"))))
+
+    def ordered(rows: DataFrame, label: str) -> DataFrame:
+        kinds = {k: F.array_sort(F.collect_list(F.when(F.col("token").startswith(k), F.struct(
+            F.coalesce("often", F.lit(0)).alias("often"), "token")))) for k in "gc"}
+        out = rows.join(frequency, "token", "left").groupBy("name").agg(
+            *[kinds[k]["token"].alias(f"{label}_{k}") for k in "gc"]).withColumnRenamed("name", label)
+        length = F.size(f"{label}_c")
+        prefix = F.concat(*[F.when(rule.uses(length, k), F.slice(f"{label}_{k}", F.lit(1), F.greatest(
+            rule.prefix_length(length, k), F.lit(0)))).otherwise(F.array().cast("array<string>")) for k in "gc"])
+        # a prefix holds tokens of the first kind, then of the second, each from its start
+        skipped = F.when(F.col("token").startswith("c"), F.size(F.filter(
+            f"{label}_p", lambda t: t.startswith("g")))).otherwise(0)
+        behind = F.when(F.col("token").startswith("g"), F.size(f"{label}_g")).otherwise(length) \
+            - F.col("__at") + skipped - 1
+        return (out.withColumn(f"{label}_p", prefix).withColumn("band", rule.band(length))
+                .select("*", F.posexplode(f"{label}_p").alias("__at", "token"))
+                .withColumn(f"{label}_behind", behind).drop("__at"))
+
+    right = ordered(entries, "b")
+    keys = right.groupBy("token", "band").agg(F.count(F.lit(1)).alias("n"))
+    total = right.agg(F.count(F.lit(1))).first()[0]
+    most = max(64, -(-total // share))
+    salts = broadcast_within(cut(keys.where(F.col("n") > most).select(
+        "token", "band", F.ceil(F.col("n") / most).alias("salts"))))
+    salted = F.coalesce("salts", F.lit(1).cast("bigint"))
+    right = right.join(salts, ["token", "band"], "left").withColumn(
+        "salt", F.pmod(F.xxhash64("b"), salted)).drop("salts")
+    left = (ordered(_name_tokens(names), "a")
+            .withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
+            .join(salts, ["token", "band"], "left")
+            .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salted - 1))).drop("salts"))
+    la, lb = F.size("a_c"), F.size("b_c")
+    of_kind = {k: F.col("token").startswith(k) for k in "gc"}
+    # at the first shared token, only it and what stands behind it can be shared
+    positional = F.lit(False)
+    for k in "gc":
+        positional = positional | (of_kind[k] & rule.enough(1 + F.least("a_behind", "b_behind"), la + lb, k))
+    out = (left.join(right, ["token", "band", "salt"])
+           .where(F.least(la, lb) * 2.0 / (la + lb) >= cutoff).where(positional)
+           .where(F.get(F.array_intersect("a_p", "b_p"), F.lit(0)) == F.col("token")))
+    for k in "gc":
+        out = out.where(rule.enough(F.size(F.array_intersect(f"a_{k}", f"b_{k}")), la + lb, k))
+    return out.select("a", "b")
 
 
 def close_matches(names: DataFrame, corpus: DataFrame, cutoff: float) -> DataFrame:
     """Best corpus entry per name by sequence ratio, at least ``cutoff``.
 
-    ``names`` and ``corpus`` hold one ``name`` column. Pairs come from an equi-join
-    on prefix tokens; each pair meets once, on its first shared token. Length and
-    shared characters bound the ratio from above exactly, so only pairs that may
-    reach the cutoff are compared. Ties go to the larger entry.
+    ``names`` and ``corpus`` hold one ``name`` column. Only candidates of
+    ``close_candidates`` are compared, as no other pair reaches the cutoff. Ties go to the
+    larger entry; empty and null names match nothing.
     """
-    def side(df: DataFrame, label: str) -> DataFrame:
-        tokens = df.select(F.col("name").alias(label)).where(F.col(label) != "").distinct() \
-            .withColumn(f"{label}_t", _char_tokens(F.col(label))) \
-            .withColumn(f"{label}_p", _prefix(F.col(f"{label}_t"), cutoff))
-        return tokens.withColumn("token", F.explode(f"{label}_p"))
-
-    total = F.size("a_t") + F.size("b_t")
-    shared = F.size(F.array_intersect("a_t", "b_t"))
-    pairs = (
-        side(names, "a").join(side(corpus, "b"), "token")
-        .where(F.least(F.size("a_t"), F.size("b_t")) * 2.0 / total >= cutoff)
-        .where(F.get(F.array_intersect("a_p", "b_p"), F.lit(0)) == F.col("token"))
-        .where(shared * 2.0 / total >= cutoff)
-        .select("a", "b"))
     return (
-        pairs.withColumn("ratio", sequence_ratio("b", "a")).where(F.col("ratio") >= cutoff)
+        close_candidates(names, corpus, cutoff)
+        .withColumn("ratio", sequence_ratio("b", "a")).where(F.col("ratio") >= cutoff)
         .groupBy(F.col("a").alias("name"))
         .agg(F.max(F.struct("ratio", F.col("b").alias("match"))).alias("best"))
         .select("name", "best.match", "best.ratio"))
@@ -375,7 +457,7 @@ def street_variants(df: DataFrame, registry: DataFrame | None = None, min_total:
     # at most `samples` addresses per group survive, each picked before any collect
     first = Window.partitionBy("normalized").orderBy("raw_address")
     examples = (
-        df.where(F.col("raw_address").isNotNull()).join(F.broadcast(listed), "street")
+        df.where(F.col("raw_address").isNotNull()).join(broadcast_within(cut(listed)), "street")
         .select("normalized", "raw_address").distinct()
         .withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= samples)
         .groupBy("normalized").agg(F.array_sort(F.collect_list("raw_address")).alias("samples")))

@@ -261,13 +261,24 @@ _TWISTED = """SELECT DISTINCT split_part(p_name, ' ', 2) || ' ' || split_part(p_
     arg_min(code, seq) AS code FROM reg GROUP BY k) w ON w.k = list_sort(string_split(a.name, ' '))
   WHERE e.name IS NOT NULL OR w.name IS NOT NULL""")
 def _(t):
-    return ST.resolve_registry(t.sql(_TWISTED), registry(t)).where("how <> 'close'")
+    return ST.resolve_registry(t.sql(_TWISTED), registry(t))
 
 
-# the whole results of queries whose SQL states a part; SQL has no close matches
+# with names altered so that close matches exist, which SQL has no function for
 @query("registry_resolve_whole")
 def _(t):
-    return ST.resolve_registry(t.sql(_TWISTED), registry(t))
+    return ST.resolve_registry(t.sql(_TWISTED).union(t.sql(_MISSPELT)), registry(t))
+
+
+ARTICLES = """SELECT DISTINCT p_name || ' ' || p_brand || ' ' || p_type || ' ' || CAST(p_size AS STRING) AS name
+  FROM {part}"""
+MISTYPED = """SELECT DISTINCT substr(p_name, 1, 4) || substr(p_name, 6) || ' ' || p_brand || 'x ' || p_type || ' '
+  || CAST(p_size AS STRING) AS name FROM {part} WHERE p_size > 0"""
+
+
+@query("close_articles")
+def _(t):
+    return ST.close_matches(t.sql(MISTYPED), t.sql(ARTICLES), 0.85)
 
 
 @query("close_names")
@@ -298,7 +309,7 @@ def _(t):
 
 @query("street_variants_whole")
 def _(t):
-    return ST.street_variants(t.sql(_VARIANTS))
+    return ST.street_variants(t.sql(_VARIANTS), registry(t))
 
 
 # -- building layer, geocoder, cascade ----------------------------------------
@@ -337,9 +348,7 @@ _KEYS = f"""keys AS (SELECT DISTINCT {txt('street')} AS street, {txt('house')} A
     LEFT JOIN ce ON ce.street_name = h.street)"""], """SELECT street, house, round(p.y, 7) AS lat,
   round(p.x, 7) AS lon, geocode_method FROM al WHERE p IS NOT NULL"""))
 def _(t):
-    listed = t.sql(_LAYER).select(F.col("street_name").alias("k_street")).distinct()
-    keys = _request_keys(t).join(listed, "k_street", "left_semi")
-    hits = GC.locate_in_layer(keys, t.sql(_LAYER), registry(t), None, _as_is)
+    hits = GC.locate_in_layer(_request_keys(t), t.sql(_LAYER), registry(t), None, _as_is)
     return hits.select(F.col("k_street").alias("street"), F.col("k_house").alias("house"),
                        "hit.lat", "hit.lon", "hit.geocode_method")
 
@@ -468,8 +477,7 @@ def _(t):
   JOIN names n ON n.street_code = c.street_code"""))
 def _(t):
     hits = GC.locate_locally(_request_keys(t), t.sql(POINTS), registry(t))
-    known = t.sql(POINTS).select(F.col("street_name").alias("k_street")).distinct()
-    return hits.join(known, "k_street", "left_semi").select(
+    return hits.select(
         F.col("k_street").alias("street"), F.col("k_house").alias("house"), "hit.lat", "hit.lon",
         "hit.geocode_method", "hit.neighborhood")
 
