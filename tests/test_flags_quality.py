@@ -242,3 +242,22 @@ def test_pattern_groups_equal_sequential_greedy(frame):
         want, used = _greedy([t for gg, _, t in rows if gg == g], m, 6)
         assert [(r["term"], r["rows"]) for r in got if r["g"] == g] == want
         assert {r["id"] for r in taken if r["g"] == g} == used
+
+
+def test_pattern_rounds_follow_chains_not_groups(frame, monkeypatch):
+    """300 phrases that share no row are settled together, and so is a chain of candidates."""
+    from tidyward.operators import patterns as P
+    rounds = []
+    real = P._union
+    monkeypatch.setattr(P, "_union", lambda frames: rounds.append(len(frames)) or real(frames))
+    letters = "אבגדהוזחטיכלמנסעפצקר"
+    rows = [("a", 5 * i + k, letters[i // 20] + letters[i % 20] + "ת") for i in range(300) for k in range(5)]
+    chain = ["שש תת"] * 3 + ["תת מם"] * 4 + ["מם נן"] * 5
+    rows += [("b", 9000 + i, t) for i, t in enumerate(chain)]
+    df = frame(rows, "g string, id int, text string")
+    minimum = frame([("a", 3), ("b", 3)], "g string, min_rows long")
+    groups, assigned = pattern_groups(df, "g", "id", "text", minimum, stop_words=())
+    got = groups.orderBy("g", "position").collect()
+    assert max(rounds) <= 2 and len(got) == 300 + 3 and assigned.count() == len(rows)
+    want, _ = _greedy([t for g, _, t in rows if g == "b"], 3, 99)
+    assert [(r["term"], r["rows"]) for r in got if r["g"] == "b"] == want

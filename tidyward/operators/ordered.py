@@ -8,14 +8,18 @@ from tidyward.functions.text import all_of
 from tidyward.session import cut
 
 
+TASK_ROWS = 1_000_000
+
+
 def sequence_in_group(df: DataFrame, keys: list[str], order: list[str], out: str,
                       hot_rows: int | None = None, slices: int = 256) -> DataFrame:
     """Number the rows of each group 1, 2, 3, ... by ``order``; a null key gives null.
 
     ``order`` should end with a unique column. Groups are counted first (combined before
-    the shuffle, on rows that are stored once). A group of more rows than an even share of
-    a task - or than ``hot_rows`` - never reaches one task: its order is cut into slices at
-    sampled bounds, each slice is numbered by itself and starts at the rows counted before it.
+    the shuffle, on the key columns only), so a caller stores ``df`` if its keys are costly. A group of
+    more than ``hot_rows`` rows (``TASK_ROWS`` by default) never reaches one task: its order is cut into
+    slices at sampled bounds, each slice is numbered by itself and starts at the rows counted
+    before it. Groups up to that size are sorted in one task each, within its memory or by spilling.
     """
     known = all_of([F.col(k).isNotNull() for k in keys])
     # rows without a key are not numbered, so they spread by their own order columns
@@ -27,17 +31,13 @@ def sequence_in_group(df: DataFrame, keys: list[str], order: list[str], out: str
                 .withColumn(out, F.when(known, F.row_number().over(plain)).cast("bigint"))
                 .drop("__spread"))
 
-    df = cut(df)
-    keyed = df.where(known)
-    sizes = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    limit = hot_rows
-    if limit is None:
-        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        limit = df.count() // tasks
-    hot = cut(sizes.where(F.col("__n") > limit))
+    sizes = df.where(known).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    hot = cut(sizes.where(F.col("__n") > (TASK_ROWS if hot_rows is None else hot_rows)))
     if hot.isEmpty():
         return numbered(df)
 
+    df = cut(df)
+    keyed = df.where(known)
     # keys are never null in `hot`, so rows without a key stay on the cold side
     cold = numbered(df.join(hot, keys, "left_anti"))
     rank = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import itertools
+import functools
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidyward import rules as R
 from tidyward.functions import text as T
+from tidyward.operators.ordered import sequence_in_group
 from tidyward.session import broadcast_within, cut
 
 
@@ -64,10 +66,13 @@ def pattern_groups(df: DataFrame, group: str, row_id: str, text: str, minimum: D
     """Greedy disjoint groups of rows that share a phrase, ``max_groups`` at most if given.
 
     ``minimum``: group, min_rows. Candidates are taken by score; one is accepted if
-    at least ``min_rows`` of its rows are still free, and takes them. Since free
-    rows only get fewer, the next accepted term is the first after the last one
-    that still has enough: one aggregate per round, for all groups at once, and
-    the rows' own state follows from the accepted terms.
+    at least ``min_rows`` of its rows are still free, and takes them. Free rows only get
+    fewer, so a candidate that has too few is out for good. A round settles many at once: all
+    that stand first in each of their free rows, as nothing can take one of those, and the
+    first ``WINDOW`` of a group whatever they share, from the counts of the sets of them that
+    rows hold. So candidates that share no rows need one round together, however many they
+    are, and a chain that does takes its length over ``WINDOW`` rounds. Only whether
+    any is left reaches the driver.
 
     Rows are told apart by a number of their own, so ``row_id`` may repeat or be null.
     Texts are split into words once.
@@ -77,55 +82,83 @@ def pattern_groups(df: DataFrame, group: str, row_id: str, text: str, minimum: D
     """
     base = cut(df.select(group, F.col(row_id).alias("__id"), F.monotonically_increasing_id().alias("__row"),
                          T.tokens(text, letters, stop_words).alias("__words")))
-    # min_rows grows with a group, so its candidates stay few: one short ranking each
-    order = Window.partitionBy(group).orderBy(F.desc("score"), "term")
-    chosen = cut(_candidates(base.select(group, "__words"), group, minimum)
-                 .withColumn("rank", F.row_number().over(order)))
+    found = _candidates(base.select(group, "__words"), group, minimum)
+    chosen = cut(sequence_in_group(found.withColumn("__falling", -F.col("score")), [group],
+                                   ["__falling", "term"], "rank").drop("__falling"))
     named = broadcast_within(chosen)
-    mine = cut(
-        base.select(group, "__id", "__row", F.explode(terms_of("__words")).alias("__t"))
-        .select(group, "__id", "__row", "__t.n", "__t.term")
-        .join(named.select(group, "n", "term", "rank"), [group, "n", "term"])
-        .groupBy(group, "__row")
-        .agg(F.array_sort(F.collect_list("rank")).alias("ranks"),   # terms of one row
-             F.first("__id").alias("__id")))
-    accepted = cut(minimum.select(group, "min_rows", F.array().cast("array<int>").alias("taken"),
-                                  F.array().cast("array<bigint>").alias("sizes")))
-    so_far = 0
-    for _ in itertools.count() if max_groups is None else range(max_groups):
-        last = F.coalesce(F.array_max("taken"), F.lit(0))
-        free = (
-            mine.join(broadcast_within(accepted.withColumn("last", last)), group)
-            .where(~F.arrays_overlap("ranks", "taken"))
-            .select(group, "min_rows", "last", F.explode("ranks").alias("r"))
-            .where(F.col("r") > F.col("last")))
-        step = (
-            free.groupBy(group, "r").agg(F.count(F.lit(1)).alias("n"), F.first("min_rows").alias("m"))
-            .where(F.col("n") >= F.col("m"))
-            .groupBy(group).agg(F.min(F.struct("r", "n")).alias("next")))
-        grown = F.col("next").isNotNull()
-        accepted = cut(accepted.join(step, group, "left").select(
-            group, "min_rows",
-            F.when(grown, F.concat("taken", F.array("next.r"))).otherwise(F.col("taken")).alias("taken"),
-            F.when(grown, F.concat("sizes", F.array("next.n"))).otherwise(F.col("sizes")).alias("sizes")))
-        total = accepted.agg(F.sum(F.size("taken"))).first()[0] or 0
-        if total == so_far:
+    # one row for each text and candidate, then the open candidates of each text in order
+    terms = base.select(group, "__row", F.explode(terms_of("__words")).alias("__t")).select(
+        group, "__row", "__t.n", "__t.term").join(named.select(group, "n", "term", "rank"), [group, "n", "term"])
+    rows = cut(terms.groupBy(group, "__row").agg(F.array_sort(F.collect_list("rank")).alias("ranks")))
+    least = broadcast_within(cut(minimum.select(group, "min_rows")))
+    accepted, taken = [], []
+    while True:
+        alive = rows.select(group, F.posexplode("ranks").alias("__at", "rank")).groupBy(group, "rank").agg(
+            F.count(F.lit(1)).alias("rows"), F.max(F.col("__at") > 0).alias("waits")).join(least, group).where(
+            F.col("rows") >= F.col("min_rows"))
+        if max_groups is not None and accepted:
+            # behind the last group that is wanted nothing counts
+            ends = _union(accepted).withColumn("__nth", F.row_number().over(
+                Window.partitionBy(group).orderBy("rank"))).where(F.col("__nth") == max_groups)
+            alive = alive.join(broadcast_within(cut(ends.select(group, F.col("rank").alias("__end")))), group, "left") \
+                .where(F.col("__end").isNull() | (F.col("rank") < F.col("__end"))).drop("__end")
+        alive = cut(alive)
+        if alive.isEmpty():
             break
-        so_far = total
-    groups = (
-        accepted.select(group, F.posexplode(F.arrays_zip("taken", "sizes")).alias("position", "__g"))
-        .select(group, "position", F.col("__g.taken").alias("rank"), F.col("__g.sizes").alias("rows"))
-        .join(named.select(group, "rank", "term"), [group, "rank"])
-        .select(group, "position", "term", "rows"))
+        free = alive.where(~F.col("waits")).select(group, "rank", "rows")
+        fits = cut(free.unionByName(_settle(rows, alive, group)).distinct())
+        accepted.append(fits)
+        hit = cut(rows.select(group, "__row", F.explode("ranks").alias("rank"))
+                  .join(broadcast_within(fits.select(group, "rank")), [group, "rank"])
+                  .groupBy(group, "__row").agg(F.min("rank").alias("rank")))
+        taken.append(hit)
+        rows = cut(rows.join(hit.select("__row"), "__row", "left_anti"))
+    if not accepted:
+        accepted.append(cut(rows.select(group, F.lit(0).cast("bigint").alias("rank"), F.lit(0).cast("bigint")
+                                        .alias("rows")).limit(0)))
+        taken.append(rows.select(group, "__row", F.lit(0).cast("bigint").alias("rank")).limit(0))
+    order = sequence_in_group(_union(accepted), [group], ["rank"], "position")
+    order = order.where(F.lit(True) if max_groups is None else F.col("position") <= max_groups)
+    order = cut(order.withColumn("position", (F.col("position") - 1).cast("int"))
+                .join(named.select(group, "rank", "term"), [group, "rank"]))
     assigned = (
-        mine.join(broadcast_within(accepted), group)
-        .withColumn("rank", F.array_min(F.array_intersect("ranks", "taken")))
-        .where(F.col("rank").isNotNull())
-        .select(group, F.col("__id").alias(row_id), "rank",
-                (F.array_position("taken", F.col("rank")) - 1).cast("int").alias("position"))
-        .join(named.select(group, "rank", "term"), [group, "rank"])
+        _union(taken).join(broadcast_within(order.select(group, "rank", "position", "term")), [group, "rank"])
+        .join(base.select("__row", F.col("__id").alias(row_id)), "__row")
         .select(group, row_id, "position", "term"))
-    return groups, assigned
+    return order.select(group, "position", "term", "rows"), assigned
+
+
+#: Candidates of a group settled together; rows hold at most 2 ** WINDOW sets of them.
+WINDOW = 14
+
+
+def _settle(rows: DataFrame, alive: DataFrame, group: str) -> DataFrame:
+    """Which of the first ``WINDOW`` candidates of each group are accepted: group, rank, rows."""
+    nth = Window.partitionBy(group).orderBy("rank")
+    first = cut(alive.withColumn("__nth", F.row_number().over(nth)).where(F.col("__nth") <= WINDOW)
+                .groupBy(group).agg(F.first("min_rows").alias("min_rows"),
+                                    F.array_sort(F.collect_list("rank")).alias("firsts")))
+    sets = F.array_intersect("firsts", "ranks")
+    counted = (rows.join(broadcast_within(first), group).withColumn("held", sets).where(F.size("held") > 0)
+               .groupBy(group, "min_rows", "held").agg(F.count(F.lit(1)).alias("n")))
+
+    def greedy(table: pd.DataFrame) -> pd.DataFrame:
+        held = [frozenset(map(int, h)) for h in table["held"]]
+        n, minimum, out = table["n"].tolist(), int(table["min_rows"].iloc[0]), []
+        for rank in sorted(set().union(*held)):
+            free = sum(k for h, k in zip(held, n) if rank in h)
+            if free >= minimum:
+                out.append((table[group].iloc[0], rank, free))
+                left = [(h, k) for h, k in zip(held, n) if rank not in h]
+                held, n = [h for h, _ in left], [k for _, k in left]
+        return pd.DataFrame(out, columns=[group, "rank", "rows"])
+
+    kind = rows.schema[group].dataType.simpleString()
+    return counted.groupBy(group).applyInPandas(greedy, f"`{group}` {kind}, rank bigint, rows bigint")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, frames)
 
 
 def _examples(rows: DataFrame, keys: list[str], text: str, order: str, n: int) -> DataFrame:

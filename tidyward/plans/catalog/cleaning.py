@@ -606,7 +606,28 @@ def _(t):
     return term_counts(t.documents, "source", "text", _LATIN, _DOC_STOP)
 
 
-@query("pattern_groups")
+@query("pattern_groups", rf"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS id, lang, list_filter(
+    regexp_extract_all(text, '[{_LATIN}]{{2,}}'), lambda x: x NOT IN ({lits(_DOC_STOP)})) AS words
+    FROM documents),
+  least AS (SELECT lang, greatest(3, count(*) // 80) AS min_rows FROM documents GROUP BY lang),
+  held AS (SELECT DISTINCT id, lang, 1 AS n, unnest(words) AS term FROM w
+    UNION ALL SELECT DISTINCT id, lang, 2, unnest(list_transform(range(1, len(words)),
+      lambda i: words[i] || ' ' || words[i + 1])) FROM w),
+  often AS (SELECT lang, n, term, min_rows, list(id) AS ids FROM held JOIN least USING (lang)
+    GROUP BY ALL HAVING count(*) >= min_rows),
+  covered AS (SELECT DISTINCT lang, unnest(string_split(term, ' ')) AS term FROM often WHERE n = 2),
+  cand AS (SELECT lang, term, min_rows, ids, row_number() OVER (PARTITION BY lang ORDER BY n * len(ids) DESC, term)
+    AS rank FROM often o WHERE n = 2 OR NOT EXISTS (
+      SELECT 1 FROM covered c WHERE c.lang = o.lang AND c.term = o.term)),
+  state AS (SELECT DISTINCT lang, 0::BIGINT AS rank, 0 AS taken_groups, []::BIGINT[] AS taken, NULL::VARCHAR AS term,
+      0::BIGINT AS rows, false AS fits FROM cand
+    UNION ALL SELECT lang, rank, CASE WHEN len(free) >= min_rows THEN taken_groups + 1 ELSE taken_groups END,
+      CASE WHEN len(free) >= min_rows THEN list_concat(taken, free) ELSE taken END, term, len(free),
+      len(free) >= min_rows
+    FROM (SELECT s.lang, c.rank, s.taken_groups, s.taken, c.term, c.min_rows,
+      list_filter(c.ids, lambda i: NOT list_contains(s.taken, i)) AS free
+      FROM state s JOIN cand c ON c.lang = s.lang AND c.rank = s.rank + 1 WHERE s.taken_groups < 12))
+  SELECT lang, taken_groups - 1 AS position, term, rows FROM state WHERE fits""")
 def _(t):
     minimum = t.documents.groupBy("lang").agg(
         F.greatest(F.lit(3).cast("bigint"), F.floor(F.count(F.lit(1)) / 80)).alias("min_rows"))
