@@ -92,3 +92,21 @@ def test_windows_that_see_little(spark):
     """As at large sizes, where windows hold a small share of the table."""
     x = np.random.default_rng(4).normal(size=(4000, 32))
     all_found(spark, x / np.linalg.norm(x, axis=1)[:, None], curves=2)
+
+
+def test_repeated_ids(spark):
+    """Ids on many equal rows, and on several vectors."""
+    r = np.random.default_rng(7)
+    rows = [(i, r.normal(size=8).round(2).tolist()) for i in range(60)]
+    rows += [(100, [9.0] * 8)] * 20 + [(i, [9.0] * 8) for i in range(101, 106)] + [(105, [9.0] * 8)] * 3
+    rows += [(3, [9.0] * 7 + [8.5]), (101, [8.0] * 8), (101, [8.0] * 8), (2, [0.1] * 8)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for k in (3, 10):
+        got = {}
+        for row in nearest(table, k=k, curves=4).orderBy("query_id", "rank").collect():
+            got.setdefault(row.query_id, []).append((row.score, row.vec_id))
+        want = brute(rows, k, 100)
+        assert set(got) == set(want) == {0, 100}
+        for q in want:
+            assert [i for _, i in got[q]] == [i for _, i in want[q]]
+            assert np.allclose([d for d, _ in got[q]], [d for d, _ in want[q]], rtol=1e-12)

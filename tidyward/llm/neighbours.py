@@ -81,12 +81,14 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = 64,
     """The ``k`` nearest found of each query: query_id, rank (from 1), vec_id, score (distance).
 
     Queries are the rows whose id is divisible by ``every``; candidates are all other rows.
-    They are the nearest by all distances, whatever the windows held. Ties go to the smaller id. Vectors that are null, zero, or hold null or non-finite
+    They are the nearest by all distances, whatever the windows held. Ties go to the smaller id.
+    Vectors that are null, zero, or hold null or non-finite
     components, those of another length than the commonest, and rows without an id take no
     part. Equal vectors form one class, searched once, whose smallest ids answer for it. A
     window reaches ``reach`` times the root of the number of classes to either side. Center
-    and scale come from about ``sample`` vectors; every vector is indexed. Repeated ids
-    are candidates each, but no row is a candidate of a query of its own id.
+    and scale come from about ``sample`` vectors; every vector is indexed. Rows of a
+    repeated id are candidates each, but none is a candidate of a query of its own id; queries of one
+    id share one list.
     """
     spark = vectors.sparkSession
     given = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).filter(
@@ -98,11 +100,14 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = 64,
     width = lengths["n"] if lengths else 0
     given = given.filter(F.size("vec") == width)
 
-    # the k + 1 smallest ids of a class are all that any query can need
+    # k rows of each of the k + 1 smallest ids of a class are all that any query can need
     order = Window.partitionBy("vec").orderBy("id")
-    members = store(given.withColumn("nth", F.row_number().over(order)).filter(
-        F.col("nth") <= k + 1).withColumn("class", F.first("id").over(order)))
-    classes = members.filter("nth = 1").select("class", "vec")
+    members = store(given.groupBy("vec", "id").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("rows"))
+                    .withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1))
+    # classes are numbered by their smallest id, as ties go by it; an id may stand on several vectors
+    classes, _ = number_rows(members.filter("nth = 1").select("id", "vec"), ["id", F.xxhash64("vec")], "class")
+    classes = store(classes.select("class", "vec"))
+    members = members.join(classes, "vec").select("class", "id", "rows")
     n = classes.count()
     queries = store(given.filter(F.col("id") % every == 0).distinct().join(classes, "vec").select(
         F.col("id").alias("query_id"), "class"))
@@ -120,7 +125,8 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = 64,
     exact = exact.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k).drop("nth").unionByName(own)
     ranked = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return queries.withColumnRenamed("class", "q").join(exact, "q").join(
-        members.select("class", F.col("id").alias("vec_id")), "class").filter("vec_id <> query_id").withColumn(
+        members.select("class", F.explode(F.array_repeat("id", F.col("rows").cast("int"))).alias("vec_id")),
+        "class").filter("vec_id <> query_id").withColumn(
         "rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
