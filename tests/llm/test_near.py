@@ -121,3 +121,28 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op7_minhash(spark, SF).collect()}
     assert got == brute(rows)
+
+
+def test_shared_boilerplate_is_not_compared_all_with_all(spark, monkeypatch):
+    """Texts that share 60 words but are no near copies: comparisons follow from buckets."""
+    import random
+
+    from tidyward.llm import near
+    rng = random.Random(5)
+    shared = " ".join(f"common{i}" for i in range(60))
+    rows = [(i, shared + " " + " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(60))) for i in range(1000)]
+    rows += [(2000 + i, rows[i][1] + " end") for i in range(20)]
+    seen = {}
+    real = near._block_links
+
+    def counted(rest, sets, percent, block=512):
+        sizes = [r["size"] for r in rest.groupBy("bucket").agg(near.F.count(near.F.lit(1)).alias("size")).collect()]
+        seen["pairs"], seen["largest"] = sum(n * (n - 1) // 2 for n in sizes), max(sizes, default=0)
+        return real(rest, sets, percent, block)
+
+    monkeypatch.setattr(near, "_block_links", counted)
+    got = {r.doc_id: r.component_id for r in near.near_groups(
+        spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i - 2000 if i >= 2000 else i for i, _ in rows}
+    # some bucket's coordinates all come from the shared words; no group reaches beyond a bucket
+    assert seen["largest"] < 700 and seen["pairs"] < 1020 * 1019 // 2, seen

@@ -8,8 +8,8 @@ agree on a coordinate with the probability of their Jaccard similarity.
 Documents with equal shingle sets form one class. Bands of coordinates put classes in
 buckets; each class of a bucket is compared with the bucket's first on full sets, and
 links are joined to components. What this leaves - classes that share a bucket and are in
-different components - is compared in blocks, on full sets as well. So no bucket is cut
-short, and no pairs of a group are written out.
+different components - is compared bucket by bucket, in blocks, on full sets as well. So no bucket is
+cut short, no pairs are written out, and classes that share no bucket are never compared.
 """
 
 from __future__ import annotations
@@ -207,31 +207,38 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Classes (c, comp, group) that share a bucket with another component's class, apart from
-    the bucket's first, with which all of them have been compared. Classes that share
-    such a bucket, or meet through others, are in one group."""
+    """Classes (bucket, c, comp) of the buckets that hold more than one component, apart from a
+    bucket's first, with which all of them have been compared. Of buckets with the same classes,
+    as those of a group that shares many bands, one is kept."""
     placed = members.join(roots.withColumnRenamed("node", "c"), "c", "left").select(
         "bucket", "c", F.coalesce("root", "c").alias("comp"))
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
-                                         F.min("c").alias("head")).filter("low < high").select("bucket", "head")
-    rest = store(placed.join(mixed, "bucket").select("c", "comp", "head").distinct())
-    groups = components(rest.select(F.col("c").alias("a"), F.col("head").alias("b")))
-    return store(rest.select("c", "comp").distinct().join(
-        groups.select(F.col("node").alias("c"), F.col("root").alias("group")), "c"))
+    mixed = placed.groupBy("bucket").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"),
+        *[F.sum(F.xxhash64("c", F.lit(seed)).cast("decimal(20,0)")).alias(f"mark{seed}") for seed in (1, 2)]
+    ).filter("low < high").groupBy("size", "mark1", "mark2").agg(F.min("bucket").alias("bucket"))
+    return store(placed.join(mixed.select("bucket", "size"), "bucket"))
 
 
 def _block_links(rest: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
-    """Links (a, b) between classes of a group that are in different components.
+    """Links (a, b) between classes of a bucket that are in different components.
 
-    A group is dealt into blocks by a hash, and each pair of blocks is compared in one
-    small task, on full sets; of the links between two components one is returned.
+    A bucket is dealt into blocks by a hash, and each pair of blocks is compared on full
+    sets, in tasks of about four blocks; of the links between two components one is returned.
+    So work and rows moved follow from the sizes of buckets, not of what is reached through several.
     """
-    sizes = rest.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    dealt = rest.join(sizes, "group").withColumn(
-        "own", F.pmod(F.xxhash64("c"), F.col("blocks"))).join(sets, "c")
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(
-        "group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        "own", "c", "comp", "n", "items")
+    dealt = rest.withColumn("blocks", F.ceil(F.col("size") / block)).withColumn(
+        "own", F.pmod(F.xxhash64("c"), F.col("blocks")))
+    met = store(dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(
+        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "comp"))
+    parts = max(1, -(-met.count() // (4 * block)))
+    pairs = met.join(sets, "c").withColumn("part", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(parts)))
+
+    def compare_all(table):
+        table = table.combine_chunks().sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        keys = [table.column(x).to_numpy() for x in ("bucket", "i", "j")]
+        new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+        found = [compare(table.slice(a, b - a)) for a, b in zip([0, *new], [*new, len(keys[0])])]
+        return pa.concat_tables(found)
 
     def compare(table):
         table = table.sort_by("c")
@@ -267,4 +274,4 @@ def _block_links(rest: DataFrame, sets: DataFrame, percent: int, block: int = 51
         one = np.unique(np.sort(np.stack([comp[x], comp[y]]), axis=0), axis=1, return_index=True)[1]
         return pa.table({"a": pa.array(c[x[one]], pa.int64()), "b": pa.array(c[y[one]], pa.int64())})
 
-    return pairs.groupBy("group", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    return pairs.groupBy("part").applyInArrow(compare_all, "a bigint, b bigint")
