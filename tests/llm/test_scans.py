@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from tidyward.llm import lines, near, repeats
+from tidyward.llm import bytepair, lines, near, repeats
 from tidyward.llm.common import store
 
 SPLITS = "spark.sql.files.minPartitionNum"
@@ -20,7 +20,7 @@ def dealt_anew(spark, monkeypatch):
         spark.conf.set(SPLITS, str(1 + 3 * turns[0]))
         return out
 
-    for module in (lines, near, repeats, corpus_pipeline):
+    for module in (bytepair, lines, near, repeats, corpus_pipeline):
         monkeypatch.setattr(module, "store", stored)
     spark.conf.set(SPLITS, "1")
     yield turns
@@ -65,3 +65,16 @@ def test_near(table, dealt_anew):
 def test_near_stage(spark, table, dealt_anew):
     kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, table, "").collect())
     assert [i for i in kept if i >= 30] == [30] and dealt_anew[0] > 1
+
+
+def test_bytes_of_long_texts(spark, docs, tmp_path, dealt_anew):
+    """Texts of several chunks; some share no border with the next one and are encoded whole."""
+    from tidyward.llm.queries import vocabulary
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    texts = [f"text number {i} " * (3 + 9 * i) if i % 3 else f"{i}" + "x" * (150 + 40 * i) for i in range(24)]
+    docs(texts).repartition(7, "doc_id").write.parquet(str(tmp_path / "documents"))
+    table = spark.read.parquet(str(tmp_path / "documents"))
+    whole = {r.doc_id: bytes(r.ids) for r in bytepair.encode_texts(table, path, chunk=1 << 20).collect()}
+    pieces = bytepair.encode_texts(table, path, chunk=100, overlap=20).collect()
+    assert {r.doc_id: bytes(r.ids) for r in pieces} == whole and len(pieces) == 24
+    assert all(bytes(r.decoded).decode() == texts[r.doc_id] for r in pieces) and dealt_anew[0] > 1

@@ -38,8 +38,8 @@ def encode_texts(docs: DataFrame, vocabulary: str, chunk: int = 32_768, overlap:
     ``vocabulary`` is the path of a rank file, the same on every machine; ``chunk`` and
     ``overlap`` are characters. Null counts as the empty text: no ids, no bytes. Should a
     chunk share no border with its successor (a pre-token longer than the overlap), its
-    document is encoded whole. The frame must read the same in every scan, as a table of
-    files does. Other columns are ignored.
+    document is encoded whole. Rows of more than one chunk are numbered and stored once, so it doesn't
+    matter if a later scan deals them out differently. Other columns are ignored.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"),
@@ -69,7 +69,8 @@ def encode_texts(docs: DataFrame, vocabulary: str, chunk: int = 32_768, overlap:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(ends, pa.int32())], [*batch.schema.names, "end"])
 
-    chunks = rows.filter(long).mapInArrow(cut, by_id + "k int, last boolean, text string")
+    longs = store(rows.filter(long))
+    chunks = longs.mapInArrow(cut, by_id + "k int, last boolean, text string")
     passes = store(chunks.repartition("row", "k").mapInArrow(
         meet, by_id + "k int, last boolean, text string, end int"))
     lost = passes.filter(F.col("end").isNull()).select("row").distinct()
@@ -105,7 +106,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, chunk: int = 32_768, overlap:
     out = f"id {kind}, n_tokens bigint, ids binary, decoded binary"
     joined = stitched.mapInArrow(encode_pieces, by_id + "k int, ids binary").groupBy(
         "row").applyInArrow(join_pieces, out)
-    unstitched = _encoded(rows.filter(long).join(lost, "row", "left_semi"), vocabulary, by_id)
+    unstitched = _encoded(longs.join(lost, "row", "left_semi"), vocabulary, by_id)
     return whole.unionByName(joined).unionByName(unstitched).withColumnRenamed("id", id_col)
 
 
