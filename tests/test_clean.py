@@ -4,7 +4,7 @@ import collections
 import datetime as dt
 import random
 
-from tidyward.operators.answers import apply_answers, parse_coordinate_lines
+from tidyward.operators.answers import apply_answers, parse_coordinate_lines, term_hits
 from tidyward.operators.clean import clean, cleaning_stats
 from tidyward.operators.ordered import recurrence, sequence_in_group
 from tidyward.operators.resolve import auto_fix, resolve_from_context
@@ -124,6 +124,37 @@ def test_answers(frame):
     assert all(x["street"] == "הרצל בנימין" for x in r.values())
 
 
+def test_term_hits_equal_a_plain_search(frame):
+    import random
+    rng = random.Random(3)
+    word = lambda a, b: "".join(rng.choice("abכ\n. 😀") for _ in range(rng.randint(a, b)))
+    rows = [(rng.choice(["x", "y", None]), rng.choice([None, "", word(1, 12), word(3, 40)])) for _ in range(300)]
+    rows += [("x", "one text for many rows abכ")] * 50
+    terms = [(i % 40, rng.choice(["x", "x", "y", "z", None]), rng.choice([None, "", word(1, 2), word(3, 7)]), f"a{i}")
+             for i in range(150)]
+    # of one term's answers that of the smallest seq counts, then the smallest
+    want = {}
+    for c, d in set(rows):
+        hit = [(s, t, a) for s, k, t, a in terms if c is not None and c == k and t and d and t in d]
+        if hit:
+            want[c, d] = min(hit)[2]
+    got = term_hits(frame(rows, "category string, description string"),
+                    frame(terms, "seq int, category string, term string, answer string")).collect()
+    assert {(r[0], r[1]): r[2] for r in got} == want and len(got) == len(want) > 20
+    none = frame([], "seq int, category string, term string, answer string")
+    assert term_hits(frame(rows, "category string, description string"), none).count() == 0
+
+
+def test_large_answer_tables_join_the_same(frame, monkeypatch):
+    from tidyward import session
+    from tidyward.operators import answers as A
+    monkeypatch.setattr(A, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(session.broadcast_within, "__defaults__", (-1,))
+    monkeypatch.setattr(A, "fits", lambda table: False)
+    test_answers(frame)
+    test_term_hits_equal_a_plain_search(frame)
+
+
 def test_coordinate_lines(frame):
     df = frame([(1, "5,32.1,34.8"), (2, "5, 32.2 ,34.9"), (3, "6,x,34"), (4, "7,1"), (5, "")],
                "line_no int, line string")

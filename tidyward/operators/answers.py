@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from tidyward import rules as R
 from tidyward.functions import text as T
 from tidyward.operators.clean import confidence_of, keyword_label, with_responsibility
-from tidyward.session import cut, fits
+from tidyward.session import BROADCAST_BYTES, cut, fits, join_known, pinned
 
 SKIPPED = ["__skip__", "", "nan"]
 OPEN = "unresolved"
+KINDS = ["street", "subtopic", "resp_term", "resp_default", "resp_sub", "resp_unmatched", "resp"]
 
 
 def _per_key(answers: DataFrame, kind: str, key: str) -> DataFrame:
@@ -20,19 +21,82 @@ def _per_key(answers: DataFrame, kind: str, key: str) -> DataFrame:
             .agg(F.max_by("answer", "seq").alias("__answer")))
 
 
-def _term_lists(answers: DataFrame, kind: str, keep: str) -> DataFrame:
-    """Per category, its (seq, term, answer) entries in order.
+def _label_lists(answers: DataFrame, kind: str, labels: list[str]) -> DataFrame:
+    """Per category, its (seq, term, answer) entries in order, the last one of each term.
 
-    Of answers to the same term only the ``first`` or ``last`` can win.
+    Only terms among ``labels`` can be asked for, so no list is longer than the rule set.
     """
-    pick, at = (F.min_by, F.min) if keep == "first" else (F.max_by, F.max)
-    return (answers.where((F.col("kind") == kind) & (F.coalesce("term", F.lit("")) != ""))
+    return (answers.where((F.col("kind") == kind) & F.col("term").isin(labels))
             .groupBy("category", "term")
-            .agg(pick("answer", "seq").alias("answer"), at("seq").alias("seq"))
+            .agg(F.max_by("answer", "seq").alias("answer"), F.max("seq").alias("seq"))
             .groupBy(F.col("category").alias("__key"))
             .agg(F.array_sort(F.collect_list(F.struct("seq", "term", "answer"))).alias("__terms")))
 
 
+#: A term is filed under grams of the largest of these numbers of characters that it has.
+WIDTHS = (1, 2, 3, 6)
+
+
+def _grams(text, widths: list[int]):
+    """The distinct stretches of these numbers of characters, by look-ahead in one walk each."""
+    return F.array_distinct(F.flatten(F.array(*[
+        F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{w}}}))"), 1) for w in widths])))
+
+
+def term_hits(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """One row per distinct (category, description) of ``rows`` that contains a term of its category:
+    category, description and the answer of the smallest ``seq`` among those terms (equal ones: the
+    smallest term, then answer).
+
+    ``terms``: seq, category, term, answer. Empty terms, and null categories, terms and descriptions, match
+    nothing. Works by an inverted index: a term is filed under the rarest of its grams, as counted in
+    the descriptions of its category, and only descriptions with that gram are searched for it. A term
+    with a gram that stands nowhere is left out at once.
+    """
+    terms = cut(terms.where((F.col("term") != "") & F.col("category").isNotNull())
+                .groupBy("category", "term").agg(F.min(F.struct("seq", "answer")).alias("v"))
+                .select("category", "term", "v.*", F.array_max(F.filter(
+                    F.array(*map(F.lit, WIDTHS)), lambda w: w <= F.char_length("term"))).alias("width")))
+    # at most four numbers
+    widths = sorted(r[0] for r in terms.select("width").distinct().collect())
+    if not widths:
+        return rows.select("category", "description", F.lit(None).cast("string").alias("answer")).limit(0)
+    filed = terms.select("*", F.explode(F.filter(
+        _grams(F.col("term"), widths), lambda g: F.char_length(g) == F.col("width"))).alias("gram"))
+    known = cut(filed.select("category", "gram").distinct())
+    # the categories are part of it, so they fit if it does
+    beside = F.broadcast if fits(known) else (lambda table: table)
+    texts = cut(rows.where(F.col("description") != "").select("category", "description")
+                .join(beside(known.select("category").distinct()), "category", "left_semi").distinct()
+                .withColumn("text", F.monotonically_increasing_id()))
+    postings = texts.select("category", "text", F.explode(_grams(F.col("description"), widths)).alias("gram"))
+    often = postings.join(beside(known), ["category", "gram"], "left_semi").groupBy("category", "gram").agg(
+        F.count(F.lit(1)).alias("n"))
+    index = pinned(filed.join(often, ["category", "gram"], "left").groupBy("category", "term", "seq", "answer").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest"))
+        .where("rarest.n > 0").select("category", "term", "seq", "answer", "rarest.gram"))
+    return (postings.join(index, ["category", "gram"]).select("text", "term", "seq", "answer")
+            .join(texts, "text").where(F.contains("description", "term"))
+            .groupBy("text", "category", "description").agg(F.min(F.struct("seq", "term", "answer")).alias("v"))
+            .select("category", "description", "v.answer"))
+
+
+SALTS = 16
+
+
+def _beside(df: DataFrame, table: DataFrame, key: str, small: bool) -> DataFrame:
+    """Left join with a table of one row per ``key``.
+
+    One that is too large to broadcast is repeated under salts, so that the rows of a key spread.
+    """
+    table = table.withColumnRenamed("__key", key)
+    if small:
+        return df.join(F.broadcast(table), key, "left")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return (df.withColumn("__salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
+            .join(table.withColumn("__salt", salts), [key, "__salt"], "left").drop("__salt"))
+
+
 def _set(df: DataFrame, hit, source: str) -> DataFrame:
     return df.withColumns({
         "responsibility": F.when(hit, F.col("__answer")).otherwise(F.col("responsibility")),
@@ -65,19 +129,18 @@ def apply_answers(df: DataFrame, answers: DataFrame, rules: R.Rules = R.MUNICIPA
     older ``resp_sub`` (keyword label in ``term``), ``resp_unmatched``, ``resp``.
     Skipped answers do nothing.
     """
-    given = cut(answers.where(F.col("answer").isNotNull()
+    given = cut(answers.where(F.col("kind").isin(KINDS) & F.col("answer").isNotNull()
                               & ~T.strip("answer").isin(SKIPPED)))
-    # each kind's table is a part of the answers, so one measure holds for all: if they fit,
-    # the rows never shuffle on a column of a few values
-    beside = F.broadcast if fits(given) else (lambda table: table)
+    # each kind's table is a part of its answers, measured here: a row per kind
+    bytes_of = dict(given.groupBy("kind").agg(
+        F.sum(F.octet_length(F.to_json(F.struct("*"))))).collect())
+    small = {kind: bytes_of.get(kind, 0) <= BROADCAST_BYTES for kind in KINDS}
     df = rerun_keywords(df, rules)
 
-    df = (df.join(beside(_per_key(given, "street", "term").withColumnRenamed("__key", "street")),
-                  "street", "left")
+    df = (_beside(df, _per_key(given, "street", "term"), "street", small["street"])
           .withColumn("street", F.coalesce("__answer", "street")).drop("__answer"))
 
-    df = df.join(beside(_per_key(given, "subtopic", "term").withColumnRenamed("__key", "subtopic")),
-                 "subtopic", "left")
+    df = _beside(df, _per_key(given, "subtopic", "term"), "subtopic", small["subtopic"])
     hit = F.col("__answer").isNotNull()
     df = df.withColumns({
         "category": F.coalesce("__answer", "category"),
@@ -89,34 +152,34 @@ def apply_answers(df: DataFrame, answers: DataFrame, rules: R.Rules = R.MUNICIPA
         "resp_source": F.when(hit, F.col("__how")).otherwise(F.col("resp_source")),
     }).drop("__answer", "__resp", "__how")
 
-    contains = lambda t: F.coalesce(F.col("description"), F.lit("")).contains(t["term"])
-    df = df.join(beside(_term_lists(given, "resp_term", "first").withColumnRenamed("__key", "category")),
-                 "category", "left")
-    df = df.withColumn("__answer", F.when(F.col("resp_source") == OPEN, F.get(
-        F.filter("__terms", contains), F.lit(0))["answer"])).drop("__terms")
-    df = _set(df, F.col("__answer").isNotNull(), "user_resp_term")
+    if "resp_term" in bytes_of:
+        open_text = F.when(F.col("resp_source") == OPEN, F.col("description"))
+        hits = pinned(term_hits(df.where(F.col("resp_source") == OPEN), given.where(F.col("kind") == "resp_term")))
+        df = join_known(df.withColumn("__text", open_text), hits.select(
+            "category", F.col("description").alias("__text"), F.col("answer").alias("__answer")),
+            ["category", "__text"]).drop("__text")
+        df = _set(df, F.col("__answer").isNotNull(), "user_resp_term")
 
-    by_category = lambda kind: beside(_per_key(given, kind, "category")
-                                      .withColumnRenamed("__key", "category"))
-    df = df.join(by_category("resp_default"), "category", "left")
+    by_category = lambda df, kind: _beside(df, _per_key(given, kind, "category"), "category", small[kind])
+    df = by_category(df, "resp_default")
     df = _set(df, F.col("__answer").isNotNull() & (F.col("resp_source") == OPEN),
               "user_resp_default")
 
-    labels = _term_lists(given, "resp_sub", "last").withColumnRenamed("__key", "category")
+    labels = _label_lists(given, "resp_sub", list(rules.keywords))
     hits = F.array_compact(F.array(*[
         F.when(T.has_any("description", words), label)
         for label, words in rules.keywords.items()]))
-    df = df.join(beside(labels), "category", "left").withColumn("__hits", hits)
+    df = _beside(df, labels, "category", small["resp_sub"]).withColumn("__hits", hits)
     named = lambda t: F.array_contains(F.col("__hits"), t["term"])
     df = df.withColumn("__answer", F.try_element_at(
         F.filter("__terms", named), F.lit(-1))["answer"]).drop("__terms", "__hits")
     df = _set(df, F.col("__answer").isNotNull(), "user_resp_kw")
 
-    df = df.join(by_category("resp_unmatched"), "category", "left")
+    df = by_category(df, "resp_unmatched")
     df = _set(df, F.col("__answer").isNotNull()
               & keyword_label("description", rules.keywords).isNull(), "user_resp_unmatched")
 
-    df = df.join(by_category("resp"), "category", "left")
+    df = by_category(df, "resp")
     df = _set(df, F.col("__answer").isNotNull() & (F.col("responsibility") == R.UNKNOWN_RESP),
               "user_resp")
     return recompute_confidence(df)

@@ -372,6 +372,30 @@ def _(t):
         "confidence")
 
 
+# A term per line item, most of them in one category: pieces of the orders' numbers, short and long.
+_MANY_TERMS = f"""SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS seq,
+  CASE WHEN l_linenumber = 7 THEN '{_CATS[1]}' ELSE '{_CATS[0]}' END AS category,
+  CASE WHEN l_partkey % 1000 = 0 THEN CAST(l_linenumber AS STRING) || CAST(l_suppkey % 10 AS STRING)
+       ELSE CAST(l_suppkey AS STRING) || '-' || CAST(l_orderkey * 7919 % 1000003 AS STRING) END AS term,
+  'a' || CAST(l_partkey AS STRING) AS answer
+FROM {{lineitem}}"""
+_NUMBERED = f"""SELECT CAST(o_orderkey AS BIGINT) AS ticket,
+  CASE WHEN o_orderkey % 13 = 0 THEN '{_CATS[1]}' WHEN o_orderkey % 101 = 0 THEN NULL ELSE '{_CATS[0]}' END AS category,
+  CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_orderkey % 89 = 0 THEN '' ELSE CAST(o_custkey AS STRING) || '-'
+    || CAST(o_orderkey * 7919 % 1000003 AS STRING) || ' ' || o_orderpriority END AS description
+FROM {{orders}}"""
+
+
+@query("many_terms", f"""SELECT DISTINCT o.category, o.description,
+  struct_extract(min({{'seq': t.seq, 'term': t.term, 'answer': t.answer}}) OVER (
+    PARTITION BY o.category, o.description), 'answer') AS answer
+  FROM ({_NUMBERED.replace('{orders}', 'orders')}) o JOIN ({_MANY_TERMS.replace('{lineitem}', 'lineitem')}) t
+  ON t.category = o.category AND contains(o.description, t.term)""")
+def _(t):
+    """Answers by term where a category has one for every line item."""
+    return A.term_hits(t.sql(_NUMBERED), t.sql(_MANY_TERMS))
+
+
 # One override per line item, on the order's ticket.
 _OVERRIDES = """SELECT CAST(l_orderkey AS STRING) AS ticket, l_partkey * 100 + l_suppkey AS seq,
   CASE l_linenumber WHEN 1 THEN 'category' WHEN 2 THEN 'responsibility' WHEN 3 THEN 'street'
