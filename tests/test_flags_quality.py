@@ -1,6 +1,7 @@
 """Flags, sampling, comparison, audit and phrases."""
 
 import collections
+import os
 import random
 import tempfile
 
@@ -155,12 +156,28 @@ def test_audit_round_trip(frame, spark):
     path = tempfile.mkdtemp(prefix="tidyward-audit-") + "/log"
     WR.append_audit(AU.change_entries(a, b, ["street", "house"], "auto_fix", "run1", "2026-01-01"), path)
     WR.append_audit(AU.change_entries(a, b, ["house"], "waive", "run2", "2026-01-02"), path)
-    with open(path + "/run_id=run1/bad.json", "w") as f:
+    batch = WR.append_audit(AU.change_entries(a, b, ["house"], "waive", "run2", "2026-01-02"), path)
+    assert WR.append_audit(AU.change_entries(a, b, ["street"], "waive", "run3", "t"), path, batch) == batch
+    with open(f"{path}/entries/batch={batch}/run_id=run2/bad.json", "w") as f:
         f.write("{not json\n")
+    # a run that broke off before its marker: not seen, then written anew
+    os.makedirs(f"{path}/entries/batch=late/run_id=run4")
+    with open(f"{path}/entries/batch=late/run_id=run4/part.json", "w") as f:
+        f.write('{"ticket":"9","field":"street"}\n')
+    assert RD.read_audit(spark, path, "run4").count() == 0
+    assert [tuple(r) for r in RD.read_audit_rejects(spark, path).collect()] == [(batch, "run2", "{not json")]
     got = {(r["ticket"], r["field"], r["old"], r["new"]) for r in RD.read_audit(spark, path, "run1").collect()}
     assert got == {("1", "street", "x", "y"), ("2", "street", "", "z"), ("2", "house", "q", "")}
     assert [(r["run_id"], r["entries"]) for r in RD.audit_runs(RD.read_audit(spark, path)).collect()] == \
         [("run2", 1), ("run1", 3)]
+    late = AU.change_entries(a, b, ["street"], "waive", "run4", "2026-01-03")
+    WR.append_audit(late, path, "late")
+    assert {r["ticket"] for r in RD.read_audit(spark, path, "run4").collect()} == {"1", "2"}
+    assert RD.read_audit(spark, path + "-none").count() == 0
+    with pytest.raises(ValueError, match="batch id"):
+        WR.append_audit(late, path, "../x")
+    with pytest.raises(ValueError, match="source must"):
+        WR.append_audit(late.withColumn("source", F.lit(None).cast("string")), path)
     with pytest.raises(ValueError):
         AU.change_entries(a, b, ["house"], "someone", "r", "t")
 

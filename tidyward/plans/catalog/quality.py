@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidyward import rules as R
@@ -272,6 +274,20 @@ def _(t):
         "timestamp": F.when(second, "2026-01-02T00:00:00").otherwise(F.col("timestamp"))}))
 
 
+@query("audit_log", with_ctes(_PAIR, _CHANGES))
+def _(t):
+    """Written in two batches, one of them twice, and read back."""
+    from tidyward.session import shared_folder
+    from tidyward.sources.readers import read_audit
+    from tidyward.sources.writers import append_audit
+    path = f"{shared_folder(t.spark)}/audit-{uuid.uuid4().hex}"
+    entries = _entries(t)
+    status = F.col("field") == "status"
+    for batch, part in (("b1", status), ("b2", ~status), ("b1", status)):
+        append_audit(entries.where(part), path, batch)
+    return read_audit(t.spark, path, "run1").drop("timestamp")
+
+
 _SAY = "'אחריות נקבעה כ\"' || responsibility || '\"'"
 _FIRST_WORD = "CASE resp_source " + " ".join(
     f"WHEN {lit('keyword:' + label)} THEN CASE " + " ".join(

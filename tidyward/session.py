@@ -26,22 +26,31 @@ def build_session(app: str = "tidyward", master: str | None = None, **conf) -> S
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back, ending its lineage.
+_LOCAL: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Without it a
-    local session gets a temporary folder, and a cluster raises: its machines would not
+    Without it a local session gets a temporary folder, and a cluster raises: its machines would not
     see each other's files.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        _LOCAL[app] = tempfile.mkdtemp(prefix="tidyward-")
+    return _LOCAL[app]
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and read it back, ending its lineage."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not is_local(sc.master):
-                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-            folder = tempfile.mkdtemp(prefix="tidyward-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from tidyward import schema as S
 from tidyward.functions import text as T
@@ -119,13 +121,44 @@ def read_geocoder_results(spark: SparkSession, path: str, fmt: str = "parquet")
 # -- audit log ----------------------------------------------------------------
 
 
+def audit_commits(spark: SparkSession, path: str) -> DataFrame | None:
+    """Committed batches of an audit log (batch, entries), one row each; None for a log without any."""
+    try:
+        return spark.read.schema("batch string, entries bigint").option(
+            "recursiveFileLookup", True).json(f"{path}/commits").where("batch IS NOT NULL").distinct()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _audit_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of committed batches: batch, run_id, line, entry, and ``bad`` where it isn't one."""
+    done = audit_commits(spark, path)
+    if done is None:
+        lines = spark.createDataFrame([], "value string, run_id string, batch string")
+    else:
+        lines = spark.read.schema("value string, run_id string, batch string").text(
+            f"{path}/entries").join(done.select("batch"), "batch", "left_semi")
+    inside = StructType([f for f in S.AUDIT if f.name != "run_id"]).add("bad", "string")
+    entry = F.from_json("value", inside, {"columnNameOfCorruptRecord": "bad"})
+    return (lines.where(T.strip("value") != "").select("batch", "run_id", F.col("value").alias("line"), entry.alias("entry"))
+            .withColumn("bad", F.col("entry").isNull() | F.col("entry.bad").isNotNull()
+                        | (F.col("entry.ticket").isNull() & F.col("entry.field").isNull())))
+
+
 def read_audit(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
-    """Audit entries of one run or of all; malformed lines are dropped."""
-    log = spark.read.schema(S.AUDIT).option("mode", "DROPMALFORMED").json(path)
-    log = log.where("ticket IS NOT NULL OR field IS NOT NULL")
+    """Audit entries of one run or of all, of committed batches only; malformed lines are left out
+    (:func:`read_audit_rejects` returns them). A log that isn't there is empty."""
+    log = _audit_lines(spark, path).where(~F.col("bad")).select("entry.*", "run_id").select(S.AUDIT.fieldNames())
     return log if run_id is None else log.where(F.col("run_id") == run_id)
 
 
+def read_audit_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of committed batches that aren't entries: batch, run_id, line."""
+    return _audit_lines(spark, path).where("bad").select("batch", "run_id", "line")
+
+
 def audit_runs(log: DataFrame) -> DataFrame:
     """Runs with their entry counts, newest first."""
     return (log.groupBy("run_id")

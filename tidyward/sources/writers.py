@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from tidyward import rules as R
@@ -9,18 +11,44 @@ from tidyward.functions import text as T
 from tidyward.operators.flags import detect_flags
 from tidyward.operators.repair import coerce_coordinates
 from tidyward.schema import AUDIT
+from tidyward.session import cut
+from tidyward.sources.readers import audit_commits
 
 
-def append_audit(entries: DataFrame, path: str) -> None:
-    """Append entries under their run; sources outside the closed list raise."""
-    wrong = entries.where(~F.col("source").isin(R.AUDIT_SOURCES)).select("source").limit(1).collect()
-    if wrong:
-        raise ValueError(f"source must be one of {sorted(R.AUDIT_SOURCES)}, got {wrong[0][0]!r}")
+def append_audit(entries: DataFrame, path: str, batch: str | None = None) -> str:
+    """Append entries under their run as one batch and return the batch's id.
+
+    The entries are written first, and a marker under ``commits`` then makes them visible to
+    :func:`readers.read_audit`. Appending a committed batch again does nothing, and a run that broke off before
+    its marker is written anew in its own folder, so a retried run never doubles its entries.
+    Without ``batch`` the id comes from the entries themselves, whatever their order. An id has
+    letters, digits, - and _ only. Sources outside the closed list raise.
+    """
     filled = entries.select(*[F.col(f.name).cast("string") for f in AUDIT]).withColumns({
         "old": F.coalesce("old", F.lit("")), "new": F.coalesce("new", F.lit("")),
         "run_id": F.coalesce(F.nullif("run_id", F.lit("")), F.lit("unscoped")),
     })
-    filled.write.mode("append").partitionBy("run_id").json(path)
+    # the id and the rows must come from the same entries
+    filled = cut(filled)
+    known = F.coalesce(F.col("source").isin(R.AUDIT_SOURCES), F.lit(False))
+    wrong = filled.where(~known).select("source").limit(1).collect()
+    if wrong:
+        raise ValueError(f"source must be one of {sorted(R.AUDIT_SOURCES)}, got {wrong[0][0]!r}")
+    row = F.to_json(F.struct("*"))
+    seen = filled.agg(F.count(F.lit(1)), *[
+        F.sum(F.xxhash64(F.lit(seed), row).cast("decimal(38,0)")) for seed in (1, 2)]).first()
+    if batch is None:
+        batch = "-".join("n" + str(abs(v or 0)) if (v or 0) < 0 else str(v or 0) for v in seen)
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", batch):
+        raise ValueError(f"batch id {batch!r} may have letters, digits, - and _ only")
+    spark = entries.sparkSession
+    done = audit_commits(spark, path)
+    if done is not None and not done.where(F.col("batch") == batch).isEmpty():
+        return batch
+    filled.write.mode("overwrite").partitionBy("run_id").json(f"{path}/entries/batch={batch}")
+    marker = spark.range(1, numPartitions=1).select(F.lit(batch).alias("batch"), F.lit(seen[0]).alias("entries"))
+    marker.write.mode("overwrite").json(f"{path}/commits/{batch}")
+    return batch
 
 
 def review_rows_export(flagged: DataFrame) -> DataFrame:
