@@ -100,7 +100,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_log_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidyward.llm.lines import drop_templates
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return drop_templates(docs).select(
+    return drop_templates(docs, whole_lines=True).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -132,7 +132,12 @@ templates AS (
   GROUP BY s.n, s.parts HAVING count(c.token) >= s.n * 0.6),
 placed AS (SELECT doc_id, text, near.nr, template FROM near JOIN templates USING (n, parts)),
 recurring AS (SELECT template FROM placed GROUP BY template HAVING count(DISTINCT text) >= 10),
-gone AS (SELECT DISTINCT doc_id, nr FROM placed JOIN recurring USING (template))
+same AS (
+  SELECT doc_id, text, nr, regexp_replace(whole, '^[ \t\r\f\v]+|[ \t\r\f\v]+$', '', 'g') AS line FROM lines),
+often AS (SELECT line FROM same WHERE line <> '' GROUP BY line HAVING count(DISTINCT text) >= 10),
+gone AS (
+  SELECT doc_id, nr FROM placed JOIN recurring USING (template)
+  UNION SELECT doc_id, nr FROM same JOIN often USING (line))
 SELECT l.doc_id, CAST(count(*) AS INT) AS n_lines, CAST(count(g.nr) AS INT) AS n_dropped,
   sha256(coalesce(string_agg(l.whole, chr(10) ORDER BY l.nr) FILTER (g.nr IS NULL), '')) AS kept_sha256
 FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.nr = l.nr
