@@ -8,7 +8,7 @@ from tidyward import rules as R
 from tidyward.functions import text as T
 from tidyward.functions.geo import haversine_m
 from tidyward.operators.flags import content_fingerprint
-from tidyward.session import cut, join_known, pinned
+from tidyward.session import broadcast_within, cut, join_known, pinned
 
 #: The cell tree: 2 ** FAN_BITS cells a side below each cell, LEVELS levels.
 FAN_BITS, LEVELS = 4, 10
@@ -28,9 +28,12 @@ def nearest_reference(points: DataFrame, references: DataFrame) -> DataFrame:
     null or not finite take no part.
 
     References stand in a tree of square cells over their own extent, split where they are
-    dense. All points go down the tree together, a join per level: of the cells below a
-    point's cells, those stay that may hold something nearer than the farthest corner of
-    the best one. Only the extent and a count per level reach the driver.
+    dense. Points are grouped by the cells of the deepest level first, and only these groups' boxes go
+    down the tree, a join per level: of the cells below a box's cells, those stay that may hold
+    something nearer than the farthest corner of the best one. The references that may be
+    nearest to something in a box then meet its points in one join, on the cell and a slice of the points.
+    Points beyond the extent fall into cells of their own there. Only the extent, a
+    count per level and the size of the candidates reach the driver.
     """
     points = points.select("lat", "lon").where(_known("lat") & _known("lon")).distinct()
     refs = references.select(F.col("ref_id").cast("bigint").alias("ref_id"), F.col("lat").cast("double").alias("rlat"),
@@ -45,8 +48,11 @@ def nearest_reference(points: DataFrame, references: DataFrame) -> DataFrame:
         return _named(near)
     side = 1 << (FAN_BITS * LEVELS)
     width = max(lat1 - lat0, lon1 - lon0) or 1.0
-    fine = lambda c, low: F.least(F.floor((F.col(c) - low) / width * side), F.lit(side - 1)).cast("bigint")
-    refs = refs.withColumns({"fi": fine("rlat", lat0), "fj": fine("rlon", lon0)})
+    # far beyond the extent all points share the outermost cells of their side
+    fine = lambda c, low: F.floor(F.greatest(F.least((F.col(c) - low) / width, F.lit(2.0 ** 20)),
+                                             F.lit(-2.0 ** 20)) * side).cast("bigint")
+    inner = lambda c, low: F.least(fine(c, low), F.lit(side - 1))
+    refs = refs.withColumns({"fi": inner("rlat", lat0), "fj": inner("rlon", lon0)})
     at = lambda c, level: F.shiftright(c, FAN_BITS * (LEVELS - level))
     levels = refs.select(F.explode(F.array(*[
         F.struct(F.lit(k).alias("level"), at("fi", k).alias("i"), at("fj", k).alias("j"))
@@ -54,39 +60,62 @@ def nearest_reference(points: DataFrame, references: DataFrame) -> DataFrame:
         .groupBy("c.level").agg(F.max("n")).collect()      # a row per level
     depth = min([k for k, n in levels if n <= LEAF], default=LEVELS)
 
-    seen = points.withColumns({"i": F.lit(0).cast("bigint"), "j": F.lit(0).cast("bigint")})
+    points = cut(points.select("lat", "lon", at(fine("lat", lat0), depth).alias("pi"),
+                               at(fine("lon", lon0), depth).alias("pj")))
+    boxes = points.groupBy("pi", "pj").agg(F.min("lat").alias("lat1"), F.max("lat").alias("lat2"),
+                                           F.min("lon").alias("lon1"), F.max("lon").alias("lon2"))
+    # the root has one cell, so the way down starts below it without a join
+    seen = boxes.withColumns({"i": F.lit(0).cast("bigint"), "j": F.lit(0).cast("bigint")})
     for level in range(1, depth + 1):
         seen = _go_down(seen, refs, at, level)
     leaves = refs.select(at("fi", depth).alias("i"), at("fj", depth).alias("j"), "ref_id", "zone", "rlat", "rlon")
+    near = _within_boxes(seen.join(leaves, ["i", "j"]))
+    near = broadcast_within(cut(near))
     square = lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
-    near = seen.join(leaves, ["i", "j"]).groupBy("lat", "lon").agg(F.min(F.struct(
+    best = points.join(near, ["pi", "pj"]).groupBy("lat", "lon").agg(F.min(F.struct(
         (square("lat", "rlat") + square("lon", "rlon")).alias("d2"), "ref_id", "zone", "rlat", "rlon"))
         .alias("__best"))
-    return _named(near)
+    return _named(best)
+
+
+def _bounds(lat1: Column, lat2: Column, lon1: Column, lon2: Column) -> tuple[Column, Column]:
+    """Squared distances between a row's box and another: that of their nearest points, and the
+    largest from any point of the row's box to the farthest corner of the other."""
+    gap = lambda low, high, a, b: F.greatest(low - F.col(b), F.col(a) - high, F.lit(0.0))
+    far = lambda low, high, a, b: F.greatest(high - F.col(a), F.col(b) - low)
+    return tuple(f(lat1, lat2, "lat1", "lat2") * f(lat1, lat2, "lat1", "lat2")
+                 + f(lon1, lon2, "lon1", "lon2") * f(lon1, lon2, "lon1", "lon2") for f in (gap, far))
+
+
+#: A little room, so that rounding never loses the nearest.
+ROOM = 1 + 1e-9
 
 
 def _go_down(seen: DataFrame, refs: DataFrame, at, level: int) -> DataFrame:
-    """Replace the cells (i, j) of each point by those of the next level that may hold its nearest."""
+    """Replace the cells (i, j) of each box by those of the next level that may hold the nearest of its points."""
     cells = refs.groupBy(at("fi", level).alias("ci"), at("fj", level).alias("cj")).agg(
         F.min("rlat").alias("a1"), F.max("rlat").alias("a2"), F.min("rlon").alias("b1"), F.max("rlon").alias("b2"))
     below = cells.groupBy(F.shiftright("ci", FAN_BITS).alias("i"), F.shiftright("cj", FAN_BITS).alias("j")).agg(
         F.collect_list(F.struct("ci", "cj", "a1", "a2", "b1", "b2")).alias("cells"))   # 256 at most
 
     def bounds(c):
-        gap = lambda x, low, high: F.greatest(low - F.col(x), F.col(x) - high, F.lit(0.0))
-        far = lambda x, low, high: F.greatest(F.abs(F.col(x) - low), F.abs(F.col(x) - high))
-        return F.struct(c["ci"].alias("i"), c["cj"].alias("j"), *[
-            (f("lat", c["a1"], c["a2"]) * f("lat", c["a1"], c["a2"])
-             + f("lon", c["b1"], c["b2"]) * f("lon", c["b1"], c["b2"])).alias(name)
-            for f, name in ((gap, "least"), (far, "most"))])
-
-    # a little room, so that rounding never loses the nearest
-    within = lambda c, best: c["least"] <= best * (1 + 1e-9)
-    both = seen.join(below, ["i", "j"]).select("lat", "lon", F.transform("cells", bounds).alias("c")) \
+        least, most = _bounds(c["a1"], c["a2"], c["b1"], c["b2"])
+        return F.struct(c["ci"].alias("i"), c["cj"].alias("j"), least.alias("least"), most.alias("most"))
+
+    box = ["pi", "pj", "lat1", "lat2", "lon1", "lon2"]
+    both = seen.join(below, ["i", "j"]).select(*box, F.transform("cells", bounds).alias("c")) \
         .withColumn("best", F.array_min(F.transform("c", lambda c: c["most"])))
-    kept = both.select("lat", "lon", F.explode(F.filter("c", lambda c: within(c, F.col("best")))).alias("c"))
-    kept = kept.withColumn("best", F.min("c.most").over(Window.partitionBy("lat", "lon")))
-    return kept.where(within(F.col("c"), F.col("best"))).select("lat", "lon", "c.i", "c.j")
+    kept = both.select(*box, F.explode(F.filter("c", lambda c: c["least"] <= F.col("best") * ROOM)).alias("c"))
+    kept = kept.withColumn("best", F.min("c.most").over(Window.partitionBy("pi", "pj")))
+    return kept.where(F.col("c.least") <= F.col("best") * ROOM).select(*box, "c.i", "c.j")
+
+
+def _within_boxes(pairs: DataFrame) -> DataFrame:
+    """Of (box, reference) pairs those whose reference may be the nearest of a point of the box."""
+    least, most = _bounds(F.col("rlat"), F.col("rlat"), F.col("rlon"), F.col("rlon"))
+    pairs = pairs.withColumns({"least": least, "most": most}) \
+        .withColumn("best", F.min("most").over(Window.partitionBy("pi", "pj")))
+    return pairs.where(F.col("least") <= F.col("best") * ROOM).select("pi", "pj", "ref_id", "zone", "rlat", "rlon")
 
 
 def _named(near: DataFrame) -> DataFrame:
