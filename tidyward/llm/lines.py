@@ -25,6 +25,23 @@ def template_lines(text: Column) -> Column:
     return F.split(F.regexp_replace(F.regexp_replace(text, BLANKS, " "), VARIABLE, FIELD), "\n", -1)
 
 
+def tokens_of(line: str) -> Column:
+    return F.char_length(line) - F.char_length(F.replace(F.col(line), F.lit(" "), F.lit(""))) + 1
+
+
+def _line_keys(whole: DataFrame, id_col: str, text: Column, depth: int, min_tokens: int) -> DataFrame:
+    """id, row, text, at, leaf (null for few tokens) and key (of the line as it is; null for a blank one)."""
+    both = whole.select(F.col(id_col).alias("id"), F.col("__row").alias("row"), F.xxhash64(text).alias("text"),
+                        template_lines(text).alias("line"), F.split(text, "\n", -1).alias("raw"))
+    both = both.select("id", "row", "text", F.posexplode(F.arrays_zip("line", "raw")).alias("at", "both")).select(
+        "id", "row", "text", "at", F.trim("both.line").alias("line"),
+        F.regexp_replace("both.raw", r"^[ \t\r\f\x0B]+|[ \t\r\f\x0B]+$", "").alias("raw"))
+    tokens = tokens_of("line")
+    leaf = F.xxhash64(tokens, F.substring_index("line", " ", depth))
+    return both.select("id", "row", "text", "at", F.when(tokens >= min_tokens, leaf).alias("leaf"),
+                       F.when(F.col("raw") != "", F.xxhash64("raw")).alias("key"))
+
+
 def drop_templates(docs: DataFrame, min_texts: int = 10, depth: int = 3, min_tokens: int = 3,
                    min_fixed: float = 0.6, keep_first: bool = False, whole_lines: bool = False, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
@@ -44,12 +61,15 @@ def drop_templates(docs: DataFrame, min_texts: int = 10, depth: int = 3, min_tok
     lines = whole.select(
         F.col(id_col).alias("id"), F.col("__row").alias("row"), F.xxhash64(text).alias("text"),
         F.posexplode(template_lines(text)).alias("at", "line")).withColumn("line", F.trim("line"))
-    tokens = F.char_length("line") - F.char_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    lines = lines.withColumn("tokens", tokens).filter(F.col("tokens") >= min_tokens)
+    lines = lines.withColumn("tokens", tokens_of("line")).filter(F.col("tokens") >= min_tokens)
     head = F.substring_index("line", " ", depth)
     lines = lines.withColumn("leaf", F.xxhash64("tokens", head))
 
-    leaves = store(lines.select("leaf", "text").distinct().groupBy("leaf").agg(
+    # one pass over the texts gives the leaf and the key of each whole line; only these are stored
+    keys = _line_keys(whole, id_col, text, depth, min_tokens) if whole_lines else lines.select("leaf", "text")
+    if whole_lines:
+        keys = store(keys)
+    leaves = store(keys.filter("leaf IS NOT NULL").select("leaf", "text").distinct().groupBy("leaf").agg(
         F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_texts).select("leaf"))
     lines = store(lines.join(leaves, "leaf", "left_semi").select(
         "id", "row", "text", "at", "line", "tokens", F.xxhash64("line").alias("key")))
@@ -78,10 +98,7 @@ def drop_templates(docs: DataFrame, min_texts: int = 10, depth: int = 3, min_tok
         gone = gone.filter(~F.col("id").eqNullSafe(F.col("first")))
     gone = gone.select("row", "at")
     if whole_lines:
-        same = whole.select(F.col(id_col).alias("id"), F.col("__row").alias("row"), F.xxhash64(text).alias("text"),
-                            F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
-        line = F.regexp_replace("line", r"^[ \t\r\f\x0B]+|[ \t\r\f\x0B]+$", "")
-        same = store(same.filter(line != "").select("id", "row", "text", "at", F.xxhash64(line).alias("key")))
+        same = keys.filter("key IS NOT NULL").select("id", "row", "text", "at", "key")
         often = same.groupBy("key", "text").agg(F.min("id").alias("first")).groupBy("key").agg(
             F.min("first").alias("first"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= min_texts)
         found = same.join(often.select("key", "first"), "key")
