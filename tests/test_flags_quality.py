@@ -217,6 +217,24 @@ def test_exports(frame, spark):
     assert not set(RD.REVIEW_COLUMNS) & set(RD.read_corrected(spark, path + "/rows").columns)
 
 
+def test_published_runs_are_whole_or_absent(frame, spark):
+    path = tempfile.mkdtemp(prefix="tidyward-out-")
+    a, b = frame([(1, "x\ny")], "n int, s string"), frame([], "n int")
+    for fmt in ("parquet", "csv"):
+        WR.publish_export(spark, {"a": a, "b": b}, path, fmt, fmt)
+        WR.publish_export(spark, {"a": a.union(a)}, path, fmt, fmt)      # a retry changes nothing
+        back = RD.read_export(spark, path, fmt)
+        assert set(back) == {"a", "b"} and back["b"].count() == 0
+        assert [(str(r["n"]), r["s"]) for r in back["a"].collect()] == [("1", "x\ny")]
+    WR.write_export({"a": a}, path + "/runs/broken")      # ended before its manifest
+    with pytest.raises(FileNotFoundError):
+        RD.read_export(spark, path, "broken")
+    WR.publish_export(spark, {"a": b}, path, "broken")
+    assert RD.read_export(spark, path, "broken")["a"].count() == 0
+    with pytest.raises(ValueError):
+        WR.publish_export(spark, {"a/b": a}, path, "r")
+
+
 def test_search_is_literal(frame):
     df = frame([("a.b", 1), ("axb", 2)], "s string, n int")
     assert [r["n"] for r in RP.search(df, "A.B").collect()] == [1]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidyward import rules as R
@@ -9,10 +11,12 @@ from tidyward.operators import report as RP
 from tidyward.operators.audit import correction_log
 from tidyward.operators.clean import clean
 from tidyward.operators.flags import detect_flags
+from tidyward.plans.flow import recheck
 from tidyward.plans.inputs import COMPLAINTS, SPOTS
-from tidyward.plans.catalog.cleaning import _FLAGGED, flagged_rows
+from tidyward.plans.catalog.cleaning import _FLAGGED, _KNOWN_BAD, flagged_rows
 from tidyward.plans.catalog.quality import _LOGGED
-from tidyward.plans.catalog.registry import CLEANED, SPOT, blank, lit, num, query, with_ctes
+from tidyward.plans.catalog.registry import CLEANED, EXPECTED, SPOT, blank, lit, num, query, with_ctes
+from tidyward.session import shared_folder
 from tidyward.sources import readers as RD
 from tidyward.sources import writers as WR
 
@@ -215,3 +219,36 @@ def _(t):
     sent = t.sql(COMPLAINTS).withColumns({c: F.lit("") for c in RD.REVIEW_COLUMNS})
     return clean(sent.drop(*RD.REVIEW_COLUMNS)).select(
         "ticket", "category", "responsibility", "street", "house")
+
+
+def _published(t, tables):
+    """Published and read back."""
+    path = f"{shared_folder(t.spark)}/export-{uuid.uuid4().hex}"
+    WR.publish_export(t.spark, tables, path, "run1")
+    return RD.read_export(t.spark, path, "run1")
+
+
+@query("published_review", EXPECTED["review_export"])
+def _(t):
+    flagged = _checked(t)
+    rows = _published(t, WR.review_export(flagged, correction_log(flagged)))["rows"]
+    return rows.select(
+        "problem", "needs_fix", "warning_only", "confidence_level", "decision_details", "ticket", "street")
+
+
+@query("published_final", EXPECTED["final_export"])
+def _(t):
+    rows = t.sql(SPOTS).withColumn("_internal", F.lit(1)).withColumn(
+        "ticket", F.when(F.col("ticket").cast("bigint") % 101 == 0, " nan").otherwise(F.col("ticket")))
+    data = _published(t, WR.final_export(rows, date_min="1996-01-01", date_max="2000-12-31"))["data"]
+    return data.select("ticket", "street", "lat", "lon", "review_flags")
+
+
+@query("corrected_recheck", EXPECTED["auto_fix"])
+def _(t):
+    """The review columns are written and come back with the file."""
+    sent = t.sql(COMPLAINTS).withColumns({c: F.lit("seen") for c in RD.REVIEW_COLUMNS})
+    path = f"{shared_folder(t.spark)}/corrected-{uuid.uuid4().hex}"
+    sent.write.parquet(path)
+    checked = recheck(RD.read_corrected(t.spark, path), t.sql(_KNOWN_BAD))
+    return checked.select("ticket", "street", "house", "loc_type")

@@ -10,7 +10,7 @@ from tidyward.operators.flags import detect_flags
 from tidyward.operators.geocode import Sources, geocode
 from tidyward.operators.resolve import auto_fix, resolve_from_context
 from tidyward.operators.zones import enrich
-from tidyward.sources.readers import known_unresolvable
+from tidyward.sources.readers import REVIEW_COLUMNS, known_unresolvable
 
 
 def prepare(raw: DataFrame, corrections: DataFrame | None = None,
@@ -21,6 +21,14 @@ def prepare(raw: DataFrame, corrections: DataFrame | None = None,
     return resolve_from_context(fixed, rules)
 
 
+def recheck(corrected: DataFrame, known_unresolvable: DataFrame | None = None, date_min: str | None = None,
+            date_max: str | None = None, rules: R.Rules = R.MUNICIPAL) -> DataFrame:
+    """A review file that came back: without its review columns, cleaned, repaired and
+    flagged again with the flags of stage ``clean``."""
+    fixed = auto_fix(clean(corrected.drop(*REVIEW_COLUMNS), rules), known_unresolvable)
+    return detect_flags(fixed, date_min, date_max, stage="clean")
+
+
 def locate(df: DataFrame, sources: Sources, references: DataFrame | None,
            run_id: str | None = None) -> DataFrame:
     """Geocode and assign zones."""

@@ -164,3 +164,34 @@ def audit_runs(log: DataFrame) -> DataFrame:
     return (log.groupBy("run_id")
             .agg(F.count(F.lit(1)).alias("entries"), F.max("timestamp").alias("last_entry"))
             .orderBy(F.desc("last_entry"), "run_id"))
+
+
+# -- published exports --------------------------------------------------------
+
+
+def load_table(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    """A table of an export as its writer left it; a csv has text columns and texts of several lines."""
+    reader = spark.read.format(fmt)
+    if fmt == "csv":
+        reader = reader.options(header=True, multiLine=True, escape='"')
+    return reader.load(path)
+
+
+def export_manifest(spark: SparkSession, path: str, run: str) -> list[tuple[str, str, int]] | None:
+    """(name, format, rows) of each table of a published run; None if it isn't published."""
+    try:
+        found = spark.read.schema("name string, format string, rows bigint").json(
+            f"{path.rstrip('/')}/manifests/{run}").where("name IS NOT NULL").collect()      # a row per table
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return [tuple(r) for r in found] or None
+
+
+def read_export(spark: SparkSession, path: str, run: str) -> dict[str, DataFrame]:
+    """The tables of a published run; a run that isn't published raises."""
+    tables = export_manifest(spark, path, run)
+    if tables is None:
+        raise FileNotFoundError(f"run {run!r} is not published under {path}")
+    return {name: load_table(spark, f"{path.rstrip('/')}/runs/{run}/{name}", fmt) for name, fmt, _ in tables}

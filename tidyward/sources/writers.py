@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidyward import rules as R
 from tidyward.functions import text as T
 from tidyward.operators.flags import detect_flags
 from tidyward.operators.repair import coerce_coordinates
 from tidyward.schema import AUDIT
-from tidyward.session import cut
-from tidyward.sources.readers import audit_commits
+from tidyward.session import cut, rule_table
+from tidyward.sources.readers import audit_commits, export_manifest, load_table
 
 
 def append_audit(entries: DataFrame, path: str, batch: str | None = None) -> str:
@@ -146,3 +146,23 @@ def write_export(tables: dict[str, DataFrame], path: str, fmt: str = "parquet")
         if fmt == "csv":
             writer = writer.option("header", True)
         writer.save(f"{path.rstrip('/')}/{name}")
+
+
+def publish_export(spark: SparkSession, tables: dict[str, DataFrame], path: str, run: str, fmt: str = "parquet") -> None:
+    """All tables of an export as one run: :func:`readers.read_export` sees all of them or none.
+
+    The tables are written first, and a manifest of one file then names them with their rows. A run
+    that broke off before that is written anew; a published run stays as it is, so a retry changes nothing.
+    A run must not be published by two jobs at once. Names have letters, digits, - and _ only.
+    """
+    for name in [run, *tables]:
+        if not re.fullmatch(r"[A-Za-z0-9_-]+", name):
+            raise ValueError(f"name {name!r} may have letters, digits, - and _ only")
+    if not tables:
+        raise ValueError("an export needs a table")
+    root = path.rstrip("/")
+    if export_manifest(spark, root, run) is not None:
+        return
+    write_export(tables, f"{root}/runs/{run}", fmt)
+    rows = [(name, fmt, load_table(spark, f"{root}/runs/{run}/{name}", fmt).count()) for name in tables]
+    rule_table(spark, ["name", "format", "rows"], rows).coalesce(1).write.mode("overwrite").json(f"{root}/manifests/{run}")
