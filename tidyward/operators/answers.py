@@ -43,6 +43,15 @@ def _grams(text, widths: list[int]):
         F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{w}}}))"), 1) for w in widths])))
 
 
+#: Tables of the index are broadcast up to this many bytes as text: the driver holds each in several copies.
+INDEX_BYTES = 4 << 20
+
+
+def _shuffled(table: DataFrame) -> DataFrame:
+    """A join side that is never broadcast, whatever the planner takes its size to be."""
+    return table.hint("merge")
+
+
 def term_hits(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """One row per distinct (category, description) of ``rows`` that contains a term of its category:
     category, description and the answer of the smallest ``seq`` among those terms (equal ones: the
@@ -65,18 +74,24 @@ def term_hits(rows: DataFrame, terms: DataFrame) -> DataFrame:
         _grams(F.col("term"), widths), lambda g: F.char_length(g) == F.col("width"))).alias("gram"))
     known = cut(filed.select("category", "gram").distinct())
     # the categories are part of it, so they fit if it does
-    beside = F.broadcast if fits(known) else (lambda table: table)
+    small = fits(known, INDEX_BYTES)
+    beside = F.broadcast if small else _shuffled
     texts = cut(rows.where(F.col("description") != "").select("category", "description")
                 .join(beside(known.select("category").distinct()), "category", "left_semi").distinct()
+                # a text gives dozens of grams: few partitions would be long tasks
+                .repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
                 .withColumn("text", F.monotonically_increasing_id()))
     postings = texts.select("category", "text", F.explode(_grams(F.col("description"), widths)).alias("gram"))
-    often = postings.join(beside(known), ["category", "gram"], "left_semi").groupBy("category", "gram").agg(
-        F.count(F.lit(1)).alias("n"))
-    index = pinned(filed.join(often, ["category", "gram"], "left").groupBy("category", "term", "seq", "answer").agg(
+    # many grams are counted before they meet the terms', combined before the shuffle
+    asked = postings.join(F.broadcast(known), ["category", "gram"], "left_semi") if small else postings
+    often = asked.groupBy("category", "gram").agg(F.count(F.lit(1)).alias("n"))
+    index = cut(filed.join(_shuffled(often), ["category", "gram"], "left")
+                .groupBy("category", "term", "seq", "answer").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest"))
         .where("rarest.n > 0").select("category", "term", "seq", "answer", "rarest.gram"))
+    index = F.broadcast(index) if fits(index, INDEX_BYTES) else _shuffled(index)
     return (postings.join(index, ["category", "gram"]).select("text", "term", "seq", "answer")
-            .join(texts, "text").where(F.contains("description", "term"))
+            .join(_shuffled(texts), "text").where(F.contains("description", "term"))
             .groupBy("text", "category", "description").agg(F.min(F.struct("seq", "term", "answer")).alias("v"))
             .select("category", "description", "v.answer"))
 
