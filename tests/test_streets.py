@@ -158,3 +158,23 @@ def test_letters_beyond_the_first_plane_and_short_names(frame):
             frame([(c,) for c in corpus] + [(None,), ("",)], "name string"), cutoff).collect()}
         assert got == _best(names, corpus, cutoff)
     assert ST.close_matches(frame([], "name string"), frame([], "name string"), 0.7).count() == 0
+
+
+def test_closest_names_are_settled_first(spark, frame, monkeypatch):
+    """Names with a very close entry don't meet the candidates of the lower cutoffs; the answers stay the same."""
+    rng = random.Random(5)
+    corpus = sorted({"".join(rng.choice("abcdefgh ") for _ in range(24)) for _ in range(60)})
+    asked = sorted({n[:5] + n[6:] for n in corpus[:40]} | {n[:4] + "xyz" + n[9:] for n in corpus[30:]} | {"q" * 20, corpus[0]})
+    want = {n: m[0] for n in asked if (m := difflib.get_close_matches(n, corpus, n=1, cutoff=0.78))}
+    real, seen = ST.close_candidates, []
+
+    def counted(names, *rest, **more):
+        seen.append(names.count())
+        return real(names, *rest, **more)
+
+    monkeypatch.setattr(ST, "MANY_PAIRS", 1, raising=False)
+    monkeypatch.setattr(ST, "close_candidates", counted)
+    names = lambda values: frame([(v,) for v in [*values, None, ""]], "name string")      # noqa: E731
+    got = {r["name"]: r["match"] for r in ST.close_matches(names(asked), names(corpus), 0.78).collect()}
+    assert got == want and len(want) > 60
+    assert seen[0] == len(asked) and seen[-1] < len(asked) / 2

@@ -6,6 +6,7 @@ Everything here runs on distinct names, never on the rows that carry them.
 from __future__ import annotations
 
 import difflib
+import functools
 import math
 import unicodedata
 
@@ -106,13 +107,15 @@ class CloseNames:
         return shared >= total * F.lit(self.per_letter) - F.lit(1 + 1e-9)
 
 
-def close_candidates(names: DataFrame, corpus: DataFrame, cutoff: float, share: int = 256) -> DataFrame:
+def close_candidates(names: DataFrame, corpus: DataFrame, cutoff: float, share: int = 256,
+                     spread: bool = False) -> DataFrame:
     """Pairs (a, b) of a name and a corpus entry that may reach ``cutoff``, each once.
 
     Tokens are ordered by their measured frequency in the corpus, rarest first, and
     names meet their partners on (token, band of lengths, salt). Keys that hold more than one in ``share``
     of the corpus's rows are salted. Of each shared token, its place in both names bounds what
-    can be shared after it; lengths, shared letters and shared pairs bound the ratio.
+    can be shared after it; lengths, shared letters and shared pairs bound the ratio. With ``spread``
+    the keys stay in as many partitions as a shuffle has: the rows are few bytes, but meet many.
     """
     rule = CloseNames(cutoff)
 
@@ -155,6 +158,9 @@ def close_candidates(names: DataFrame, corpus: DataFrame, cutoff: float, share:
     positional = F.lit(False)
     for k in "gc":
         positional = positional | (of_kind[k] & rule.enough(1 + F.least("a_behind", "b_behind"), la + lb, k))
+    if spread:
+        parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        left, right = (side.repartition(parts, "token", "band", "salt") for side in (left, right))
     out = (left.join(right, ["token", "band", "salt"])
            .where(F.least(la, lb) * 2.0 / (la + lb) >= cutoff).where(positional)
            .where(F.get(F.array_intersect("a_p", "b_p"), F.lit(0)) == F.col("token")))
@@ -163,15 +169,38 @@ def close_candidates(names: DataFrame, corpus: DataFrame, cutoff: float, share:
     return out.select("a", "b")
 
 
+#: Products of names and entries from which the closest are looked for first.
+MANY_PAIRS = 1 << 22
+
+
 def close_matches(names: DataFrame, corpus: DataFrame, cutoff: float) -> DataFrame:
     """Best corpus entry per name by sequence ratio, at least ``cutoff``.
 
     ``names`` and ``corpus`` hold one ``name`` column. Only candidates of
     ``close_candidates`` are compared, as no other pair reaches the cutoff. Ties go to the
     larger entry; empty and null names match nothing.
+
+    With ``MANY_PAIRS`` or more, cutoffs come down to ``cutoff`` in three rounds. A name whose
+    best entry reaches a round's cutoff is settled by it, as all entries that do are compared then; only
+    the others go on to the next round, which has many more candidates.
     """
+    names = cut(names.select("name").where(F.col("name") != "").distinct())
+    corpus = cut(corpus.select("name").where(F.col("name") != "").distinct())
+    if names.count() * corpus.count() < MANY_PAIRS:
+        return _best_within(close_candidates(names, corpus, cutoff), cutoff)
+    found = []
+    for share in (2 / 3, 1 / 3):
+        least = cutoff + (1 - cutoff) * share
+        found.append(cut(_best_within(close_candidates(names, corpus, least, spread=True), least)))
+        names = cut(names.join(found[-1], "name", "left_anti"))
+    last = _best_within(close_candidates(names, corpus, cutoff, spread=True), cutoff)
+    return functools.reduce(DataFrame.unionByName, [*found, last])
+
+
+def _best_within(pairs: DataFrame, cutoff: float) -> DataFrame:
+    """The best entry (b) of each name (a) of ``pairs``, at least ``cutoff``."""
     return (
-        close_candidates(names, corpus, cutoff)
+        pairs
         .withColumn("ratio", sequence_ratio("b", "a")).where(F.col("ratio") >= cutoff)
         .groupBy(F.col("a").alias("name"))
         .agg(F.max(F.struct("ratio", F.col("b").alias("match"))).alias("best"))
