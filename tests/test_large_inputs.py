@@ -1,7 +1,11 @@
 """Steps that must not broadcast, repeat or carry more than they need."""
 
+import datetime
+
 from tidyward.operators import answers as A
+from tidyward.plans.catalog import QUERIES
 from tidyward.session import cut
+from tidyward.sources import writers as WR
 
 
 def plan(df):
@@ -25,4 +29,22 @@ def test_terms_beyond_the_limit_are_not_broadcast(spark, frame, monkeypatch):
     hits = A.term_hits(rows, terms)
     plans.append(plan(hits))
     assert not [p for p in plans if "Broadcast" in p]
-    assert sorted(map(tuple, hits.collect())) == [("a", "lamp", "x"), ("a", "red lamp broken", "y")]
\ No newline at end of file
+    assert sorted(map(tuple, hits.collect())) == [("a", "lamp", "x"), ("a", "red lamp broken", "y")]
+
+
+def test_an_export_makes_its_rows_once(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, i % 3, "O", 1.0, datetime.datetime(2024, 1, 1 + i % 20), "1-URGENT") for i in range(60)],
+                          "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+                          "o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i, f"street {i}", "Brand#1", "LARGE", 3 + i, 1.0) for i in range(3)],
+                          "p_partkey long, p_name string, p_brand string, p_type string, p_size int, "
+                          "p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    real, plans = WR.write_export, {}
+
+    def seen(tables, *rest):
+        plans.update({name: plan(table) for name, table in tables.items()})
+        return real(tables, *rest)
+
+    monkeypatch.setattr(WR, "write_export", seen)
+    assert QUERIES["published_review"](spark, str(tmp_path)).count() == 60
+    assert len(plans) == 5 and not [name for name, p in plans.items() if "Window" in p or "orders" in p]

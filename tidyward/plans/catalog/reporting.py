@@ -16,7 +16,7 @@ from tidyward.plans.inputs import COMPLAINTS, SPOTS
 from tidyward.plans.catalog.cleaning import _FLAGGED, _KNOWN_BAD, flagged_rows
 from tidyward.plans.catalog.quality import _LOGGED
 from tidyward.plans.catalog.registry import CLEANED, EXPECTED, SPOT, blank, lit, num, query, with_ctes
-from tidyward.session import shared_folder
+from tidyward.session import shared_folder, stored
 from tidyward.sources import readers as RD
 from tidyward.sources import writers as WR
 
@@ -230,7 +230,8 @@ def _published(t, tables):
 
 @query("published_review", EXPECTED["review_export"])
 def _(t):
-    flagged = _checked(t)
+    # five tables are made from it
+    flagged = stored(_checked(t))
     rows = _published(t, WR.review_export(flagged, correction_log(flagged)))["rows"]
     return rows.select(
         "problem", "needs_fix", "warning_only", "confidence_level", "decision_details", "ticket", "street")

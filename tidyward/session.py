@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -54,6 +55,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder as a table of columns and read it back.
+
+    Ends the lineage as :func:`cut` does, but takes less room, and each reader reads only its columns. For
+    tables that are read several times, by a part of their columns.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_local(master: str) -> bool:
     """One machine does all the work; ``local-cluster`` has executors of its own."""
     return master == "local" or master.startswith("local[")
