@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidyward.operators import streets as ST
+from tidyward.session import cut
 from tidyward.sources.readers import parse_corrections
 
 LETTERS = "אבגדהו "
@@ -160,6 +161,25 @@ def test_letters_beyond_the_first_plane_and_short_names(frame):
     assert ST.close_matches(frame([], "name string"), frame([], "name string"), 0.7).count() == 0
 
 
+def test_variants_clean_each_spelling_once(spark, monkeypatch):
+    """Rows are counted before their spellings are cleaned and composed: no plan does both."""
+    rows = spark.range(4000).selectExpr(
+        "concat('רחוב הרצוג', if(id % 2 = 0, ' ב\"ה', ' בה'), ' ', id % 40) AS street", "'א' || id AS raw_address")
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(ST, "cut", seen)
+    registry = spark.createDataFrame([("הרצוג בה", 7, 1)], "name string, code int, seq int")
+    found = ST.street_variants(rows, registry, min_total=1)
+    seen(found)
+    assert not [p for p in plans if "Range (" in p and "ArrowEvalPython" in p]
+    assert any("ArrowEvalPython" in p for p in plans)
+    assert [(r["total"], r["spellings"]) for r in found.collect()] == [(4000, 2)]
+
+
 def test_closest_names_are_settled_first(spark, frame, monkeypatch):
     """Names with a very close entry don't meet the candidates of the lower cutoffs; the answers stay the same."""
     rng = random.Random(5)

@@ -441,12 +441,13 @@ def street_variants(df: DataFrame, registry: DataFrame | None = None, min_total:
     """
     raw = (df.where(~T.is_blank("street")).groupBy("street")
            .agg(F.count(F.lit(1)).alias("__n")))
-    cleaned = (raw.withColumn("spelling", T.bare_street("street", letters))
-               .where(F.col("spelling") != ""))
-    spellings = cleaned.groupBy("spelling").agg(F.sum("__n").alias("__n"))
+    # set by a generator and stored: filters and joins on these names would otherwise be pushed below the
+    # counting, and every row would be cleaned and composed
+    cleaned = T.once(raw, {"spelling": T.bare_street("street", letters)}).where(F.col("spelling") != "")
+    spellings = cut(cleaned.groupBy("spelling").agg(F.sum("__n").alias("__n")))
     key = nfc("spelling")
-    spellings = spellings.withColumn("normalized", F.translate(key, "\"'״׳", "")
-                                     if fold_quotes else key)
+    spellings = cut(spellings.withColumn("normalized", F.translate(key, "\"'״׳", "")
+                                         if fold_quotes else key))
     ranked = Window.partitionBy("normalized").orderBy(F.desc("__n"), "spelling")
     totals = spellings.groupBy("normalized").agg(
         F.sum("__n").alias("total"), F.count(F.lit(1)).alias("spellings")) \
