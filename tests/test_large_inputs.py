@@ -3,6 +3,7 @@
 import datetime
 
 from tidyward.operators import answers as A
+from tidyward.operators.clean import clean
 from tidyward.plans.catalog import QUERIES
 from tidyward.session import cut
 from tidyward.sources import writers as WR
@@ -32,6 +33,29 @@ def test_terms_beyond_the_limit_are_not_broadcast(spark, frame, monkeypatch):
     assert sorted(map(tuple, hits.collect())) == [("a", "lamp", "x"), ("a", "red lamp broken", "y")]
 
 
+def test_overrides_that_change_nothing_are_left_out_early(frame):
+    names = ["ticket", "category", "responsibility", "street", "house", "category_source", "resp_source", "confidence"]
+    rows = frame([("1", *"abcdefg"), ("2", *"abcdefg"), (None, *"abcdefg")], ", ".join(f"{n} string" for n in names))
+    given = frame([(1, " 1 ", "street", "s1"), (2, "1", "street", ""), (3, "1", "other", "o"), (4, " ", "house", "h"),
+                   (5, None, "house", "h"), (6, "2", "review", None), (7, "2", "house", None), (0, "1", "street", "s0")],
+                  "seq int, ticket string, field string, value string")
+    found = A.apply_overrides(rows, given)
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    # the condition on the fields stands below the grouping of tickets
+    assert "field" in text[text.rindex("Filter "):].split("\n")[0] or "review" in text.split("Aggregate", 1)[1].split("Filter", 1)[1]
+    got = {r["ticket"]: (r["street"], r["house"], r["resp_source"], r["confidence"]) for r in found.collect()}
+    assert got == {"1": ("s1", "d", "f", "g"), "2": ("c", "d", "manual_review", "low"), None: ("c", "d", "f", "g")}
+
+
+def test_readers_of_cleaned_rows_read_their_columns(frame):
+    raw = frame([("1", datetime.datetime(2024, 1, 2), "t", "s", "d", "open", "x", "Main 1")],
+                "ticket string, opened_at timestamp, topic string, subtopic string, description string, status string, "
+                "department string, raw_address string")
+    done = clean(raw)
+    assert "confidence_details" not in plan(done.select("ticket"))
+    assert done.count() == 1
+
+
 def test_an_export_makes_its_rows_once(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(i, i % 3, "O", 1.0, datetime.datetime(2024, 1, 1 + i % 20), "1-URGENT") for i in range(60)],
                           "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "

@@ -209,10 +209,14 @@ def apply_overrides(df: DataFrame, overrides: DataFrame) -> DataFrame:
     The last value per ticket and field wins. The field ``review`` marks the
     ticket for review instead.
     """
-    last = overrides.where(T.text("ticket") != "").groupBy(T.strip("ticket").alias("ticket")).agg(*[
+    value = F.coalesce("value", F.lit(""))
+    # only what can change a row is stripped and sorted into tickets
+    given = T.once(
+        overrides.where(((F.col("field").isin(OVERRIDABLE)) & (value != "")) | (F.col("field") == "review"))
+        .select("seq", "ticket", "field", "value"), {"ticket": T.text("ticket")}).where(F.col("ticket") != "")
+    last = given.groupBy("ticket").agg(*[
         F.max_by(F.when(F.col("field") == f, F.col("value")),
-                 F.when((F.col("field") == f) & (F.coalesce("value", F.lit("")) != ""),
-                        F.col("seq"))).alias(f"__{f}")
+                 F.when((F.col("field") == f) & (value != ""), F.col("seq"))).alias(f"__{f}")
         for f in OVERRIDABLE
     ], F.bool_or(F.col("field") == "review").alias("__review"))
     df = df.join(last, "ticket", "left")

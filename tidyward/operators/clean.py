@@ -9,7 +9,7 @@ from tidyward.functions import text as T
 from tidyward.functions.address import address_route, parse_address
 from tidyward.operators.ordered import recurrence
 from tidyward.schema import CLEAN_COLUMNS, ensure_columns
-from tidyward.session import cut, rule_table
+from tidyward.session import rule_table, stored
 
 TIER_NAMES = {2: "high", 1: "medium", 0: "low"}
 
@@ -166,7 +166,9 @@ def clean(raw: DataFrame, rules: R.Rules = R.MUNICIPAL, hot_rows: int | None = N
         "confidence": confidence_of(),
         "confidence_details": confidence_details(T.decode_entities("topic")),
     })
-    return recurrence(cut(df), hot_rows=hot_rows).select(*CLEAN_COLUMNS)
+    # by column, as the counting of repeats and most readers need only a few of them
+    df = stored(df.select(*[c for c in CLEAN_COLUMNS if c not in ("recurrence_no", "is_recurring")]))
+    return recurrence(df, hot_rows=hot_rows).select(*CLEAN_COLUMNS)
 
 
 def cleaning_stats(df: DataFrame) -> DataFrame:
