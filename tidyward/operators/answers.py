@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidyward import rules as R
+from tidyward import rules as R, session
 from tidyward.functions import text as T
 from tidyward.operators.clean import confidence_of, keyword_label, with_responsibility
-from tidyward.session import BROADCAST_BYTES, cut, fits, join_known, pinned
+from tidyward.session import BROADCAST_BYTES, cut, join_known, pinned
 
 SKIPPED = ["__skip__", "", "nan"]
 OPEN = "unresolved"
@@ -47,6 +47,10 @@ def _grams(text, widths: list[int]):
 INDEX_BYTES = 4 << 20
 
 
+def fits(table: DataFrame) -> bool:
+    return session.fits(table, INDEX_BYTES)
+
+
 def _shuffled(table: DataFrame) -> DataFrame:
     """A join side that is never broadcast, whatever the planner takes its size to be."""
     return table.hint("merge")
@@ -74,7 +78,7 @@ def term_hits(rows: DataFrame, terms: DataFrame) -> DataFrame:
         _grams(F.col("term"), widths), lambda g: F.char_length(g) == F.col("width"))).alias("gram"))
     known = cut(filed.select("category", "gram").distinct())
     # the categories are part of it, so they fit if it does
-    small = fits(known, INDEX_BYTES)
+    small = fits(known)
     beside = F.broadcast if small else _shuffled
     texts = cut(rows.where(F.col("description") != "").select("category", "description")
                 .join(beside(known.select("category").distinct()), "category", "left_semi").distinct()
@@ -89,7 +93,7 @@ def term_hits(rows: DataFrame, terms: DataFrame) -> DataFrame:
                 .groupBy("category", "term", "seq", "answer").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest"))
         .where("rarest.n > 0").select("category", "term", "seq", "answer", "rarest.gram"))
-    index = F.broadcast(index) if fits(index, INDEX_BYTES) else _shuffled(index)
+    index = F.broadcast(index) if fits(index) else _shuffled(index)
     return (postings.join(index, ["category", "gram"]).select("text", "term", "seq", "answer")
             .join(_shuffled(texts), "text").where(F.contains("description", "term"))
             .groupBy("text", "category", "description").agg(F.min(F.struct("seq", "term", "answer")).alias("v"))
