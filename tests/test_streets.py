@@ -198,3 +198,36 @@ def test_closest_names_are_settled_first(spark, frame, monkeypatch):
     got = {r["name"]: r["match"] for r in ST.close_matches(names(asked), names(corpus), 0.78).collect()}
     assert got == want and len(want) > 60
     assert seen[0] == len(asked) and seen[-1] < len(asked) / 2
+
+
+@pytest.mark.parametrize("spread", [False, True])
+def test_pairs_are_judged_where_they_meet(spark, frame, monkeypatch, spread):
+    """No join makes rows of pairs with their tokens; bits that stand for several tokens and small steps lose nothing."""
+    monkeypatch.setattr(ST, "TOKEN_BITS", 64, raising=False)
+    monkeypatch.setattr(ST, "CHUNK", 3, raising=False)
+    rng = random.Random(9)
+    word = lambda a, b: "".join(rng.choice("abcd e\U0001F600") for _ in range(rng.randint(a, b)))      # noqa: E731
+    corpus = sorted({word(1, 4) for _ in range(30)} | {word(12, 30) for _ in range(60)} | {"a" * 70} - {""})
+    asked = sorted({c[:i] + "x" + c[i + 1:] for c in corpus for i in [rng.randrange(len(c))]} | {"a" * 69, "zz"})
+    for cutoff in (0.6, 0.9):
+        pairs = ST.close_candidates(frame([(n,) for n in asked], "name string"), frame([(c,) for c in corpus], "name string"),
+                                    cutoff, spread=spread)
+        assert "array_intersect" not in pairs._jdf.queryExecution().executedPlan().toString()
+        found = [(r.a, r.b) for r in pairs.collect()]
+        assert len(found) == len(set(found))
+        assert set(found) >= {(n, c) for n in asked for c in corpus if difflib.SequenceMatcher(None, c, n).ratio() >= cutoff}
+
+
+def test_rounds_end_when_all_names_are_settled(frame, monkeypatch):
+    corpus = [f"street of the {w} lamps in the north" for w in ("old", "new", "red", "blue", "seven")]
+    real, seen = ST.close_candidates, []
+
+    def counted(names, *rest, **more):
+        seen.append(names.count())
+        return real(names, *rest, **more)
+
+    monkeypatch.setattr(ST, "MANY_PAIRS", 1)
+    monkeypatch.setattr(ST, "close_candidates", counted)
+    rows = lambda values: frame([(v,) for v in values], "name string")      # noqa: E731
+    got = {r["name"]: r["match"] for r in ST.close_matches(rows([c + "s" for c in corpus]), rows(corpus), 0.8).collect()}
+    assert got == {c + "s": c for c in corpus} and seen == [5]

@@ -13,7 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from tidyward import rules as R
 from tidyward.functions import text as T
@@ -50,20 +50,38 @@ def nfc(name: str) -> Column:
     return compose(name)
 
 
-def _name_tokens(names: DataFrame) -> DataFrame:
+def numbered_tokens(name: str) -> Column:
+    """A name's letters (c) and pairs of neighbouring letters (g), each with its number among equal ones."""
+
+    @pandas_udf(ArrayType(StringType()))
+    def tokens(names: pd.Series) -> pd.Series:
+        out = []
+        for v in names:
+            seen, row = {}, []
+            for part in ["c" + c for c in v] + ["g" + v[i:i + 2] for i in range(len(v) - 1)]:
+                seen[part] = seen.get(part, 0) + 1
+                row.append(f"{part}{seen[part]}")
+            out.append(row)
+        return pd.Series(out, dtype=object)
+
+    return tokens(name)
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _name_tokens(names: DataFrame, spread: bool = False) -> DataFrame:
     """Each distinct ``name`` with its numbered letters (kind c) and pairs of neighbouring letters
     (kind g): rows name, token.
 
-    Two names share as many tokens of a kind as they share letters or pairs, counting repeats.
+    Two names share as many tokens of a kind as they share letters or pairs, counting repeats. With ``spread``
+    names stay in as many partitions as a shuffle has: they are few bytes, but give dozens of rows.
     """
-    name, n = F.col("name"), F.length("name")
-    cut_at = lambda kind, size: F.transform(        # noqa: E731
-        F.sequence(F.lit(1), n - size + 1), lambda i: F.concat(F.lit(kind), F.substring(name, i, F.lit(size))))
-    parts = names.select("name").where(name != "").distinct().select("name", F.explode(F.concat(
-        cut_at("c", 1), F.when(n > 1, cut_at("g", 2)).otherwise(F.array().cast("array<string>")))).alias("part"))
-    return parts.groupBy("name", "part").agg(F.count(F.lit(1)).alias("n")).select(
-        "name", F.explode(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.concat(
-            "part", i.cast("string")))).alias("token"))
+    if spread:
+        names = names.repartition(_partitions(names), "name")
+    return names.select("name").where(F.col("name") != "").distinct().select(
+        "name", F.explode(numbered_tokens("name")).alias("token"))
 
 
 class CloseNames:
@@ -107,66 +125,157 @@ class CloseNames:
         return shared >= total * F.lit(self.per_letter) - F.lit(1 + 1e-9)
 
 
+#: Bits of a name's set of tokens of one kind, and pairs that are looked at together.
+TOKEN_BITS, CHUNK = 512, 1 << 19
+
+
+def met_pairs(cutoff: float):
+    """The pairs (a, b) of two Arrow tables' names that share a key and may reach ``cutoff``, each once.
+
+    The tables hold key, name, behind (tokens after the key's in the name's order) and paired (whether the
+    key's token is a pair of letters). Names are compared as sets of bits, one for each numbered letter or pair: a bit
+    that the other name lacks is a token that isn't shared. Bits that stand for several tokens only loosen this.
+    """
+    per_letter, bits, chunk = CloseNames(cutoff).per_letter, TOKEN_BITS, CHUNK
+
+    # defined in here so that workers receive the code itself, not an import
+    def compare(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        def sets(values, owner, n):
+            order = np.lexsort((values, owner))
+            values, owner, each = values[order], owner[order], np.arange(len(order))
+            new = np.ones(len(order), bool)
+            new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+            number = each - np.maximum.accumulate(np.where(new, each, 0))
+            kinds = np.unique(values, return_inverse=True)[1] * (number.max(initial=0) + 1) + number
+            bit = np.unique(kinds, return_inverse=True)[1] % bits
+            out = np.zeros(n * (bits // 64), np.uint64)
+            np.bitwise_or.at(out, owner * (bits // 64) + bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
+            return out.reshape(n, -1)
+
+        def shared(of, size, a, b):
+            x, y = of[a], of[b]
+            both = x & y
+            return np.minimum(size[a] - np.bitwise_count(x ^ both).sum(1, dtype=np.int32),
+                              size[b] - np.bitwise_count(y ^ both).sum(1, dtype=np.int32))
+
+        column = lambda t, name: t[name].to_numpy()                 # noqa: E731
+        coded = pa.chunked_array([*left["name"].chunks, *right["name"].chunks], left["name"].type) \
+            .combine_chunks().dictionary_encode()
+        names, ids = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        n = len(names)
+        size = np.fromiter(map(len, names), np.int64, n)
+        points = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32).astype(np.int64)
+        owner = np.repeat(np.arange(n), size)
+        beside = owner[1:] == owner[:-1]
+        letters = sets(points, owner, n)
+        pairs = sets((points[:-1] << 21 | points[1:])[beside], owner[1:][beside], n)
+
+        a, b = ids[:left.num_rows], ids[left.num_rows:]
+        rank = np.unique(np.concatenate([column(left, "key"), column(right, "key")]), return_inverse=True)[1]
+        rank_a, rank_b, wide = rank[:len(a)], rank[len(a):], size.max(initial=0) + 1
+        order = np.argsort(rank_b * wide + size[b], kind="stable")
+        b, behind_b, places = b[order], column(right, "behind")[order], (rank_b * wide + size[b])[order]
+        behind_a, paired = column(left, "behind"), column(left, "paired").astype(bool)
+        stretch = (2 - cutoff) / cutoff
+        within = lambda length: rank_a * wide + np.clip(length, 0, wide - 1).astype(np.int64)
+        first = np.searchsorted(places, within(np.floor(size[a] / stretch)))
+        many = np.searchsorted(places, within(np.ceil(size[a] * stretch)), "right") - first
+        ends, found, at = np.cumsum(many), [np.zeros(0, np.int64)], 0
+        while at < len(a):
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + chunk, "right")))
+            i = np.repeat(np.arange(at, to), many[at:to])
+            j = np.arange(len(i)) + np.repeat((first - ends + many)[at:to] + done, many[at:to])
+            total = size[a[i]] + size[b[j]]
+            # at the first shared token, only it and what stands behind it can be shared
+            after = 1 + np.minimum(behind_a[i], behind_b[j])
+            may = (np.minimum(size[a[i]], size[b[j]]) * 2.0 / total >= cutoff) & np.where(
+                paired[i], after >= total * per_letter - (1 + 1e-9), after * 2.0 / total >= cutoff)
+            x, y, total = a[i[may]], b[j[may]], total[may]
+            may = shared(letters, size, x, y) * 2.0 / total >= cutoff
+            x, y, total = x[may], y[may], total[may]
+            may = shared(pairs, np.maximum(size - 1, 0), x, y) >= total * per_letter - (1 + 1e-9)
+            found.append(np.unique(x[may] * n + y[may]))
+            at = to
+        out = np.unique(np.concatenate(found))
+        take = lambda index: coded.dictionary.take(pa.array(index)).cast(pa.string())            # noqa: E731
+        return pa.table({"a": take(out // max(n, 1)), "b": take(out % max(n, 1))})
+
+    return compare
+
+
+class Arranged:
+    """The tokens of a corpus's entries, rarest first, and how often each stands in it."""
+
+    def __init__(self, corpus: DataFrame, spread: bool = False):
+        tokens = cut(_name_tokens(corpus, spread))
+        self.frequency = broadcast_within(cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often"))))
+        self.entries = cut(self.of(tokens, spread))
+
+    def of(self, tokens: DataFrame, spread: bool = False) -> DataFrame:
+        """Rows name, g, c: the tokens of both kinds in the order of the corpus."""
+        if spread:
+            tokens = tokens.repartition(_partitions(tokens), "name")
+        kinds = {k: F.sort_array(F.collect_list(F.when(F.col("token").startswith(k), F.struct(
+            F.coalesce("often", F.lit(0)).alias("often"), "token")))) for k in "gc"}
+        return tokens.join(self.frequency, "token", "left").groupBy("name").agg(
+            *[kinds[k]["token"].alias(k) for k in "gc"])
+
+
 def close_candidates(names: DataFrame, corpus: DataFrame, cutoff: float, share: int = 256,
-                     spread: bool = False) -> DataFrame:
+                     spread: bool = False, arranged: Arranged | None = None) -> DataFrame:
     """Pairs (a, b) of a name and a corpus entry that may reach ``cutoff``, each once.
 
     Tokens are ordered by their measured frequency in the corpus, rarest first, and
     names meet their partners on (token, band of lengths, salt). Keys that hold more than one in ``share``
     of the corpus's rows are salted. Of each shared token, its place in both names bounds what
-    can be shared after it; lengths, shared letters and shared pairs bound the ratio. With ``spread``
-    the keys stay in as many partitions as a shuffle has: the rows are few bytes, but meet many.
+    can be shared after it; lengths, shared letters and shared pairs bound the ratio (``met_pairs``). Rows are dealt by
+    key to parts; only the names move, and pairs are made where they are judged. With ``spread`` the
+    rows stay in as many partitions as a shuffle has. ``arranged``: the corpus's tokens, if they are known already.
     """
     rule = CloseNames(cutoff)
+    arranged = arranged or Arranged(corpus, spread)
 
-    entries = cut(_name_tokens(corpus))
-    frequency = broadcast_within(cut(entries.groupBy("token").agg(F.count(F.lit(1)).alias("often"))))
-
-    def ordered(rows: DataFrame, label: str) -> DataFrame:
-        kinds = {k: F.array_sort(F.collect_list(F.when(F.col("token").startswith(k), F.struct(
-            F.coalesce("often", F.lit(0)).alias("often"), "token")))) for k in "gc"}
-        out = rows.join(frequency, "token", "left").groupBy("name").agg(
-            *[kinds[k]["token"].alias(f"{label}_{k}") for k in "gc"]).withColumnRenamed("name", label)
-        length = F.size(f"{label}_c")
-        prefix = F.concat(*[F.when(rule.uses(length, k), F.slice(f"{label}_{k}", F.lit(1), F.greatest(
+    def keyed(rows: DataFrame) -> DataFrame:
+        """A row for each token of a name's prefix: name, band, token, behind, paired."""
+        length = F.size("c")
+        prefix = F.concat(*[F.when(rule.uses(length, k), F.slice(k, F.lit(1), F.greatest(
             rule.prefix_length(length, k), F.lit(0)))).otherwise(F.array().cast("array<string>")) for k in "gc"])
         # a prefix holds tokens of the first kind, then of the second, each from its start
         skipped = F.when(F.col("token").startswith("c"), F.size(F.filter(
-            f"{label}_p", lambda t: t.startswith("g")))).otherwise(0)
-        behind = F.when(F.col("token").startswith("g"), F.size(f"{label}_g")).otherwise(length) \
+            "prefix", lambda t: t.startswith("g")))).otherwise(0)
+        behind = F.when(F.col("token").startswith("g"), F.size("g")).otherwise(length) \
             - F.col("__at") + skipped - 1
-        return (out.withColumn(f"{label}_p", prefix).withColumn("band", rule.band(length))
-                .select("*", F.posexplode(f"{label}_p").alias("__at", "token"))
-                .withColumn(f"{label}_behind", behind).drop("__at"))
+        return (rows.withColumn("prefix", prefix).withColumn("band", rule.band(length))
+                .select("*", F.posexplode("prefix").alias("__at", "token"))
+                .select("name", "band", "token", behind.cast("int").alias("behind"),
+                        F.col("token").startswith("g").alias("paired")))
 
-    right = ordered(entries, "b")
+    right = cut(keyed(arranged.entries))
     keys = right.groupBy("token", "band").agg(F.count(F.lit(1)).alias("n"))
-    total = right.agg(F.count(F.lit(1))).first()[0]
+    total = right.count()
     most = max(64, -(-total // share))
     salts = broadcast_within(cut(keys.where(F.col("n") > most).select(
         "token", "band", F.ceil(F.col("n") / most).alias("salts"))))
     salted = F.coalesce("salts", F.lit(1).cast("bigint"))
     right = right.join(salts, ["token", "band"], "left").withColumn(
-        "salt", F.pmod(F.xxhash64("b"), salted)).drop("salts")
-    left = (ordered(_name_tokens(names), "a")
+        "salt", F.pmod(F.xxhash64("name"), salted)).drop("salts")
+    left = (keyed(arranged.of(_name_tokens(names, spread)))
             .withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
             .join(salts, ["token", "band"], "left")
             .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salted - 1))).drop("salts"))
-    la, lb = F.size("a_c"), F.size("b_c")
-    of_kind = {k: F.col("token").startswith(k) for k in "gc"}
-    # at the first shared token, only it and what stands behind it can be shared
-    positional = F.lit(False)
-    for k in "gc":
-        positional = positional | (of_kind[k] & rule.enough(1 + F.least("a_behind", "b_behind"), la + lb, k))
-    if spread:
-        parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        left, right = (side.repartition(parts, "token", "band", "salt") for side in (left, right))
-    out = (left.join(right, ["token", "band", "salt"])
-           .where(F.least(la, lb) * 2.0 / (la + lb) >= cutoff).where(positional)
-           .where(F.get(F.array_intersect("a_p", "b_p"), F.lit(0)) == F.col("token")))
-    for k in "gc":
-        out = out.where(rule.enough(F.size(F.array_intersect(f"a_{k}", f"b_{k}")), la + lb, k))
-    return out.select("a", "b")
+    # several parts in a partition, none very large
+    parts = max(4 * _partitions(names), -(-total // 20_000))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("key", F.xxhash64("token", "band", "salt"))
+        rows = rows.select(F.pmod("key", F.lit(parts)).alias("part"), "key", "name", "behind", "paired")
+        return (rows.repartition(_partitions(names), "part") if spread else rows).groupBy("part")
+
+    return dealt(left).cogroup(dealt(right)).applyInArrow(met_pairs(cutoff), "a string, b string").distinct()
 
 
 #: Products of names and entries from which the closest are looked for first.
@@ -182,19 +291,22 @@ def close_matches(names: DataFrame, corpus: DataFrame, cutoff: float) -> DataFra
 
     With ``MANY_PAIRS`` or more, cutoffs come down to ``cutoff`` in three rounds. A name whose
     best entry reaches a round's cutoff is settled by it, as all entries that do are compared then; only
-    the others go on to the next round, which has many more candidates.
+    the others go on to the next round, which has many more candidates. It ends when all are settled.
     """
     names = cut(names.select("name").where(F.col("name") != "").distinct())
     corpus = cut(corpus.select("name").where(F.col("name") != "").distinct())
     if names.count() * corpus.count() < MANY_PAIRS:
         return _best_within(close_candidates(names, corpus, cutoff), cutoff)
-    found = []
+    found, arranged = [], Arranged(corpus, spread=True)
     for share in (2 / 3, 1 / 3):
         least = cutoff + (1 - cutoff) * share
-        found.append(cut(_best_within(close_candidates(names, corpus, least, spread=True), least)))
+        found.append(cut(_best_within(close_candidates(names, corpus, least, spread=True, arranged=arranged), least)))
         names = cut(names.join(found[-1], "name", "left_anti"))
-    last = _best_within(close_candidates(names, corpus, cutoff, spread=True), cutoff)
-    return functools.reduce(DataFrame.unionByName, [*found, last])
+        if names.isEmpty():
+            break
+    else:
+        found.append(_best_within(close_candidates(names, corpus, cutoff, spread=True, arranged=arranged), cutoff))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def _best_within(pairs: DataFrame, cutoff: float) -> DataFrame:
