@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidyward import rules as R, session
 from tidyward.functions import text as T
+from tidyward.operators import windows as W
 from tidyward.operators.clean import confidence_of, keyword_label, with_responsibility
-from tidyward.session import BROADCAST_BYTES, cut, join_known, pinned
+from tidyward.session import BROADCAST_BYTES, cut, join_known, pinned, stored
 
 SKIPPED = ["__skip__", "", "nan"]
 OPEN = "unresolved"
@@ -33,18 +34,10 @@ def _label_lists(answers: DataFrame, kind: str, labels: list[str]) -> DataFrame:
             .agg(F.array_sort(F.collect_list(F.struct("seq", "term", "answer"))).alias("__terms")))
 
 
-#: A term is filed under grams of the largest of these numbers of characters that it has.
-WIDTHS = (1, 2, 3, 6)
-
-
-def _grams(text, widths: list[int]):
-    """The distinct stretches of these numbers of characters, by look-ahead in one walk each."""
-    return F.array_distinct(F.flatten(F.array(*[
-        F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{w}}}))"), 1) for w in widths])))
-
-
-#: Tables of the index are broadcast up to this many bytes as text: the driver holds each in several copies.
+#: Tables that go to every task are at most this many bytes as text: the driver holds each in several copies.
 INDEX_BYTES = 4 << 20
+#: The shortest terms, up to this many, are looked up where the texts are: they stand in the most texts.
+CARRIED = 10_000
 
 
 def fits(table: DataFrame) -> bool:
@@ -62,41 +55,54 @@ def term_hits(rows: DataFrame, terms: DataFrame) -> DataFrame:
     smallest term, then answer).
 
     ``terms``: seq, category, term, answer. Empty terms, and null categories, terms and descriptions, match
-    nothing. Works by an inverted index: a term is filed under the rarest of its grams, as counted in
-    the descriptions of its category, and only descriptions with that gram are searched for it. A term
-    with a gram that stands nowhere is left out at once.
+    nothing. The shortest terms go to every task. Of the others a set of bits does: every stretch of a description
+    that is as long as some term is looked up in it, and only stretches that it lets through are rows, a few more than
+    there are hits. Of the terms, only those move that a set of bits of these stretches lets through.
     """
-    terms = cut(terms.where((F.col("term") != "") & F.col("category").isNotNull())
-                .groupBy("category", "term").agg(F.min(F.struct("seq", "answer")).alias("v"))
-                .select("category", "term", "v.*", F.array_max(F.filter(
-                    F.array(*map(F.lit, WIDTHS)), lambda w: w <= F.char_length("term"))).alias("width")))
-    # at most four numbers
-    widths = sorted(r[0] for r in terms.select("width").distinct().collect())
-    if not widths:
+    key = F.xxhash64("category", "term")
+    terms = terms.where((F.col("term") != "") & F.col("category").isNotNull()).select("seq", "category", "term", "answer")
+    size = F.octet_length("term")
+    # a row for each length
+    counts = sorted(map(tuple, terms.groupBy(size).agg(F.count(F.lit(1)), F.approx_count_distinct(key)).collect()))
+    if not counts:
         return rows.select("category", "description", F.lit(None).cast("string").alias("answer")).limit(0)
-    filed = terms.select("*", F.explode(F.filter(
-        _grams(F.col("term"), widths), lambda g: F.char_length(g) == F.col("width"))).alias("gram"))
-    known = cut(filed.select("category", "gram").distinct())
-    # the categories are part of it, so they fit if it does
-    small = fits(known)
-    beside = F.broadcast if small else _shuffled
-    texts = cut(rows.where(F.col("description") != "").select("category", "description")
-                .join(beside(known.select("category").distinct()), "category", "left_semi").distinct()
-                # a text gives dozens of grams: few partitions would be long tasks
-                .repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-                .withColumn("text", F.monotonically_increasing_id()))
-    postings = texts.select("category", "text", F.explode(_grams(F.col("description"), widths)).alias("gram"))
-    # many grams are counted before they meet the terms', combined before the shuffle
-    asked = postings.join(F.broadcast(known), ["category", "gram"], "left_semi") if small else postings
-    often = asked.groupBy("category", "gram").agg(F.count(F.lit(1)).alias("n"))
-    index = cut(filed.join(_shuffled(often), ["category", "gram"], "left")
-                .groupBy("category", "term", "seq", "answer").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest"))
-        .where("rarest.n > 0").select("category", "term", "seq", "answer", "rarest.gram"))
-    index = F.broadcast(index) if fits(index) else _shuffled(index)
-    return (postings.join(index, ["category", "gram"]).select("text", "term", "seq", "answer")
-            .join(_shuffled(texts), "text").where(F.contains("description", "term"))
-            .groupBy("text", "category", "description").agg(F.min(F.struct("seq", "term", "answer")).alias("v"))
+    upto, room = 0, CARRIED
+    for n, _, kinds in counts:
+        room -= kinds
+        if room < 0:
+            break
+        upto = n
+    best = lambda df, *keys: df.groupBy(*keys, "category", "term").agg(F.min(F.struct("seq", "answer")).alias("v")).select(
+        *keys, "category", "term", "v.*")                                   # noqa: E731
+    short = cut(best(terms.where(size <= upto).withColumn("key", key), "key"))
+    # two terms of one key would need a list each
+    if not fits(short) or short.select("key").distinct().count() < short.count():
+        short, upto = short.limit(0), 0
+    rest = terms.where(size > upto)
+    lengths = [n for n, _, _ in counts]
+    longer = [n for n in lengths if n > upto]
+    many = sum(n for of, n, _ in counts if of > upto)
+
+    sc = rows.sparkSession.sparkContext
+    starts = terms.select(F.explode(W.prefix_keys("category", "term", lengths[-1])).alias("key")).distinct()
+    bits = sc.broadcast(W.bits_of(starts.union(rest.select(key.alias("key"))), 5 * many // 4 + 10 * CARRIED))
+    texts = rows.where((F.col("description") != "") & F.col("category").isNotNull()).select(
+        "category", "description").distinct().withColumn("seed", F.xxhash64("category"))
+    kind = {f.name: f.dataType.simpleString() for f in terms.schema.fields}
+    found = texts.mapInArrow(
+        W.finder(short.orderBy("seq", "term", "answer").toArrow(), [n for n in lengths if n <= upto], longer, bits),
+        f"category string, description string, key bigint, seq {kind['seq']}, term string, answer {kind['answer']}")
+    if not longer:
+        return found.select("category", "description", "answer")
+
+    found = stored(found)
+    asked = found.where(F.col("key").isNotNull()).select("category", "description", "key")
+    met = sc.broadcast(W.bits_of(asked.select("key"), asked.count()))
+    own = best(rest.withColumn("key", key).where(W.among("key", met)), "key")
+    hits = asked.join(_shuffled(own), ["key", "category"]).where(F.contains("description", "term"))
+    columns = ["category", "description", "seq", "term", "answer"]
+    return (found.where(F.col("key").isNull()).select(*columns).union(hits.select(*columns))
+            .groupBy("category", "description").agg(F.min(F.struct("seq", "term", "answer")).alias("v"))
             .select("category", "description", "v.answer"))
 
 

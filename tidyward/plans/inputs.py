@@ -5,7 +5,7 @@ Every derivation covers its whole source tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidyward import rules as R
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -164,6 +164,18 @@ FROM {part} GROUP BY p_name
 """
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is read in fewer pieces than there are cores would leave most of them idle.
+
+    A large file is read in pieces, but those without the start of a row group are empty: pieces with rows count.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores or df.rdd.getNumPartitions() >= cores and \
+            df.select(F.spark_partition_id().alias("piece")).distinct().count() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 class Tables:
     """The driver's tables of one folder, read on first use."""
 
@@ -174,10 +186,7 @@ class Tables:
         if name not in TABLES:
             raise AttributeError(name)
         if name not in self._read:
-            df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-            # a table in fewer files than there are cores would leave most of them idle
-            cores = self.spark.sparkContext.defaultParallelism
-            self._read[name] = df.repartition(cores) if len(df.inputFiles()) < cores else df
+            self._read[name] = spread(self.spark.read.parquet(f"{self.dir}/{name}.parquet"))
         return self._read[name]
 
     def sql(self, text: str) -> DataFrame:
